@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, packing, quality, toxicity
+from . import chat, decontaminate, linededup, packing, quality, substring, toxicity
 from .common import table
 
 
@@ -47,8 +47,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_rules, op4_toxicity, op5_packing, op6_decontaminate, op8_chat_format, op9_line_dedup]
+    own = [op1_quality_rules, op4_toxicity, op5_packing, op6_decontaminate, op8_chat_format, op9_line_dedup, op10_substring_dedup]
     return {f.__name__: f for f in own}
 
 
