@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, packing, quality, substring, toxicity
+from . import chat, decontaminate, jaccard, linededup, packing, quality, substring, toxicity
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
@@ -53,7 +57,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_rules, op4_toxicity, op5_packing, op6_decontaminate, op8_chat_format, op9_line_dedup, op10_substring_dedup]
+    own = [op1_quality_rules, op4_toxicity, op5_packing, op6_decontaminate, op7_jaccard_join, op8_chat_format, op9_line_dedup, op10_substring_dedup]
     return {f.__name__: f for f in own}
 
 
