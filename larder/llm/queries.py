@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, linededup, packing, quality, substring, toxicity
+from . import chat, decontaminate, jaccard, linededup, lm, packing, quality, substring, toxicity
 from .common import table
 
 
@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out(F.col("doc_id")))
+    levels = lm.train(docs.where(~F.col("held_out")).select("text"))
+    return lm.score(docs, levels, carry=("held_out",))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_rules, op4_toxicity, op5_packing, op6_decontaminate, op7_jaccard_join, op8_chat_format, op9_line_dedup, op10_substring_dedup]
+    own = [op1_quality_rules, op2_lm_score, op4_toxicity, op5_packing, op6_decontaminate, op7_jaccard_join, op8_chat_format, op9_line_dedup, op10_substring_dedup]
     return {f.__name__: f for f in own}
 
 
