@@ -1,8 +1,9 @@
-"""Toxicity by classifier chains over hashed words.
+"""Toxicity by classifier chains over words.
 
-The categories of a chain are predicted one after the other by sparse logistic models. A later model
-sees the probabilities of the earlier categories as features; for training these are out-of-fold
-predictions, so that it learns from probabilities as uncertain as those it will meet.
+The categories of a chain are predicted one after the other by logistic models. A later model sees
+the probabilities of the earlier categories as features; for training these are out-of-fold
+predictions, so that it learns from probabilities as uncertain as those it will meet. A model's words
+are those that a likelihood-ratio test ties to its category, so a model is a short table.
 """
 
 from __future__ import annotations
@@ -20,13 +21,17 @@ from .common import blocks
 
 #: At most this many labelled rows, those with the smallest hashes of their ids, train the chain.
 TRAIN_ROWS = 12_000
-BITS = 18
 FOLDS = 3
-EPOCHS = 30
-THRESHOLD = 0.5
-#: A word counts only if it is in at least this many training documents.
-MIN_DOCS = 5
-#: Words that tell the categories of a toxic document apart. They label categories of the training rows; the models decide from all words.
+#: Clean documents stay far below this: it is set for recall, from held-out scores.
+THRESHOLD = 0.15
+#: A word is a feature if it is in this many training documents or more and its G statistic is this large; the largest MAX_WORDS stay.
+MIN_DOCS = 4
+MIN_G = 18.0
+MAX_WORDS = 256
+RIDGE = 0.005
+#: Beginnings of words of these lengths (bytes) are features beside the words, so that inflected forms count together.
+STEMS = (4, 5, 6)
+#: Words that tell the categories of a toxic document apart. They label categories of the training rows; the models decide from the words they find.
 CATEGORY_WORDS = {
     "insult": ("idiot", "moron", "loser", "clown", "fool", "jerk"),
     "contempt": ("stupid", "pathetic", "worthless", "dumb", "useless", "ridiculous"),
@@ -34,137 +39,183 @@ CATEGORY_WORDS = {
 }
 #: The chain's order; the last category is the verdict.
 CHAIN = (*CATEGORY_WORDS, "toxic")
-_PUNCT = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+_LETTERS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
-def features(text: bytes, bits: int = BITS) -> np.ndarray:
-    """Sorted distinct buckets of the text's lower-cased words."""
-    return np.unique(np.array([xxhash.xxh32_intdigest(w) for w in set(text.translate(_PUNCT).split())], np.uint32) >> np.uint32(32 - bits)).astype(np.uint32)
+def words(text: bytes) -> list[bytes]:
+    return text.translate(_LETTERS).split()
 
 
-@dataclass
-class Linear:
-    """A logistic model over binary sparse features and a few dense ones."""
+def names_of(word: bytes) -> list[int]:
+    """64-bit names of a word and of its beginnings."""
+    return [xxhash.xxh3_64_intdigest(word), *[xxhash.xxh3_64_intdigest(word[:n], seed=n) for n in STEMS if len(word) >= n]]
 
-    sparse: np.ndarray
-    dense: np.ndarray
-    bias: float
 
-    def logit(self, sums: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        return sums + dense @ self.dense + self.bias
+def features(text: bytes) -> np.ndarray:
+    """Sorted distinct names of the text's lower-cased words."""
+    return np.unique(np.array([x for w in set(words(text)) for x in names_of(w)], np.uint64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _sums(weights: np.ndarray, idx: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(weights[idx])])
-    return total[ptr[1:]] - total[ptr[:-1]]
+@dataclass
+class Linear:
+    """A logistic model over the presence of words (sorted names) and a few earlier probabilities."""
 
+    names: np.ndarray
+    weights: np.ndarray
+    dense: np.ndarray
+    bias: float
 
-def _fit(idx, ptr, dense, y, size: int, epochs: int) -> Linear:
-    """AdaGrad on the whole sample, deterministic; weights shrink towards zero."""
-    w, d, b = np.zeros(size), np.zeros(dense.shape[1]), 0.0
-    gw, gd, gb = np.full(size, 1e-8), np.full(dense.shape[1], 1e-8), 1e-8
-    row = np.repeat(np.arange(len(y)), np.diff(ptr))
-    n = max(len(y), 1)
-    for _ in range(epochs):
-        err = _sigmoid(_sums(w, idx, ptr) + dense @ d + b) - y
-        g = np.bincount(idx, err[row], size) / n + 1e-6 * w
-        h, e = dense.T @ err / n, err.sum() / n
-        gw += g * g
-        gd += h * h
-        gb += e * e
-        w -= 0.5 * g / np.sqrt(gw)
-        d -= 0.5 * h / np.sqrt(gd)
-        b -= 0.5 * e / np.sqrt(gb)
-    return Linear(w, d, b)
+    def probability(self, flat: np.ndarray, row: np.ndarray, rows: int, dense: np.ndarray) -> np.ndarray:
+        total = dense @ self.dense + self.bias
+        if len(self.names) and len(flat):
+            at = np.minimum(np.searchsorted(self.names, flat), len(self.names) - 1)
+            hit = self.names[at] == flat
+            total = total + np.bincount(row[hit], self.weights[at[hit]], rows)
+        return _sigmoid(total)
+
+
+def _choose(codes: np.ndarray, row: np.ndarray, size: int, y: np.ndarray) -> np.ndarray:
+    """Features with the largest G statistics of presence against the label."""
+    n, p = len(y), float(y.sum())
+    if not 0 < p < n:
+        return np.zeros(0, np.int64)
+    have = np.bincount(codes, minlength=size).astype(float)
+    both = np.bincount(codes, y[row], size)
+
+    def term(o, e):
+        return np.where(o > 0, o * np.log(np.maximum(o, 1e-300) / e), 0.0)
+
+    rest = np.maximum(n - have, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (term(both, have * p / n) + term(have - both, have * (n - p) / n) + term(p - both, rest * p / n) + term(n - p - have + both, rest * (n - p) / n))
+    g = np.where((have >= MIN_DOCS) & np.isfinite(g), g, 0)
+    best = np.argsort(-g, kind="stable")[:MAX_WORDS]
+    return np.sort(best[g[best] >= MIN_G])
+
+
+def _fit(codes, row, names, dense, y) -> Linear:
+    """Choose words, then Newton steps on the ridge-penalised logistic loss; deterministic."""
+    chosen = _choose(codes, row, len(names), y)
+    n, k, d = len(y), len(chosen), dense.shape[1]
+    x = np.zeros((n, k + d + 1))
+    if k:
+        at = np.minimum(np.searchsorted(chosen, codes), k - 1)
+        hit = chosen[at] == codes
+        x[row[hit], at[hit]] = 1
+    x[:, k : k + d] = dense
+    x[:, -1] = 1
+    share = (y.sum() + 0.5) / (n + 1)
+    w = np.zeros(k + d + 1)
+    w[-1] = np.log(share / (1 - share))
+    if 0 < y.sum() < n:
+        ridge = np.full(len(w), RIDGE)
+        ridge[-1] = 1e-6
+        for _ in range(25):
+            p = _sigmoid(x @ w)
+            grad = x.T @ (p - y) + ridge * w
+            hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+            step = np.linalg.solve(hess, grad)
+            w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-7:
+                break
+    return Linear(names[chosen], w[:k], w[k : k + d], float(w[-1]))
 
 
 @dataclass
 class Chain:
     names: tuple[str, ...]
     models: list[Linear] = field(default_factory=list)
-    bits: int = BITS
 
-    def probabilities(self, idx: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        """Rows by category, each from the words and the categories before it."""
-        out = np.zeros((len(ptr) - 1, 0))
+    def probabilities(self, flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Rows by category, each from the words and the categories before it. flat, row: names of distinct words and the rows they are in."""
+        out = np.zeros((rows, 0))
         for m in self.models:
-            out = np.column_stack([out, _sigmoid(m.logit(_sums(m.sparse, idx, ptr), out))])
+            out = np.column_stack([out, m.probability(flat, row, rows, out)])
         return out
 
 
-def _rows(idx, ptr, keep):
-    parts = [idx[ptr[i] : ptr[i + 1]] for i in keep]
-    return np.concatenate(parts) if parts else idx[:0], np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int64)
-
-
-def train(feats: list[np.ndarray], labels: np.ndarray, names: tuple[str, ...], folds: int = FOLDS, epochs: int = EPOCHS, bits: int = BITS, min_docs: int = MIN_DOCS) -> Chain:
+def train(feats: list[np.ndarray], labels: np.ndarray, names: tuple[str, ...], folds: int = FOLDS) -> Chain:
     """Fit the chain. Equal feature sets with equal labels count once, so that copies do not outvote other rows. A category without both classes is predicted by its share."""
     seen: dict[bytes, int] = {}
     for i, f in enumerate(feats):
         seen.setdefault(f.tobytes() + labels[i].tobytes(), i)
     own = sorted(seen.values())
-    feats, labels = [feats[i].astype(np.int64) for i in own], labels[own]
-    size = 1 << bits
-    ptr = np.concatenate([[0], np.cumsum([len(f) for f in feats], dtype=np.int64)]).astype(np.int64)
-    idx = np.concatenate(feats) if feats else np.zeros(0, np.int64)
-    common = np.bincount(idx, minlength=size) >= min_docs
-    chain, before = Chain(names, [], bits), np.zeros((len(feats), 0))
-    fold = np.arange(len(feats)) % folds
+    feats, labels = [feats[i] for i in own], labels[own].astype(float)
+    n = len(feats)
+    row = np.repeat(np.arange(n), [len(f) for f in feats])
+    flat, codes = np.unique(np.concatenate(feats) if n else np.zeros(0, np.uint64), return_inverse=True)
+    chain, before, fold = Chain(names), np.zeros((n, 0)), np.arange(n) % folds
     for k in range(len(names)):
-        y = labels[:, k].astype(float)
-        model = _masked(_fit(idx, ptr, before, y, size, epochs), common)
-        chain.models.append(model)
-        outside = np.zeros(len(feats))
+        y = labels[:, k]
+        chain.models.append(_fit(codes, row, flat, before, y))
+        outside = np.zeros(n)
         for f in range(folds):
             rest, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            i, p = _rows(idx, ptr, rest)
-            j, q = _rows(idx, ptr, held)
-            part = _masked(_fit(i, p, before[rest], y[rest], size, epochs), common)
-            outside[held] = _sigmoid(part.logit(_sums(part.sparse, j, q), before[held]))
+            place = np.full(n, -1)
+            place[rest] = np.arange(len(rest))
+            inside = fold[row] != f
+            part = _fit(codes[inside], place[row[inside]], flat, before[rest], y[rest])
+            place[held] = np.arange(len(held))
+            outside[held] = part.probability(flat[codes[~inside]], place[row[~inside]], len(held), before[held])
         before = np.column_stack([before, outside])
     return chain
 
 
-def _masked(m: Linear, common: np.ndarray) -> Linear:
-    return Linear(np.where(common, m.sparse, 0.0), m.dense, m.bias)
-
-
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hits = [tuple(w.encode() for w in ws) for ws in CATEGORY_WORDS.values()]
+    hits = [{w.encode() for w in ws} for ws in CATEGORY_WORDS.values()]
     for batch, texts in blocks(batches):
         packed, marks = [], []
         for t in texts:
-            own = set(t.translate(_PUNCT).split())
+            own = set(words(t))
             packed.append(features(t).tobytes())
-            marks.append([any(w in own for w in ws) for ws in hits])
+            marks.append([bool(own & ws) for ws in hits])
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(packed, pa.binary()), pa.array(marks, pa.list_(pa.bool_()))], ["toxic", "features", "marks"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Chain:
-    """Train on at most ``rows`` labelled documents. Rows without id or label are left out; without any the chain calls nothing toxic."""
+    """Train on at most ``rows`` labels and their documents. Rows without id or label are left out; without any the chain calls nothing toxic."""
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL")
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(picked), "_id").select("toxic", "text")  # the broadcast side has at most ``rows`` rows of two numbers
-    got = sorted(found.mapInArrow(_featurise, "toxic int, features binary, marks array<boolean>").limit(4 * rows).toLocalIterator(), key=lambda r: (bytes(r[1]), r[0]))
-    feats = [np.frombuffer(r[1], np.uint32) for r in got]
-    y = np.array([[bool(r[0]) and m for m in r[2]] + [bool(r[0])] for r in got], bool).reshape(len(got), len(CHAIN))
+    got = sorted(found.mapInArrow(_featurise, "toxic int, features binary, marks array<boolean>").limit(2 * rows).toLocalIterator(), key=lambda r: (bytes(r[1]), r[0]))
     if not got:
-        return Chain(CHAIN, [Linear(np.zeros(1 << BITS), np.zeros(k), -35.0) for k in range(len(CHAIN))])
+        return Chain(CHAIN, [Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(k), -35.0) for k in range(len(CHAIN))])
+    feats = [np.frombuffer(r[1], np.uint64) for r in got]
+    y = np.array([[bool(r[0]) and m for m in r[2]] + [bool(r[0])] for r in got], bool)
     return train(feats, y, CHAIN)
 
 
 def _scorer(carried, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = carried.value
+        wanted = np.unique(np.concatenate([m.names for m in chain.models]))
         for batch, texts in blocks(batches):
-            feats = [features(t, chain.bits).astype(np.int64) for t in texts]
-            ptr = np.concatenate([[0], np.cumsum([len(f) for f in feats], dtype=np.int64)]).astype(np.int64)
-            probs = chain.probabilities(np.concatenate(feats), ptr)
+            split = [words(t) for t in texts]
+            size = [len(w) for w in split]
+            coded = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
+            own = [names_of(w) for w in coded.dictionary.to_pylist()]
+            names, word = np.array([x for o in own for x in o], np.uint64), np.repeat(np.arange(len(own)), [len(o) for o in own])
+            useful = np.isin(names, wanted)
+            names, word = names[useful], word[useful]
+            codes, row = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), size)
+            hit = np.zeros(max(len(own), 1), bool)
+            hit[word] = True
+            keep = hit[codes] if len(codes) else np.zeros(0, bool)
+            row, codes = row[keep], codes[keep]
+            first, last = np.searchsorted(word, codes), np.searchsorted(word, codes, side="right")
+            at = np.repeat(row, last - first)
+            flat = names[np.arange(len(at)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + np.repeat(first, last - first)] if len(at) else names[:0]
+            if len(at):
+                order = np.lexsort((flat, at))
+                flat, at = flat[order], at[order]
+                fresh = np.concatenate([[True], (flat[1:] != flat[:-1]) | (at[1:] != at[:-1])])
+                flat, at = flat[fresh], at[fresh]
+            probs = chain.probabilities(flat, at, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(id_name), *[pa.array(probs[:, k]) for k in range(probs.shape[1])]], [id_name, *[f"p_{n}" for n in chain.names]])
 
     return run
@@ -174,7 +225,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     """One row per document row: id, a probability p_<category> for each category, rejected (the last one's reaches the threshold).
 
     Null and empty texts have no words and get the models' bias; repeated rows get the same answer;
-    columns other than the two named are not read. The models are fixed in size (2^bits weights each).
+    columns other than the two named are not read. The models are bounded: MAX_WORDS words each.
     """
     picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     id_name = picked.columns[0]
