@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,6 +47,17 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see which shuffles and broadcasts of finished steps nobody holds any more, so that their files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def steady(spark: SparkSession) -> None:
+    """Unions of differently adapted inputs are to be planned without zipping their partitions, which fails when their numbers differ."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

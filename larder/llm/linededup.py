@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, shuffle_parts, written
+from .common import blocks, shuffle_parts, steady, written
 
 MIN_CHARS = 10
 _SPACE = b" \t\n\v\f\r"
@@ -125,6 +125,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Empty and null texts have one empty line, which is too short to go.
     """
     spark = docs.sparkSession
+    steady(spark)
     n = shuffle_parts(spark)
     lines = _keyed(docs, id_col, text_col).select("doc", "mark", "text").mapInArrow(_hasher(min_chars), "h1 long, h2 long, doc long, mark long, pos int")
     dealt = lines.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")

@@ -12,7 +12,6 @@ its windows share are unique, and repeated where the bytes of all its windows to
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, forget, mix64, written
+from .common import blocks, forget, mix64, release, steady, written
 
 LENGTH = 400
 #: Windows in a unit.
@@ -230,17 +229,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null counts as empty; repeated rows are repeats of each other; shorter texts lose nothing;
     columns other than the two named are not read.
     """
+    spark = docs.sparkSession
+    steady(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
     id_name = keyed.columns[0]
     found = written(keyed.select("doc", "mark", "text").mapInArrow(_find(length), "doc long, mark long, a int, p0 int, p1 int, n0 long, n1 long, n2 long, c1 long, c2 long"), "anchors")
     live = written(found.join(_repeated(found.select("n0"), "n0"), "n0", "left_semi"), "rank0")
     forget(found)
+    release(spark)
     for name, size in (("n1", length // 8 * 2), ("n2", length // 8 * 4)):
         # Every window of the anchor holds these bytes, so a unique name ends them all.
         again = _repeated(live.where(F.col(name).isNotNull()).select(name), name).withColumn("_again", F.lit(True))
         live = live.join(again, name, "left").where(F.col("_again") | (F.col("a") + size > F.col("p0") + length)).drop("_again")
     live = written(live.select("doc", "mark", "a", "p0", "p1", "n0", "c1", "c2"), "rank2")
+    release(spark)
     same, mixed = _classes(live)
     spans = [same]
     for step in (unit, 1):
@@ -249,6 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = written(parts.mapInArrow(_expand(length, step), "doc long, mark long, a int, p0 int, p1 int, n0 long, c1 long, c2 long"), f"unit{step}")
         same, mixed = _classes(out.join(_repeated(out.select("n0"), "n0"), "n0", "left_semi"))
         spans.append(same)
+        release(spark)
     every = spans[0].unionByName(spans[1]).unionByName(spans[2])
     cut = written(every.groupBy("doc", "mark").agg(F.collect_set(F.struct(F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))).alias("spans")), "spans")
     joined = _with_texts(keyed, cut, "left").select(id_name, "text", "spans")
