@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_bucket, forget, mix64, shuffle_parts, written
+from .common import blocks, by_bucket, forget, mix64, release, shuffle_parts, steady, written
 
 WORDS = 5
 PERCENT = 80
-#: A token in more class representatives than this (or than 2^-22 of all tokens) is frequent.
-FREQUENT = 48
+#: A token in more class representatives than this is frequent; the bound doubles until no more than MAX_FREQUENT names are.
+FREQUENT = 2
 MAX_FREQUENT = 1 << 22
 #: Frequent prefix tokens that share a bin, about.
 BIN = 8
@@ -79,11 +79,19 @@ def _members(words: int):
     return run
 
 
-def _bucketed(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts keys of one bucket together, and the buckets' bounds; a bucket is a range of keys."""
-    order = np.argsort(keys, kind="stable")
-    top = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    return order, np.concatenate([[0], np.searchsorted(keys[order], top), [len(keys)]])
+def _squeeze(names: np.ndarray) -> bytes:
+    """Sorted 32-bit names: the first and 16-bit steps, or plain where a step is longer."""
+    step = np.diff(names)
+    if len(names) and (step < 1 << 16).all():
+        return b"\1" + names[:1].tobytes() + step.astype(np.uint16).tobytes()
+    return b"\0" + names.tobytes()
+
+
+def _unsqueeze(blob: bytes) -> np.ndarray:
+    if blob[0]:
+        first = np.frombuffer(blob, np.uint32, 1, 1)
+        return np.concatenate([first, first + np.cumsum(np.frombuffer(blob, np.uint16, -1, 5), dtype=np.uint32)])
+    return np.frombuffer(blob, np.uint32, -1, 1)
 
 
 def _names(words: int, buckets: int):
@@ -92,7 +100,8 @@ def _names(words: int, buckets: int):
     def flush(parts):
         top = np.sort((np.concatenate(parts) >> np.uint64(32)).astype(np.uint32))
         cut = np.concatenate([[0], np.searchsorted(top, np.array([(i << 32) // buckets for i in range(1, buckets)], np.uint64)), [len(top)]])
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array([top[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["bucket", "blob"])
+        some = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array([_squeeze(top[a:b]) for _, a, b in some], pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -109,16 +118,41 @@ def _names(words: int, buckets: int):
     return run
 
 
-def _frequent(least: int):
+def _counted(least: int):
+    """Names found more than ``least`` times with their counts, and how many of them there are by the bits of the count."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(b, np.uint32) for batch in batches for b in batch.column("blob").to_pylist()]
+        parts = [_unsqueeze(b) for batch in batches for b in batch.column("blob").to_pylist()]
         if parts:
-            names, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([names[counts > least].tobytes()], pa.binary())], ["names"])
+            names = np.sort(np.concatenate(parts))
+            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+            counts = np.diff(np.append(first, len(names)))
+            names, counts = names[first][counts > least], counts[counts > least]
+            bits = np.bincount(np.frexp((counts - 1).astype(float))[1], minlength=64)
+            yield pa.RecordBatch.from_arrays([pa.array([names.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary()), pa.array([bits.tolist()], pa.list_(pa.int64()))], ["names", "counts", "bits"])
+
+    return run
+
+
+def _more_than(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.frombuffer(n, np.uint32)[np.frombuffer(c, np.uint32) > least].tobytes() for n, c in zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["names"])
 
     return run
 
 
+def frequent_names(counted: DataFrame) -> np.ndarray:
+    """Sorted names of the frequent class: MAX_FREQUENT at most, as the bound on their counts doubles until that holds."""
+    by_bits = np.zeros(64, np.int64)
+    for r in counted.select("bits").toLocalIterator():
+        by_bits += np.array(r[0])
+    bits = next(b for b in range(1, 64) if by_bits[b + 1 :].sum() <= MAX_FREQUENT)  # counts over 2^b have counts - 1 of more bits
+    parts = [np.frombuffer(r[0], np.uint32) for r in counted.select("names", "counts").mapInArrow(_more_than(max(FREQUENT, 1 << bits)), "names binary").toLocalIterator()]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+
+
 def need(n: int, percent: int = PERCENT) -> int:
     """Tokens that a set of n must share with any similar set."""
     return -(-percent * n // 100)
@@ -169,15 +203,17 @@ def _index(words: int, buckets: int, frequent, percent: int):
     def flush(keys, sets):
         which = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
         flat = np.concatenate(keys)
-        order, cut = _bucketed(flat, buckets)
-        flat, which = flat[order], which[order]
+        bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        flat, which = flat[order].astype(np.uint32), which[order]  # within a bucket the lower half tells keys apart well enough: sets are compared whole later
         names = np.frombuffer(b"".join(k for k, _ in sets), np.uint8).reshape(-1, 16)
         sizes = np.array([n for _, n in sets], np.uint32)
         out: list[list] = [[], [], [], [], []]
         for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if a < b:
                 used, place = np.unique(which[a:b], return_inverse=True)
-                for col, x in zip(out, (i, flat[a:b].tobytes(), place.astype(np.uint32).tobytes(), names[used].tobytes(), sizes[used].tobytes()), strict=True):
+                for col, x in zip(out, (i, flat[a:b].tobytes(), place.astype(np.uint16).tobytes(), names[used].tobytes(), sizes[used].tobytes()), strict=True):
                     col.append(x)
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "keys", "places", "names", "sizes"])
 
@@ -191,6 +227,9 @@ def _index(words: int, buckets: int, frequent, percent: int):
                     keys.append(k)
                     sets.append((_key(s), len(s)))
                     size += len(k)
+                if len(sets) == 1 << 16:  # places are 16-bit
+                    yield flush(keys, sets)
+                    keys, sets, size = [], [], 0
             if size > _FLUSH:
                 yield flush(keys, sets)
                 keys, sets, size = [], [], 0
@@ -200,13 +239,17 @@ def _index(words: int, buckets: int, frequent, percent: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(percent: int):
+    return lambda batches: _group(batches, percent)
+
+
+def _group(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Groups of two or more sets under one key, equal groups once: group, set, size, hub (the group's least set) and its size."""
     keys, places, names, sizes, base = [], [], [], [], 0
     for batch in batches:
         for k, p, nm, sz in zip(*[batch.column(c).to_pylist() for c in ("keys", "places", "names", "sizes")], strict=True):
-            keys.append(np.frombuffer(k, np.uint64))
-            places.append(np.frombuffer(p, np.uint32).astype(np.int64) + base)
+            keys.append(np.frombuffer(k, np.uint32))
+            places.append(np.frombuffer(p, np.uint16).astype(np.int64) + base)
             names.append(nm)
             sizes.append(np.frombuffer(sz, np.uint32))
             base += len(sizes[-1])
@@ -227,6 +270,18 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
     key, place = key[fresh], place[fresh]
+    # Only sets with another of a size that allows a link can matter: look at the neighbours by size within the key.
+    order = np.lexsort((size[place], key))
+    key, place = key[order], place[order]
+    near = (key[1:] == key[:-1]) & (100 * size[place[:-1]] >= percent * size[place[1:]])
+    keep = np.zeros(len(key), bool)
+    keep[1:] |= near
+    keep[:-1] |= near
+    key, place = key[keep], place[keep]
+    if not len(key):
+        return
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(start, len(key)))
     with np.errstate(over="ignore"):
@@ -311,6 +366,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     are members of one class; columns other than the two named are not read.
     """
     spark = docs.sparkSession
+    steady(spark)
     parts = shuffle_parts(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
@@ -320,14 +376,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     single = _narrow(keyed, written(copies, "copies"), "left_anti")  # one row of each class, but for repeated rows
 
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(FREQUENT, total // MAX_FREQUENT)
     buckets = parts * max(1, -(-total // (parts * 8_000_000)))
     named = by_bucket(single.select("text").mapInArrow(_names(words, buckets), "bucket int, blob binary"), buckets)
-    often = [np.frombuffer(r[0], np.uint32) for r in named.mapInArrow(_frequent(least), "names binary").toLocalIterator()]  # MAX_FREQUENT names at most
-    frequent = spark.sparkContext.broadcast(np.sort(np.concatenate(often)) if often else np.zeros(0, np.uint32))
+    counted = written(named.mapInArrow(_counted(FREQUENT), "names binary, counts binary, bits array<long>"), "names")
+    frequent = spark.sparkContext.broadcast(frequent_names(counted))  # MAX_FREQUENT names at most
+    forget(counted)
+    del named, counted
+    release(spark)
 
     entries = single.select("text").mapInArrow(_index(words, buckets, frequent, percent), "bucket int, keys binary, places binary, names binary, sizes binary")
-    groups = written(by_bucket(entries, buckets).mapInArrow(_groups, "gid long, k binary, n long, hub binary, hub_n long").dropDuplicates(["gid", "k"]), "groups")
+    groups = written(by_bucket(entries, buckets).mapInArrow(_groups(percent), "gid long, k binary, n long, hub binary, hub_n long").dropDuplicates(["gid", "k"]), "groups")
+
+    del entries
+    release(spark)
 
     wanted = written(classes.join(groups.select("k").distinct(), "k", "left_semi").select("one.doc", "one.mark", "k"), "wanted")
     sets = written(_narrow(keyed, wanted, "inner").select("k", "text").mapInArrow(_tokens(words), "k binary, tokens binary").dropDuplicates(["k"]), "sets")
@@ -341,6 +402,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     links = written(verified(tried), "links")
     labels = components(links)
     groups = groups.select("gid", "k", "n")
+    release(spark)
     for turn in range(1, STAR_ROUNDS + 1):
         placed = groups.join(labels, "k", "left").select("gid", "k", "n", F.coalesce("label", "k").alias("label"))
         mixed = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "label")).alias("hub")).where("x <> y").select("gid", "hub")
@@ -357,6 +419,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             links = links.unionByName(found)
             labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(found))
         groups = groups.select("gid", "k", "n")
+        release(spark)
 
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))
     firsts = placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first"))
