@@ -76,7 +76,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in col.to_pylist()]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``size`` bytes of text each (one row at least), with their texts."""
     for batch in batches:
         texts = texts_of(batch, column)

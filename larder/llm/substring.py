@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import blocks, forget, mix64, release, steady, written
 
 LENGTH = 400
+#: Bytes of text handled at once; a byte takes some 150 bytes of memory meanwhile.
+BLOCK = 1 << 20
 #: Windows in a unit.
 UNIT = 32
 #: A table of at most this many rows is broadcast; larger ones are joined by shuffle.
@@ -114,7 +116,7 @@ def _find(length: int):
     k = length // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, size=BLOCK):
             raw, bounds = _layout(texts)
             doc, a, p0, p1, prints = anchors(raw, bounds, length)
             if not len(a):
@@ -141,7 +143,7 @@ def _expand(length: int, unit: int):
     """Units (or, for unit 1, windows) of the runs listed with each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, size=BLOCK):
             raw, bounds = _layout(texts)
             prints = Prints(raw)
             todo = batch.column("todo")
@@ -172,7 +174,7 @@ def _expand(length: int, unit: int):
 
 def _clip(id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, size=BLOCK):
             sizes, removed, spans, kept = [], [], [], []
             for t, own in zip(texts, batch.column("spans").to_pylist(), strict=True):
                 merged: list[dict] = []
