@@ -33,7 +33,7 @@ BROADCAST_ROWS = 300_000
 #: Rounds in which groups with several components try one member against the others before all pairs between components are tried.
 STAR_ROUNDS = 3
 _LAST = (1 << 63) - 1
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:

@@ -32,7 +32,7 @@ ORDER = 3
 MIN_COUNT = 2
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
-_FLUSH = 3_000_000
+_FLUSH = 1_500_000
 #: Quantised log10 values are steps of 2^-12 below zero.
 _STEP = 4096.0
 _U64 = np.uint64

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, linededup, lm, packing, quality, substring, toxicity
+from . import chat, decontaminate, html, jaccard, linededup, lm, packing, quality, substring, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, levels, carry=("held_out",))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -63,7 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_rules, op2_lm_score, op4_toxicity, op5_packing, op6_decontaminate, op7_jaccard_join, op8_chat_format, op9_line_dedup, op10_substring_dedup]
+    own = [op1_quality_rules, op2_lm_score, op3_html_extract, op4_toxicity, op5_packing, op6_decontaminate, op7_jaccard_join, op8_chat_format, op9_line_dedup, op10_substring_dedup]
     return {f.__name__: f for f in own}
 
 
