@@ -104,3 +104,13 @@ def by_bucket(df: DataFrame, n: int, column: str = "bucket") -> DataFrame:
 def crc_mod(col, m: int):
     """crc32 of the value as text, modulo m."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(m)
+
+
+#: A list of at most this many keys is broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def without(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is not in the list (a written table). Null keys stay."""
+    few = keys.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if few else keys, on, "left_anti")

@@ -92,11 +92,11 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["doc", "mark", "keep", "n_dropped"])
 
 
-def _apply(id_name: str):
+def _apply(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, "_text"):
             kept, lines, gone = [], [], []
-            for t, zipped in zip(texts, batch.column("keep").to_pylist(), strict=True):
+            for t, zipped in zip(texts, batch.column("_keep").to_pylist(), strict=True):
                 if zipped is None:
                     kept.append(t)
                     lines.append(t.count(b"\n") + 1)
@@ -109,14 +109,14 @@ def _apply(id_name: str):
                 lines.append(len(own))
                 gone.append(len(own) - len(stay))
             out = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(id_name), out, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [id_name, "kept_text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], out, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept_text", "n_lines", "n_dropped"])
 
     return run
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return docs.select(F.col(id_col), *carry, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -127,7 +127,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     steady(spark)
     n = shuffle_parts(spark)
-    lines = _keyed(docs, id_col, text_col).select("doc", "mark", "text").mapInArrow(_hasher(min_chars), "h1 long, h2 long, doc long, mark long, pos int")
+    lines = _keyed(docs, id_col, text_col).select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), F.col("_text").alias("text")).mapInArrow(_hasher(min_chars), "h1 long, h2 long, doc long, mark long, pos int")
     dealt = lines.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     marks = written(dealt.mapInArrow(_stream, "h1 long, h2 long, doc long, mark long, pos int, first long, edge boolean"), "linededup")
     firsts = marks.where("edge").groupBy("h1", "h2").agg(F.min("first").alias("true_first"))  # two rows a partition at most
@@ -136,15 +136,15 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return drops.groupBy("doc", "mark").agg(F.collect_set("pos").alias("drops")).mapInArrow(_bitmaps, "doc long, mark long, keep binary, n_dropped long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document row: id, kept_text, n_lines (before), n_dropped. Columns other than the two named are not read.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document row: id, the carried columns, kept_text, n_lines (before), n_dropped. Columns not named are not read.
 
     Lines whose key has ``min_chars`` code points or more and occurs in two documents or more stay
     only in the smallest document id that holds it (in all its rows, if the id repeats). Null text: one empty line.
     """
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select("doc", "mark", "keep")
-    keyed = _keyed(docs, id_col, text_col)
-    id_name = keyed.columns[0]
-    joined = keyed.join(maps.hint("shuffle_hash"), ["doc", "mark"], "left").select(id_name, "text", "keep")
-    kind = keyed.schema[id_name].dataType.simpleString()
-    return joined.mapInArrow(_apply(id_name), f"{id_name} {kind}, kept_text string, n_lines long, n_dropped long")
+    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("keep").alias("_keep"))
+    keyed = _keyed(docs, id_col, text_col, carry)
+    names = keyed.columns[: 1 + len(carry)]
+    joined = keyed.join(maps.hint("shuffle_hash"), ["_doc", "_mark"], "left").select(*names, "_text", "_keep")
+    kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)
+    return joined.mapInArrow(_apply(names), f"{kinds}, kept_text string, n_lines long, n_dropped long")

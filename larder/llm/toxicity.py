@@ -190,11 +190,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(feats, y, CHAIN)
 
 
-def _scorer(carried, id_name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(carried, text_col: str):
+    """Batches of rows and their probabilities by category."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         chain: Chain = carried.value
         wanted = np.unique(np.concatenate([m.names for m in chain.models]))
-        for batch, texts in blocks(batches):
+        for batch, texts in blocks(batches, text_col):
             split = [words(t) for t in texts]
             size = [len(w) for w in split]
             coded = pa.array([w for ws in split for w in ws], pa.binary()).dictionary_encode()
@@ -215,8 +217,23 @@ def _scorer(carried, id_name: str):
                 flat, at = flat[order], at[order]
                 fresh = np.concatenate([[True], (flat[1:] != flat[:-1]) | (at[1:] != at[:-1])])
                 flat, at = flat[fresh], at[fresh]
-            probs = chain.probabilities(flat, at, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(id_name), *[pa.array(probs[:, k]) for k in range(probs.shape[1])]], [id_name, *[f"p_{n}" for n in chain.names]])
+            yield batch, chain.probabilities(flat, at, len(texts))
+
+    return run
+
+
+def _scorer(carried, id_name: str, names: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, probs in _scored(carried, "text")(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(id_name), *[pa.array(probs[:, k]) for k in range(probs.shape[1])]], [id_name, *[f"p_{n}" for n in names]])
+
+    return run
+
+
+def _keeper(carried, text_col: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, probs in _scored(carried, text_col)(batches):
+            yield batch.filter(pa.array(probs[:, -1] < threshold))
 
     return run
 
@@ -231,5 +248,11 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     id_name = picked.columns[0]
     kind = picked.schema[id_name].dataType.simpleString()
     carried = docs.sparkSession.sparkContext.broadcast(chain)
-    scored = picked.mapInArrow(_scorer(carried, id_name), f"{id_name} {kind}, " + ", ".join(f"p_{n} double" for n in chain.names))
+    scored = picked.mapInArrow(_scorer(carried, id_name, chain.names), f"{id_name} {kind}, " + ", ".join(f"p_{n} double" for n in chain.names))
     return scored.withColumn("rejected", F.col(f"p_{chain.names[-1]}") >= threshold)
+
+
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose last category stays below the threshold."""
+    carried = docs.sparkSession.sparkContext.broadcast(chain)
+    return docs.mapInArrow(_keeper(carried, text_col, threshold), docs.schema)
