@@ -6,8 +6,9 @@ two similar sets share k tokens of their prefixes. Rare tokens of the prefix are
 one. If all shared tokens are frequent, k of them fall into k - 1 bins, so two fall into one bin:
 frequent tokens are indexed as pairs within bins. Whatever shares an index key is verified on the
 whole sets, first against one member of its group, then, for groups whose members are not yet in one
-component, against other members, and at last pair by pair between components; so groups of near
-copies cost a row a member, and no link between different components is left unseen.
+component, against another; last, members of the smaller components of such groups are the queries of
+a blockwise search of all their groups' members. So groups of near copies cost a row a member, pairs
+are never laid out as rows, and no link between different components is left unseen.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ MAX_FREQUENT = 1 << 22
 #: Frequent prefix tokens that share a bin, about.
 BIN = 8
 BROADCAST_ROWS = 300_000
-#: Rounds in which groups with several components try one member against the others before all pairs between components are tried.
-STAR_ROUNDS = 3
+#: Further rounds in which groups with several components try one member against the others, before the blockwise search.
+STAR_ROUNDS = 1
+#: Bytes of queries that one block of that search holds.
+BLOCK_BYTES = 12 << 20
 _LAST = (1 << 63) - 1
 _FLUSH = 1_000_000
 
@@ -164,11 +167,15 @@ def bins_of(level: int, percent: int = PERCENT) -> int:
     return max(1, round(1.5 * (least - need(least, percent) + 1) / BIN))
 
 
-def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys under which a set is indexed."""
+def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which a set is indexed, and for each how many of the set's tokens can be shared by a pair whose first common key it is.
+
+    Nothing before a rare token is shared if it is the first one shared; and a pair that shares no rare
+    token shares frequent ones only.
+    """
     n = len(s)
     if n < 2:  # a set of one token is similar to its equals alone, which are its class
-        return s[:0]
+        return s[:0], np.zeros(0, np.int64)
     name = (s >> np.uint64(32)).astype(np.uint32)
     at = np.minimum(np.searchsorted(frequent, name), max(len(frequent) - 1, 0))
     often = frequent[at] == name if len(frequent) else np.zeros(n, bool)
@@ -193,48 +200,53 @@ def index_keys(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> n
                 a, b = own[:-gap][same], own[gap:][same]
                 with np.errstate(over="ignore"):
                     keys.append(mix64(mix64(a + np.uint64(level)) * np.uint64(0xD6E8FEB86659FD93) + b))
-    keys.append(ordered[: min(rare, longest)])
-    return np.unique(np.concatenate(keys))
+    single = min(rare, longest)
+    rest = np.concatenate([np.full(sum(len(k) for k in keys), n - rare), n - np.arange(single)])
+    keys, first = np.unique(np.concatenate([*keys, ordered[:single]]), return_index=True)
+    return keys, rest[first]
 
 
 def _index(words: int, buckets: int, frequent, percent: int):
     """Index entries in blobs by bucket: keys, places in the blob's table of sets, the table's names and sizes."""
 
-    def flush(keys, sets):
+    def flush(keys, rests, sets):
         which = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
         flat = np.concatenate(keys)
         bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rest = np.concatenate(rests)[order]
+        rest = rest.astype(np.uint16 if rest.max() < 1 << 16 else np.uint32)
         flat, which = flat[order].astype(np.uint32), which[order]  # within a bucket the lower half tells keys apart well enough: sets are compared whole later
         names = np.frombuffer(b"".join(k for k, _ in sets), np.uint8).reshape(-1, 16)
         sizes = np.array([n for _, n in sets], np.uint32)
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if a < b:
                 used, place = np.unique(which[a:b], return_inverse=True)
-                for col, x in zip(out, (i, flat[a:b].tobytes(), place.astype(np.uint16).tobytes(), names[used].tobytes(), sizes[used].tobytes()), strict=True):
+                for col, x in zip(out, (i, flat[a:b].tobytes(), place.astype(np.uint16).tobytes(), rest[a:b].tobytes(), names[used].tobytes(), sizes[used].tobytes()), strict=True):
                     col.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "keys", "places", "names", "sizes"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], ["bucket", "keys", "places", "rests", "names", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        keys, sets, size = [], [], 0
+        keys, rests, sets, size = [], [], [], 0
         for _, texts in blocks(batches):
             for s in shingle_sets(texts, words):
-                k = index_keys(s, often, percent)
+                k, rest = index_keys(s, often, percent)
                 if len(k):
                     keys.append(k)
+                    rests.append(rest)
                     sets.append((_key(s), len(s)))
                     size += len(k)
                 if len(sets) == 1 << 16:  # places are 16-bit
-                    yield flush(keys, sets)
-                    keys, sets, size = [], [], 0
+                    yield flush(keys, rests, sets)
+                    keys, rests, sets, size = [], [], [], 0
             if size > _FLUSH:
-                yield flush(keys, sets)
-                keys, sets, size = [], [], 0
+                yield flush(keys, rests, sets)
+                keys, rests, sets, size = [], [], [], 0
         if size:
-            yield flush(keys, sets)
+            yield flush(keys, rests, sets)
 
     return run
 
@@ -244,11 +256,12 @@ def _groups(percent: int):
 
 
 def _group(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Groups of two or more sets under one key, equal groups once: group, set, size, hub (the group's least set) and its size."""
-    keys, places, names, sizes, base = [], [], [], [], 0
+    """Groups of two or more sets under one key, equal groups once: group, set, size, tokens that can be shared, and the same of the hub (the group's least set)."""
+    keys, places, rests, names, sizes, base = [], [], [], [], [], 0
     for batch in batches:
-        for k, p, nm, sz in zip(*[batch.column(c).to_pylist() for c in ("keys", "places", "names", "sizes")], strict=True):
+        for k, p, r, nm, sz in zip(*[batch.column(c).to_pylist() for c in ("keys", "places", "rests", "names", "sizes")], strict=True):
             keys.append(np.frombuffer(k, np.uint32))
+            rests.append(np.frombuffer(r, np.uint16 if len(r) < len(k) else np.uint32).astype(np.int64))
             places.append(np.frombuffer(p, np.uint16).astype(np.int64) + base)
             names.append(nm)
             sizes.append(np.frombuffer(sz, np.uint32))
@@ -264,30 +277,31 @@ def _group(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     rank = np.empty(len(rank_of), np.int64)
     rank[rank_of] = np.cumsum(same) - 1  # equal sets from several blobs get one number
     table, size = ordered[same], size[rank_of][same]
-    key, place = np.concatenate(keys), rank[np.concatenate(places)]
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
-    key, place = key[fresh], place[fresh]
-    # Only sets with another of a size that allows a link can matter: look at the neighbours by size within the key.
+    key, place, rest = np.concatenate(keys), rank[np.concatenate(places)], np.concatenate(rests)
+    # A set whose shared tokens cannot suffice even for its smallest partner has no use for the key.
+    use = (100 + percent) * rest >= percent * (size[place] + -(-percent * size[place] // 100))
+    key, place, rest = key[use], place[use], rest[use]
+    # Nor has one without another of a size that allows a link: look at the neighbours by size within the key.
     order = np.lexsort((size[place], key))
-    key, place = key[order], place[order]
-    near = (key[1:] == key[:-1]) & (100 * size[place[:-1]] >= percent * size[place[1:]])
+    key, place, rest = key[order], place[order], rest[order]
+    near = (key[1:] == key[:-1]) & (100 * size[place[:-1]] >= percent * size[place[1:]]) & (place[1:] != place[:-1])
     keep = np.zeros(len(key), bool)
     keep[1:] |= near
     keep[:-1] |= near
-    key, place = key[keep], place[keep]
+    key, place, rest = key[keep], place[keep], rest[keep]
+    order = np.lexsort((-rest, place, key))
+    key, place, rest = key[order], place[order], rest[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+    key, place, rest = key[fresh], place[fresh], rest[fresh]
     if not len(key):
         return
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(start, len(key)))
     with np.errstate(over="ignore"):
         t = table.astype(np.uint64)
         print_of = mix64(t[:, 0] + np.uint64(1)) + mix64(t[:, 1])
-        gid = mix64(np.add.reduceat(print_of[place], start) + count.astype(np.uint64))
+        gid = mix64(np.add.reduceat(mix64(print_of[place] + rest.astype(np.uint64)), start) + count.astype(np.uint64))
     many = np.flatnonzero(count > 1)
     _, one = np.unique(gid[many], return_index=True)
     many = many[np.sort(one)]
@@ -295,9 +309,9 @@ def _group(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         own = many[at : at + 20_000]
         n = count[own]
         idx = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        who = place[idx]
-        hub = np.repeat(place[start[own]], n)  # places are ranks, so the first is the least
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid[own], n).view(np.int64)), _binary16(table[who].tobytes(), len(who)), pa.array(size[who]), _binary16(table[hub].tobytes(), len(hub)), pa.array(size[hub])], ["gid", "k", "n", "hub", "hub_n"])
+        who, hub_at = place[idx], np.repeat(start[own], n)  # places are ranks, so the first is the least
+        hub = place[hub_at]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid[own], n).view(np.int64)), _binary16(table[who].tobytes(), len(who)), pa.array(size[who]), pa.array(rest[idx]), _binary16(table[hub].tobytes(), len(hub)), pa.array(size[hub]), pa.array(rest[hub_at])], ["gid", "k", "n", "m", "hub", "hub_n", "hub_m"])
 
 
 def _tokens(words: int):
@@ -308,6 +322,14 @@ def _tokens(words: int):
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,12 +338,7 @@ def _verify(percent: int):
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                 if x is not last:
                     last, left = x, np.frombuffer(x, np.uint64)
-                right = np.frombuffer(y, np.uint64)
-                small, large = (left, right) if len(left) <= len(right) else (right, left)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common = int((large[at] == small).sum())
-                ok.append(100 * common >= percent * (len(left) + len(right) - common))
+                ok.append(_alike(left, np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], ["a", "b"])
 
     return run
@@ -347,9 +364,80 @@ def components(edges: DataFrame) -> DataFrame:
     return own.select(F.col("u").alias("k"), F.col("v").alias("label"))
 
 
-def similar(a, b, percent: int):
-    """Sizes that a link allows."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+def similar(n, m, other_n, other_m, percent: int):
+    """Sizes and shared tokens that a link allows."""
+    return (F.lit(100) * F.least(n, other_n) >= F.lit(percent) * F.greatest(n, other_n)) & (F.lit(100 + percent) * F.least(m, other_m) >= F.lit(percent) * (n + other_n))
+
+
+def _candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of groups with several components: set, size, component and its weight, groups, whether it is a query, tokens.
+
+    A member is a query if a heavier component (ties by name) is in one of its groups, so of any two
+    members of different components in one group the lighter one is.
+    """
+    weights = labels.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("weight"))
+    placed = groups.join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label")).join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    top = placed.groupBy("gid").agg(F.max(F.struct("weight", "label")).alias("top"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid", "top")
+    own = placed.join(top, "gid").groupBy("k").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.first("weight").alias("weight"), F.collect_list(F.struct("gid", "m")).alias("at"), F.max(F.struct("weight", "label") < F.col("top")).alias("query"))
+    return own.join(sets, "k")
+
+
+def _query_blocks(cands: DataFrame) -> Iterator[dict]:
+    """The queries in blocks of bounded size, streamed: their sets, components, and for each group the queries in it."""
+
+    def packed(rows):
+        where: dict[int, list[tuple[int, int]]] = {}
+        for i, r in enumerate(rows):
+            for x in r["at"]:
+                where.setdefault(x["gid"], []).append((i, x["m"]))
+        return {"k": [bytes(r["k"]) for r in rows], "tokens": [np.frombuffer(r["tokens"], np.uint64) for r in rows], "label": [bytes(r["label"]) for r in rows], "n": np.array([r["n"] for r in rows]), "rank": [(r["weight"], bytes(r["label"])) for r in rows], "groups": {g: np.array(v) for g, v in where.items()}}
+
+    rows, size = [], 0
+    for r in cands.where("query").toLocalIterator():
+        rows.append(r)
+        size += len(r["tokens"]) + 100 * len(r["at"])
+        if size > BLOCK_BYTES:
+            yield packed(rows)
+            rows, size = [], 0
+    if rows:
+        yield packed(rows)
+
+
+def _search(carried, percent: int):
+    """Candidates against the block's queries that share a group: links between components that no earlier link of the task has joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = carried.value
+        joined: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := joined.get(x, x)) != x:
+                joined[x] = joined.get(up, up)
+                x = up
+            return x
+
+        for batch in batches:
+            left, right = [], []
+            at = batch.column("at")
+            gids, ms, ends = at.flatten().field(0).to_numpy(), at.flatten().field(1).to_numpy(), at.offsets.to_numpy()
+            ends = ends - ends[0]
+            for i, (k, n, label, weight, raw) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("k", "n", "label", "weight", "tokens")], strict=True)):
+                near = []
+                for g, m in zip(gids[ends[i] : ends[i + 1]].tolist(), ms[ends[i] : ends[i + 1]].tolist(), strict=True):
+                    own = q["groups"].get(g)
+                    if own is not None:
+                        near.append(own[(100 + percent) * np.minimum(own[:, 1], m) >= percent * (q["n"][own[:, 0]] + n), 0])
+                if not near:
+                    continue
+                tokens, here = np.frombuffer(raw, np.uint64), (weight, label)
+                for x in np.unique(np.concatenate(near)).tolist():
+                    if q["rank"][x] < here and 100 * min(n, int(q["n"][x])) >= percent * max(n, int(q["n"][x])) and root(q["label"][x]) != root(label) and _alike(q["tokens"][x], tokens, percent):
+                        joined[root(q["label"][x])] = root(label)
+                        left.append(q["k"][x])
+                        right.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    return run
 
 
 def _narrow(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -384,8 +472,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     del named, counted
     release(spark)
 
-    entries = single.select("text").mapInArrow(_index(words, buckets, frequent, percent), "bucket int, keys binary, places binary, names binary, sizes binary")
-    groups = written(by_bucket(entries, buckets).mapInArrow(_groups(percent), "gid long, k binary, n long, hub binary, hub_n long").dropDuplicates(["gid", "k"]), "groups")
+    entries = single.select("text").mapInArrow(_index(words, buckets, frequent, percent), "bucket int, keys binary, places binary, rests binary, names binary, sizes binary")
+    groups = written(by_bucket(entries, buckets).mapInArrow(_groups(percent), "gid long, k binary, n long, m long, hub binary, hub_n long, hub_m long").dropDuplicates(["gid", "k"]), "groups")
 
     del entries
     release(spark)
@@ -397,30 +485,30 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         left, right = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a binary, b binary")
 
-    tried = groups.where((F.col("k") > F.col("hub")) & similar(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
+    tried = groups.where((F.col("k") > F.col("hub")) & similar(F.col("n"), F.col("m"), F.col("hub_n"), F.col("hub_m"), percent)).select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
     tried = written(tried, "pairs")
     links = written(verified(tried), "links")
     labels = components(links)
-    groups = groups.select("gid", "k", "n")
+    groups = groups.select("gid", "k", "n", "m")
     release(spark)
     for turn in range(1, STAR_ROUNDS + 1):
-        placed = groups.join(labels, "k", "left").select("gid", "k", "n", F.coalesce("label", "k").alias("label"))
-        mixed = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "label")).alias("hub")).where("x <> y").select("gid", "hub")
-        groups = written(placed.join(mixed, "gid").select("gid", "k", "n", "label", "hub"), "mixed")
-        if turn < STAR_ROUNDS:
-            new = groups.where((F.col("label") != F.col("hub.label")) & similar(F.col("n"), F.col("hub.n"), percent)).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
-        else:
-            x, y = groups.select("gid", F.col("k").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), groups.select("gid", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            new = x.join(y, "gid").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & similar(F.col("na"), F.col("nb"), percent)).select("a", "b")
-        new = written(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(new)
-        found = written(verified(new), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(found))
-        groups = groups.select("gid", "k", "n")
+        placed = groups.join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label"))
+        mixed = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "m", "label")).alias("hub")).where("x <> y").select("gid", "hub")
+        groups = written(placed.join(mixed, "gid").select("gid", "k", "n", "m", "label", "hub"), "mixed")
+        new = groups.where((F.col("label") != F.col("hub.label")) & similar(F.col("n"), F.col("m"), F.col("hub.n"), F.col("hub.m"), percent)).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
+        found = written(verified(written(new.distinct(), "pairs")), "links")
+        labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(found))
+        groups = groups.select("gid", "k", "n", "m")
         release(spark)
 
+    cands = written(_candidates(groups, labels, sets), "candidates")
+    found = None
+    for block in _query_blocks(cands):
+        part = cands.select("k", "n", "label", "weight", "at", "tokens").mapInArrow(_search(spark.sparkContext.broadcast(block), percent), "a binary, b binary")
+        found = part if found is None else found.unionByName(part)
+    if found is not None:
+        labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(written(found, "links")))
+
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))
     firsts = placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first"))
     out = placed.join(firsts, "label", "left")
