@@ -14,6 +14,7 @@ executors as files, which they map; what they map grows with the corpus, what a
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 from collections.abc import Iterator
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, by_bucket, crc_mod, mix64, shuffle_parts, written
+from .common import blocks, by_bucket, crc_mod, mix64, release, shuffle_parts, written
+from .substring import Prints
 
 ORDER = 3
 #: An n-gram of two words or more is kept from this count on; the mass of the others goes to the lower orders.
@@ -99,18 +101,29 @@ class EliasFano:
         place = word * 64 + _select(self.high[word], i - self.ones[word].astype(np.int64))
         return ((place - i).astype(_U64) << _U64(self.low_bits)) | self.low(i)
 
-    def _before(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a high part below ``high``."""
-        z = np.maximum(high - 1, 0)
-        z = np.minimum(z, self.zeros[-1] - 1)
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From which place to which values have this high part: the ones between a zero and the next."""
+        z = np.minimum(high - 1, self.zeros[-1] - 1)
         word = np.searchsorted(self.zeros, z, side="right") - 1
-        place = word * 64 + _select(~self.high[word], z - self.zeros[word])
-        return np.where(high <= 0, 0, np.minimum(place - z, self.n))
+        word[high <= 0] = 0
+        place = word * 64 + np.where(high <= 0, -1, _select(~self.high[word], np.maximum(z - self.zeros[word], 0)))
+        lo = np.where(high <= 0, 0, place - z)
+        after = place + 1
+        word, bit = after >> 6, (after & 63).astype(_U64)
+        run = ~(self.high[np.minimum(word, len(self.high) - 1)] >> bit)  # its lowest one ends the run of ones
+        ones = np.bitwise_count((run & (~run + _U64(1))) - _U64(1)).astype(np.int64)
+        hi = lo + ones
+        over = np.flatnonzero(ones >= 64 - bit.astype(np.int64))  # the run goes on in the next word
+        if len(over):
+            z = np.minimum(np.maximum(high[over], 0), self.zeros[-1] - 1)
+            word = np.searchsorted(self.zeros, z, side="right") - 1
+            hi[over] = word * 64 + _select(~self.high[word], z - self.zeros[word]) - z
+        return np.minimum(lo, self.n), np.minimum(hi, self.n)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first value >= x, and whether it equals x; sorted or not."""
         high = (x >> _U64(self.low_bits)).astype(np.int64)
-        lo, hi = self._before(high), self._before(high + 1)
+        lo, hi = self._bucket(high)
         end, want = hi.copy(), x & _U64((1 << self.low_bits) - 1)
         todo = np.flatnonzero(lo < hi)
         while len(todo):
@@ -162,6 +175,24 @@ def restore(q: np.ndarray) -> np.ndarray:
     return 10.0 ** (q.astype(np.float64) / -_STEP)
 
 
+def _sieve_bits(size: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix64((parents.astype(_U64) << _U64(32)) ^ words.astype(_U64)) & _U64(size - 1)
+
+
+def make_sieve(parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A bit for each child by hash, eight places a child, that turns most absent ones away before any search."""
+    size = 1 << max(6, int(8 * len(parents)).bit_length())
+    out = np.zeros(size // 64, _U64)
+    bit = _sieve_bits(size, parents, words)
+    np.bitwise_or.at(out, (bit >> _U64(6)).astype(np.int64), _U64(1) << (bit & _U64(63)))
+    return out
+
+
+def _in_sieve(sieve: np.ndarray, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
+    bit = _sieve_bits(len(sieve) * 64, parents, words)
+    return (sieve[(bit >> _U64(6)).astype(np.int64)] >> (bit & _U64(63))) & _U64(1) != 0
+
+
 class Words:
     """Level 1: hashes in ranges; a word's id is its place among all."""
 
@@ -194,7 +225,8 @@ class Children:
         self.spans = np.array([s["span"] for s in segments], np.int64).reshape(-1, 2)
         self.ptr = [EliasFano(_under(s, "ptr")) for s in segments]
         self.child = [EliasFano(_under(s, "child")) for s in segments]
-        self.alpha, self.gamma, self.counts_of = [s["alpha"] for s in segments], [s["gamma"] for s in segments], [s["counts"] for s in segments]
+        self.sieve = [s["sieve"] for s in segments]
+        self.alpha, self.gamma, self.counts_of = [s["alpha"] for s in segments], [s["gamma"] for s in segments], [s.get("counts") for s in segments]
         self.offset = np.concatenate([[0], np.cumsum([q.n for q in self.child])]).astype(np.int64)
 
     def find(self, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,23 +238,23 @@ class Children:
             a, b = np.searchsorted(p, [lo, hi])
             if a == b:
                 continue
-            local, first = np.unique(p[a:b], return_index=True)
-            times = np.diff(np.append(first, b - a))
-            local = local - lo
+            gamma[order[a:b]] = restore(self.gamma[s][p[a:b] - lo])
+            own = a + np.flatnonzero(w[a:b] >= 0)
+            own = own[_in_sieve(self.sieve[s], p[own], w[own])]
+            if not len(own):
+                continue
+            local, back = np.unique(p[own] - lo, return_inverse=True)
             begin, end = self.ptr[s].access(local).astype(np.int64), self.ptr[s].access(local + 1).astype(np.int64)
-            gamma[order[a:b]] = np.repeat(restore(self.gamma[s][local]), times)
             base = np.zeros(len(local), _U64)
             some = (begin > 0) & (end > begin)
             base[some] = self.child[s].access(begin[some] - 1) + _U64(1)
-            full = np.repeat(end > begin, times) & (w[a:b] >= 0)
-            if not full.any():
-                continue
-            own = np.flatnonzero(full)
-            at, ok = self.child[s].successor(np.repeat(base, times)[own] + w[a:b][own].astype(_U64))
-            ok &= at < np.repeat(end, times)[own]  # a value of the next context may be equal
+            full = (end > begin)[back]
+            own, back = own[full], back[full]
+            at, ok = self.child[s].successor(base[back] + w[own].astype(_U64))
+            ok &= at < end[back]  # a value of the next context may be equal
             own, at = own[ok], at[ok]
-            node[order[a:b][own]] = at + self.offset[s]
-            alpha[order[a:b][own]] = restore(self.alpha[s][at])
+            node[order[own]] = at + self.offset[s]
+            alpha[order[own]] = restore(self.alpha[s][at])
         return node, alpha, gamma
 
     def counts(self, lo: int, hi: int) -> np.ndarray:
@@ -249,26 +281,26 @@ def segments_of(level: Level) -> list[dict[str, np.ndarray]]:
     if level.files in _open:
         return _open[level.files]
     name = os.path.join(SparkFiles.getRootDirectory(), f"trie-{xxhash.xxh3_64_hexdigest(chr(10).join(level.files))}")
-    if not os.path.exists(name):
-        part = f"{name}.{os.getpid()}"
-        rows = []
-        for f in level.files:
-            p = pq.ParquetFile(SparkFiles.get(f))
-            for g in range(p.num_row_groups):
-                rows += [(r, f, g, i) for i, r in enumerate(p.read_row_group(g, columns=["segment"]).column(0).to_pylist())]
-        with open(part, "wb") as out:
-            places, last, blobs = [], None, None
-            for r, f, g, i in sorted(rows, key=lambda x: x[1:]):
-                if last != (f, g):
-                    last, blobs = (f, g), pq.ParquetFile(SparkFiles.get(f)).read_row_group(g, columns=["blob"]).column(0)
-                raw = blobs[i].as_buffer()
-                places.append((r, out.tell(), raw.size))
-                out.write(raw)
-                out.write(b"\0" * (-raw.size % 8))
-            end = out.tell()
-            out.write(json.dumps(sorted(places)).encode())
-            out.write(end.to_bytes(8, "little"))
-        os.replace(part, name)
+    with open(f"{name}.lock", "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)  # one of an executor's workers lays the file out
+        if not os.path.exists(name):
+            places = []
+            with open(f"{name}.part", "wb") as out:
+                for f in level.files:
+                    p = pq.ParquetFile(SparkFiles.get(f))
+                    for g in range(p.num_row_groups):
+                        rows = p.read_row_group(g, columns=["segment", "blob"])
+                        for r, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                            raw = blob.as_buffer()
+                            places.append((r, out.tell(), raw.size))
+                            out.write(raw)
+                            out.write(b"\0" * (-raw.size % 8))
+                end = out.tell()
+                out.write(json.dumps(sorted(places)).encode())
+                out.write(end.to_bytes(8, "little"))
+            os.replace(f"{name}.part", name)
+            for f in level.files:  # an executor's copies; new executors fetch their own
+                os.remove(SparkFiles.get(f))
     flat = np.memmap(name, np.uint8, "r")
     end = int(flat[-8:].view("<u8")[0])
     _open[level.files] = [unpack(flat[at : at + n]) for _, at, n in json.loads(flat[end:-8].tobytes())]
@@ -293,13 +325,28 @@ def _ship(spark: SparkSession, segments: DataFrame) -> Level:
 # --- counting -------------------------------------------------------------------------------------
 
 
+#: The end of a text as a token.
+END = _U64(0x5851F42D4C957F2D)
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct tokens, the tokens as places among them, and the tokens of each text; its end is the empty word."""
-    split = [t.lower().split() for t in texts]
-    flat = [w for ws in split for w in (*ws, b"")]
-    coded = pa.array(flat, pa.binary()).dictionary_encode()
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], _U64)
-    return hashes, coded.indices.to_numpy(), np.array([len(ws) + 1 for ws in split], np.int64)
+    """Names of the distinct tokens, the tokens as places among them, and the tokens of each text: its words, lower-cased, and its end. A word's name is a 64-bit fingerprint of its bytes."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    bounds = np.cumsum([len(t) + 1 for t in texts])
+    inside = ~_SPACES[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]  # the last byte is a space, so every word ends
+    name = Prints(_LOWER[raw]).of(start, end - start)
+    text = np.searchsorted(bounds, start, side="right")
+    size = np.bincount(text, minlength=len(texts)) + 1
+    all_names = np.full(len(name) + len(texts), END)
+    all_names[np.arange(len(name)) + text] = name
+    names, codes = np.unique(all_names, return_inverse=True)
+    return names, codes, size
 
 
 class _Counter:
@@ -430,7 +477,7 @@ def _prune(least: int, segments: int, parents: int):
     return run
 
 
-def _child_segments(below: list[Level], segments: int, parents: int, discount: float, vocabulary: int):
+def _child_segments(below: list[Level], segments: int, parents: int, discount: float, vocabulary: int, last_level: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = None
         for seg, (keys, counts) in sorted(_gather(batches).items()):
@@ -446,7 +493,7 @@ def _child_segments(below: list[Level], segments: int, parents: int, discount: f
             last = np.where(n > 0, word[np.maximum(ptr[1:] - 1, 0)] + 1, 0)  # a range's values end below its base plus this
             base = np.concatenate([[0], np.cumsum(last)])
             value = base[parent] + word
-            blob = pack({"span": np.array([lo, hi], np.int64), "alpha": quantise(np.log10(share)), "gamma": quantise(np.log10(mass)), "counts": c.astype(np.uint32)} | _named("ptr", encode(ptr, len(k) + 1)) | _named("child", encode(value, int(base[-1]) + vocabulary + 1)))
+            blob = pack({"span": np.array([lo, hi], np.int64), "alpha": quantise(np.log10(share)), "gamma": quantise(np.log10(mass)), "sieve": make_sieve(parent + lo, word)} | ({} if last_level else {"counts": c.astype(np.uint32)}) | _named("ptr", encode(ptr, len(k) + 1)) | _named("child", encode(value, int(base[-1]) + vocabulary + 1)))
             yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([blob], pa.binary())], ["segment", "nodes", "total", "blob"])
 
     return run
@@ -461,14 +508,16 @@ def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disc
     parts = shuffle_parts(spark)
     counted = by_bucket(texts.mapInArrow(_count_words(parts), _BLOBS), parts)
     levels = [_ship(spark, counted.mapInArrow(_word_segments(parts), _SEGMENTS))]
-    for _ in range(2, order + 1):
+    for n in range(2, order + 1):
+        release(spark)
         parents, vocabulary = levels[-1].nodes, levels[0].nodes
         if parents >= 1 << 32 or vocabulary >= (1 << 32) - 1:
             raise ValueError("a level of the trie holds fewer than 2^32 nodes")
         buckets = parts * max(1, -(-levels[0].total // (parts * 20_000_000)))
         keys = by_bucket(texts.mapInArrow(_count_next(levels, buckets), _BLOBS), buckets)
         kept = by_bucket(keys.mapInArrow(_prune(min_count, parts, parents), _BLOBS), parts)
-        levels.append(_ship(spark, kept.mapInArrow(_child_segments(levels, parts, parents, discount, vocabulary), _SEGMENTS)))
+        levels.append(_ship(spark, kept.mapInArrow(_child_segments(levels, parts, parents, discount, vocabulary, n == order), _SEGMENTS)))
+    release(spark)
     return levels
 
 
