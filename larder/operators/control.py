@@ -121,3 +121,27 @@ def rollovers(events: DataFrame, key: list[str], order: list[str], day: str) ->
     """Rows at which the day changes, so that the container before them is finalised."""
     before = F.lag(day).over(Window.partitionBy(*key).orderBy(*order))
     return events.withColumn("closes_day", before).where(F.col("closes_day") != F.col(day))
+
+
+def replay_locks(requests: DataFrame, shard: str, holder: str, ts: str, order: list[str], ttl: int) -> DataFrame:
+    """Lock requests replayed shard by shard in order (ts and ttl in one integer unit): whether each acquires, and until when the shard is held after it. Streams over sorted rows, one lock at a time."""
+    import pyarrow as pa
+
+    seen = list(dict.fromkeys([shard, holder, ts, *order]))
+
+    def run(batches):
+        current, owner, until = object(), None, None
+        for batch in batches:
+            won, held = [], []
+            for s, h, t in zip(*[batch.column(c).to_pylist() for c in (shard, holder, ts)], strict=True):
+                if s != current:
+                    current, owner, until = s, None, None
+                ok = owner is None or until < t or owner == h
+                if ok:
+                    owner, until = h, t + ttl
+                won.append(ok)
+                held.append(until)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in seen], pa.array(won), pa.array(held, pa.int64())], [*seen, "acquired", "held_until"])
+
+    kinds = ", ".join(f"{c} {requests.schema[c].dataType.simpleString()}" for c in seen)
+    return requests.select(*seen).repartition(F.col(shard)).sortWithinPartitions(shard, *order).mapInArrow(run, f"{kinds}, acquired boolean, held_until long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import scalars as S
 from ..operators import cachesim, catalog, control, layout, metrics, recovery, routing
+from ..sources import archive, store
 from . import domain as D
 from .registry import query
 
@@ -729,3 +730,61 @@ def q_checkpoint_count(spark, d):
 @query("q_daily_window", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def q_daily_window(spark, d):
     return D.table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "n")
+
+
+_REPLAY = """WITH RECURSIVE o AS (SELECT user_id, event_id, event_type AS h, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, h AS owner, us + 21600000000 AS held_until, true AS acquired FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN r.held_until < o.us OR r.owner = o.h THEN o.h ELSE r.owner END, CASE WHEN r.held_until < o.us OR r.owner = o.h THEN o.us + 21600000000 ELSE r.held_until END, r.held_until < o.us OR r.owner = o.h FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT event_id, acquired, held_until FROM r"""
+
+
+@query("q_lock_replay", _REPLAY)
+def q_lock_replay(spark, d):
+    e = D.table(spark, d, "events").select("user_id", "event_id", "event_type", F.unix_micros(c("ts").cast("timestamp")).alias("us"))
+    return control.replay_locks(e, "user_id", "event_type", "us", ["us", "event_id"], 21_600_000_000).select("event_id", "acquired", "held_until")
+
+
+# --- archives, written and read back ------------------------------------------------------------------
+
+_STORED = "(SELECT 'DOC' || doc_id || '_' || strftime(DATE '2024-01-01' + CAST(doc_id % 7 AS INTEGER), '%Y%m%d') || '_x.txt' AS name, doc_id, text FROM documents)"
+
+
+def _store(spark, d):
+    """All documents packed into one archive for each day and shard, in a folder of the shared space."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-store-")
+    path = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    rows = D.files(spark, d, payload=True).select(F.concat(lit("DOC"), c("id").cast("string"), lit("_"), F.date_format("day", "yyyyMMdd"), lit("_x.txt")).alias("name"), "day", c("text").cast("binary").alias("data"))
+    store.write_store(rows, path, 2)
+    return path
+
+
+@query("q_archive_roundtrip", f"SELECT name, CAST(strlen(text) AS BIGINT) AS data_length, sha256(text) AS digest FROM {_STORED}")
+def q_archive_roundtrip(spark, d):
+    return store.read_store(spark, _store(spark, d), payload=True).select("name", "data_length", F.sha2("data", 256).alias("digest"))
+
+
+@query("q_archive_index", f"SELECT name, CAST(strlen(text) AS BIGINT) AS data_length, 0::BIGINT AS flags FROM {_STORED}")
+def q_archive_index(spark, d):
+    return store.read_store(spark, _store(spark, d)).select("name", "data_length", "flags")
+
+
+@query("q_archive_point_lookup", f"SELECT name, sha256(text) AS digest FROM {_STORED} WHERE doc_id = 77")
+def q_archive_point_lookup(spark, d):
+    return store.read_store(spark, _store(spark, d), payload=True).where(c("name") == "DOC77_20240101_x.txt").select("name", F.sha2("data", 256).alias("digest"))
+
+
+@query("q_archive_batch_read", f"SELECT name, sha256(text) AS digest, 200 AS status FROM {_STORED} WHERE doc_id % 50 = 3 UNION ALL SELECT 'DOC' || doc_id || '_20231231_x.txt', NULL, 404 FROM documents WHERE doc_id % 200 = 9")
+def q_archive_batch_read(spark, d):
+    docs = D.table(spark, d, "documents")
+    name = lambda day: F.concat(lit("DOC"), c("doc_id").cast("string"), lit("_"), day, lit("_x.txt")).alias("name")
+    asked = docs.where("doc_id % 50 = 3").select(name(F.date_format(F.date_add(lit("2024-01-01").cast("date"), (c("doc_id") % 7).cast("int")), "yyyyMMdd"))).unionByName(docs.where("doc_id % 200 = 9").select(name(lit("20231231"))))
+    return store.lookup(spark, asked, _store(spark, d), 2).select("name", F.sha2("data", 256).alias("digest"), "status")
+
+
+@query("q_archive_footers", f"SELECT count(*) AS archives, CAST(sum(n) AS BIGINT) AS members, CAST(sum(b) AS BIGINT) AS data_bytes, 0::BIGINT AS faults FROM (SELECT doc_id % 7 AS day, {D.sha_bits('name', 2)} AS s, count(*) AS n, sum(strlen(text)) AS b FROM {_STORED} GROUP BY ALL)")
+def q_archive_footers(spark, d):
+    f = archive.footers(spark, _store(spark, d))
+    return f.agg(F.count(lit(1)).alias("archives"), F.sum("file_count").alias("members"), F.sum("data_length").alias("data_bytes"), F.count_if(c("error").isNotNull()).alias("faults"))
