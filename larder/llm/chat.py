@@ -52,7 +52,8 @@ def visit(parts: Column) -> tuple[Column, Column]:
         F.transform(parts, lambda p: F.when(p["type"].isin(*KINDS), F.concat(F.lit("<|"), p["type"], F.lit(":"), escape(F.replace(F.coalesce(p["ref"], F.lit("")), F.lit("|>"), F.lit("%7C%3E"))), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))),
         "",
     )
-    found = F.transform(F.filter(parts, lambda p: p["type"].isin(*KINDS)), lambda p, i: F.struct(i.cast("int").alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens")))
+    found = F.transform(parts, lambda p, i: F.struct(i.cast("int").alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens")))
+    found = F.filter(found, lambda f: f["type"].isin(*KINDS))
     return body, found
 
 
