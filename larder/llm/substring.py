@@ -26,7 +26,7 @@ LENGTH = 400
 BLOCK = 1 << 20
 #: Windows in a unit.
 UNIT = 32
-#: A table of at most this many rows is broadcast; larger ones are joined by shuffle.
+#: Keys of at most this many documents are broadcast (two numbers each); more are met by shuffle.
 BROADCAST_ROWS = 300_000
 _LAST = (1 << 63) - 1
 _TABLES = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -117,57 +117,75 @@ def _find(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, size=BLOCK):
-            raw, bounds = _layout(texts)
-            doc, a, p0, p1, prints = anchors(raw, bounds, length)
-            if not len(a):
-                continue
-            end, begin, idx = bounds[doc + 1], bounds[doc], pa.array(doc)
-            name = prints.of(a, k)
-            cols = [batch.column("doc").take(idx), batch.column("mark").take(idx), pa.array((a - begin).astype(np.int32)), pa.array((p0 - begin).astype(np.int32)), pa.array((p1 - begin).astype(np.int32)), _signed(name)]
-            h = k
-            for _ in range(2):  # the name of twice the length from the pair of names at the offset
-                short = a + 2 * h > end
-                with np.errstate(over="ignore"):
-                    # names are of bytes alone, so the pair's second half is the doubled name of the place it starts at
+            for row, shift, pieces in _pieces(texts, length):
+                raw, bounds = _layout(pieces)
+                doc, a, p0, p1, prints = anchors(raw, bounds, length)
+                if not len(a):
+                    continue
+                end, begin, idx = bounds[doc + 1], bounds[doc] - shift[doc], pa.array(row[doc])
+                cols = [batch.column("doc").take(idx), batch.column("mark").take(idx), pa.array((a - begin).astype(np.int32)), pa.array((p0 - begin).astype(np.int32)), pa.array((p1 - begin).astype(np.int32)), _signed(prints.of(a, k))]
+                for h in (k, 2 * k):  # the name of twice the length, from the pair of names at the place and at the offset
+                    short = a + 2 * h > end
                     left, right = prints.of(a, np.where(short, 0, h)), prints.of(np.where(short, a, a + h), np.where(short, 0, h))
-                    cols.append(_signed(mix64(left * np.uint64(3) + right), short))
-                h *= 2
-            size = p1 - p0 + length
-            cols += [_signed(prints.of(p0, size)), _signed(prints.of(p0, size, 1))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "mark", "a", "p0", "p1", "n0", "n1", "n2", "c1", "c2"])
+                    with np.errstate(over="ignore"):
+                        cols.append(_signed(mix64(left * np.uint64(3) + right), short))
+                size = p1 - p0 + length
+                cols += [_signed(prints.of(p0, size)), _signed(prints.of(p0, size, 1))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "mark", "a", "p0", "p1", "n0", "n1", "n2", "c1", "c2"])
 
     return run
 
 
+def _pieces(texts: list[bytes], length: int):
+    """The texts as they are, or a very long one in pieces that overlap, so that every window lies in one: rows, shifts and bytes of the pieces to lay out together."""
+    if len(texts) > 1 or not texts or len(texts[0]) <= 2 * BLOCK:
+        yield np.arange(len(texts)), np.zeros(len(texts), np.int64), texts
+        return
+    t = texts[0]
+    for at in range(0, len(t) - length + 1, BLOCK):
+        yield np.zeros(1, np.int64), np.array([at]), [t[at : at + BLOCK + length - 1]]
+
+
 def _expand(length: int, unit: int):
     """Units (or, for unit 1, windows) of the runs listed with each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, size=BLOCK):
-            raw, bounds = _layout(texts)
-            prints = Prints(raw)
             todo = batch.column("todo")
             counts = np.diff(todo.offsets.to_numpy())
             flat = todo.flatten()
-            doc = np.repeat(np.arange(len(texts)), counts)
-            a, p0, p1 = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            lo_g, hi_g = (a - p1) // unit, (a - p0) // unit
-            n = hi_g - lo_g + 1
-            for at in range(0, len(a), 20_000):
-                s = slice(at, at + 20_000)
-                row = np.repeat(np.arange(len(a))[s], n[s])
-                g = np.arange(n[s].sum()) - np.repeat(np.cumsum(n[s]) - n[s], n[s]) + lo_g[row]
-                begin, end = bounds[doc[row]], bounds[doc[row] + 1]
-                high, low = a[row] - unit * g, a[row] - unit * g - unit + 1
-                own_low, own_high = np.maximum(low, p0[row]), np.minimum(high, p1[row])
-                core = mix64(prints.of(begin + high, low + length - high) ^ g.astype(np.uint64))
-                outside = (low < 0) | (begin + high + length > end)
-                x0, x1 = np.where(outside, 0, begin + low), np.where(outside, 0, high - low + length)
-                idx = pa.array(doc[row])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(idx), batch.column("mark").take(idx), pa.array(a[row].astype(np.int32)), pa.array(own_low.astype(np.int32)), pa.array(own_high.astype(np.int32)), _signed(core), _signed(prints.of(x0, x1), outside), _signed(prints.of(x0, x1, 1), outside)],
-                    ["doc", "mark", "a", "p0", "p1", "n0", "c1", "c2"],
-                )
+            runs = [flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            owner = np.repeat(np.arange(len(texts)), counts)
+            if len(texts) > 1 or len(texts[0]) <= 2 * BLOCK:
+                yield from _units(batch, texts, np.zeros(len(texts), np.int64), np.array([len(t) for t in texts]), owner, *runs)
+                continue
+            t = texts[0]
+            for part in np.unique(runs[0] // BLOCK):  # a very long text, a stretch of anchors at a time
+                own = runs[0] // BLOCK == part
+                a, p0, p1 = (x[own] for x in runs)
+                low = max(0, int(p0.min()) - 2 * unit)
+                yield from _units(batch, [t[low : int(p1.max()) + length + 2 * unit]], np.array([low]), np.array([len(t)]), owner[own], a, p0, p1)
+
+    def _units(batch, texts, shift, sizes, doc, a, p0, p1) -> Iterator[pa.RecordBatch]:
+        raw, bounds = _layout(texts)
+        prints = Prints(raw)
+        lo_g, hi_g = (a - p1) // unit, (a - p0) // unit
+        n = hi_g - lo_g + 1
+        for at in range(0, len(a), 20_000):
+            s = slice(at, at + 20_000)
+            row = np.repeat(np.arange(len(a))[s], n[s])
+            g = np.arange(n[s].sum()) - np.repeat(np.cumsum(n[s]) - n[s], n[s]) + lo_g[row]
+            begin = bounds[doc[row]] - shift[doc[row]]
+            high, low = a[row] - unit * g, a[row] - unit * g - unit + 1
+            own_low, own_high = np.maximum(low, p0[row]), np.minimum(high, p1[row])
+            core = mix64(prints.of(begin + high, low + length - high) ^ g.astype(np.uint64))
+            outside = (low < 0) | (high + length > sizes[doc[row]])
+            x0, x1 = np.where(outside, 0, begin + low), np.where(outside, 0, high - low + length)
+            idx = pa.array(doc[row])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(idx), batch.column("mark").take(idx), pa.array(a[row].astype(np.int32)), pa.array(own_low.astype(np.int32)), pa.array(own_high.astype(np.int32)), _signed(core), _signed(prints.of(x0, x1), outside), _signed(prints.of(x0, x1, 1), outside)],
+                ["doc", "mark", "a", "p0", "p1", "n0", "c1", "c2"],
+            )
 
     return run
 
@@ -203,9 +221,20 @@ def _repeated(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _with_texts(keyed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join lists made for documents to the documents: broadcast if they are few, else by shuffle."""
-    few = lists.count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(lists) if few else lists.hint("shuffle_hash"), ["doc", "mark"], how)
+    """Join the lists made for documents to the documents.
+
+    The lists are never broadcast. If they are for few documents, their keys are, so that only those
+    documents' texts are shuffled to meet them; else all texts are.
+    """
+    on = ["doc", "mark"]
+    if lists.count() > BROADCAST_ROWS:
+        return keyed.join(lists.hint("shuffle_hash"), on, how)
+    keys = F.broadcast(lists.select(*on))
+    met = keyed.join(keys, on, "left_semi").join(lists.hint("shuffle_hash"), on)
+    if how == "inner":
+        return met
+    name, kind = next((f.name, f.dataType) for f in lists.schema if f.name not in on)
+    return met.unionByName(keyed.join(keys, on, "left_anti").withColumn(name, F.lit(None).cast(kind)))
 
 
 def _classes(live: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -367,5 +367,12 @@ def test_substrings_of_small_lengths(spark, seed):
     same(substring.remove_repeats(df, length=24, unit=4).select(*cols), brute.substrings(rows, 24))
 
 
+def test_substrings_in_pieces_and_by_shuffle(odd, odd_frame, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK", 700)
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    cols = ["doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)]
+    same(substring.remove_repeats(odd_frame).select(*cols), brute.substrings(odd))
+
+
 def test_substring_query(spark):
     same(queries.op10_substring_dedup(spark, SF), brute.substrings(texts(spark)))
