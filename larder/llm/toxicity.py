@@ -8,6 +8,7 @@ are those that a likelihood-ratio test ties to its category, so a model is a sho
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -185,12 +186,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     found = texts.join(F.broadcast(picked), "_id").select("toxic", "text")  # the broadcast side has at most ``rows`` rows of two numbers
-    got = sorted(found.mapInArrow(_featurise, "toxic int, features binary, marks array<boolean>").limit(2 * rows).toLocalIterator(), key=lambda r: (bytes(r[1]), r[0]))
-    if not got:
+    # The sample is bounded, so one task can hold its features and train; the driver gets the short models alone.
+    made = found.mapInArrow(_featurise, "toxic int, features binary, marks array<boolean>").repartition(1).mapInArrow(_train_task, "chain binary").first()
+    if made is None:
         return Chain(CHAIN, [Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(k), -35.0) for k in range(len(CHAIN))])
-    feats = [np.frombuffer(r[1], np.uint64) for r in got]
-    y = np.array([[bool(r[0]) and m for m in r[2]] + [bool(r[0])] for r in got], bool)
-    return train(feats, y, CHAIN)
+    return pickle.loads(made[0])
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = sorted((r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("features", "toxic", "marks")], strict=True)), key=lambda r: r[:2])
+    if got:
+        feats = [np.frombuffer(f, np.uint64) for f, _, _ in got]
+        y = np.array([[bool(t) and m for m in marks] + [bool(t)] for _, t, marks in got], bool)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(feats, y, CHAIN))], pa.binary())], ["chain"])
 
 
 def _scored(carried, text_col: str):
