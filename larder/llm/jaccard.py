@@ -34,7 +34,7 @@ BROADCAST_ROWS = 300_000
 #: Further rounds in which groups with several components try one member against the others, before the blockwise search.
 STAR_ROUNDS = 1
 #: Bytes of queries that one block of that search holds.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 _LAST = (1 << 63) - 1
 _FLUSH = 1_000_000
 
@@ -361,6 +361,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
+    release(edges.sparkSession)
     return own.select(F.col("u").alias("k"), F.col("v").alias("label"))
 
 
@@ -386,16 +387,17 @@ def _query_blocks(cands: DataFrame) -> Iterator[dict]:
     """The queries in blocks of bounded size, streamed: their sets, components, and for each group the queries in it."""
 
     def packed(rows):
-        where: dict[int, list[tuple[int, int]]] = {}
-        for i, r in enumerate(rows):
-            for x in r["at"]:
-                where.setdefault(x["gid"], []).append((i, x["m"]))
-        return {"k": [bytes(r["k"]) for r in rows], "tokens": [np.frombuffer(r["tokens"], np.uint64) for r in rows], "label": [bytes(r["label"]) for r in rows], "n": np.array([r["n"] for r in rows]), "rank": [(r["weight"], bytes(r["label"])) for r in rows], "groups": {g: np.array(v) for g, v in where.items()}}
+        gids = np.concatenate([g for *_, g, _ in rows])
+        places = np.repeat(np.arange(len(rows)), [len(g) for *_, g, _ in rows])
+        order = np.argsort(gids, kind="stable")
+        near = np.column_stack([places, np.concatenate([m for *_, m in rows])])[order]
+        names, first = np.unique(gids[order], return_index=True)
+        return {"k": [r[0] for r in rows], "tokens": [np.frombuffer(r[1], np.uint64) for r in rows], "label": [r[2] for r in rows], "n": np.array([r[3] for r in rows]), "rank": [(r[4], r[2]) for r in rows], "gids": names, "first": np.append(first, len(gids)), "near": near}
 
     rows, size = [], 0
-    for r in cands.where("query").toLocalIterator():
-        rows.append(r)
-        size += len(r["tokens"]) + 100 * len(r["at"])
+    for r in cands.where("query").select("k", "tokens", "label", "n", "weight", F.col("at.gid"), F.col("at.m")).toLocalIterator():
+        rows.append((bytes(r[0]), bytes(r[1]), bytes(r[2]), r[3], r[4], np.array(r[5]), np.array(r[6])))
+        size += len(r[1]) + 100 * len(r[5])
         if size > BLOCK_BYTES:
             yield packed(rows)
             rows, size = [], 0
@@ -422,11 +424,12 @@ def _search(carried, percent: int):
             gids, ms, ends = at.flatten().field(0).to_numpy(), at.flatten().field(1).to_numpy(), at.offsets.to_numpy()
             ends = ends - ends[0]
             for i, (k, n, label, weight, raw) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("k", "n", "label", "weight", "tokens")], strict=True)):
+                g, m = gids[ends[i] : ends[i + 1]], ms[ends[i] : ends[i + 1]]
+                at_g = np.minimum(np.searchsorted(q["gids"], g), len(q["gids"]) - 1)
                 near = []
-                for g, m in zip(gids[ends[i] : ends[i + 1]].tolist(), ms[ends[i] : ends[i + 1]].tolist(), strict=True):
-                    own = q["groups"].get(g)
-                    if own is not None:
-                        near.append(own[(100 + percent) * np.minimum(own[:, 1], m) >= percent * (q["n"][own[:, 0]] + n), 0])
+                for x, own_m in zip(at_g[q["gids"][at_g] == g].tolist(), m[q["gids"][at_g] == g].tolist(), strict=True):
+                    own = q["near"][q["first"][x] : q["first"][x + 1]]
+                    near.append(own[(100 + percent) * np.minimum(own[:, 1], own_m) >= percent * (q["n"][own[:, 0]] + n), 0])
                 if not near:
                     continue
                 tokens, here = np.frombuffer(raw, np.uint64), (weight, label)
