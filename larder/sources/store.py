@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .archive import containers_under, prepare, register
+from .archive import containers_under, file_system, prepare, register
+from .codec import EXTERNAL
 
 
 def write_store(rows: DataFrame, path: str, bits: int, hexadecimal: bool = False, **options: str) -> None:
@@ -57,3 +61,25 @@ def with_objects(rows: DataFrame, spark: SparkSession, folder: str, key: str = "
     """Rows with the bytes of the objects their keys name; rows without an object are left out."""
     objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.col("content").alias("data"))
     return rows.withColumn("_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.col(key))).join(objects, "_path").drop("_path")
+
+
+def with_external(members: DataFrame, folder: str) -> DataFrame:
+    """Members with the bytes of external ones filled in from the keys in their metadata (or, without one, from ``_bigFiles``); external members whose object is gone are left out. Only their objects are opened, in tasks."""
+    names = members.columns
+
+    def run(batches):
+        fs, root = file_system(folder)
+        for batch in batches:
+            data, keep = batch.column("data").to_pylist(), [True] * batch.num_rows
+            for i, (flags, meta, name) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("flags", "meta", "name")], strict=True)):
+                if flags & EXTERNAL:
+                    key = json.loads(meta or "{}").get("external_key", f"_bigFiles/{name}")
+                    try:
+                        with fs.open_input_file(f"{root}/{key}") as f:
+                            data[i] = f.read()
+                    except FileNotFoundError:
+                        keep[i] = False
+            out = pa.RecordBatch.from_arrays([pa.array(data, pa.binary()) if c == "data" else batch.column(c) for c in names], names)
+            yield out.filter(pa.array(keep))
+
+    return members.mapInArrow(run, members.schema)

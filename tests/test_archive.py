@@ -120,6 +120,10 @@ def test_external_members(spark, tmp_path):
     assert bytes(got["small"]["data"]) == b"y" and got["big"]["data"] is None and got["big"]["flags"] == 1
     key = json.loads(got["forced"]["meta"])["external_key"]
     assert (tmp_path / key).read_bytes() == b"z"
+    whole = store.with_external(rows(spark, tmp_path, payload="true"), str(tmp_path))
+    assert {r["name"]: bytes(r["data"]) for r in whole.collect()} == {"big": b"x" * 50, "small": b"y", "forced": b"z"}
+    (tmp_path / key).unlink()
+    assert store.with_external(rows(spark, tmp_path, payload="true"), str(tmp_path)).count() == 2
 
 
 def test_existing_archive_is_refused_and_nothing_is_left(spark, tmp_path):

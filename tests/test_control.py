@@ -140,3 +140,22 @@ def test_source_projection(spark):
     df = spark.createDataFrame([(1, "b", "k/1", 5, NOW, "u1"), (2, "b", "k/2", 6, None, None)], "file_id long, bucket string, obj string, size int, at timestamp, user string")
     r = {x["id"]: x for x in project(df, s).collect()}
     assert r[1]["metadata"] == {"mail": "u1", "created_at": "2025-01-10T00:00:00Z"} and 0 <= r[2]["shard_id"] < 16
+
+
+def test_control_tables_can_be_created(spark):
+    from larder.schemas import TABLES, create_tables
+
+    create_tables(spark)
+    create_tables(spark)
+    for name, schema in TABLES.items():
+        assert spark.table(name).schema.fieldNames() == schema.fieldNames()
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_writer_numbers_and_requeue(spark):
+    k = spark.createDataFrame([(7, 0, "uploaded")], "id long, shard_id int, status string")
+    new = spark.createDataFrame([(1, datetime(2025, 1, 1).date(), "a"), (0, datetime(2025, 1, 1).date(), "b")], "shard_id int, day date, s3_key string")
+    assert [(r["id"], r["s3_key"]) for r in control.insert_containers(k, new, F.lit(NOW)).orderBy("id").collect()] == [(8, "b"), (9, "a")]
+    c = spark.createDataFrame([(1, "failed", 3), (2, "failed", 3)], "id int, des_status string, retry_count int")
+    letters = spark.createDataFrame([(1, False), (2, True)], "catalog_entry_id int, resolved boolean")
+    assert {r["id"]: (r["des_status"], r["retry_count"]) for r in catalog.requeue(c, letters).collect()} == {1: ("retry", 0), 2: ("failed", 3)}
