@@ -476,8 +476,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     release(spark)
 
     entries = single.select("text").mapInArrow(_index(words, buckets, frequent, percent), "bucket int, keys binary, places binary, rests binary, names binary, sizes binary")
+    # Groups come out of the buckets with equal ones removed; those equal across buckets are removed here.
     groups = written(by_bucket(entries, buckets).mapInArrow(_groups(percent), "gid long, k binary, n long, m long, hub binary, hub_n long, hub_m long").dropDuplicates(["gid", "k"]), "groups")
-
     del entries
     release(spark)
 
@@ -513,7 +513,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(written(found, "links")))
 
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))
-    firsts = placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first"))
+    firsts = written(placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first")), "firsts")  # a table, so that a hot label can be split
     out = placed.join(firsts, "label", "left")
     real = lambda c: F.when(c != _LAST, c)
     return out.select(real(F.col("doc")).alias(docs.select(id_col).columns[0]), F.col("n").alias("n_shingles"), real(F.coalesce("first", "doc")).alias("component_id"), F.col("k").alias("class_key"))

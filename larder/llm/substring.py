@@ -217,7 +217,8 @@ def _clip(id_name: str):
 
 
 def _repeated(df: DataFrame, *cols: str) -> DataFrame:
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*cols)
+    """Values found more than once, written: a join with a table is one whose skewed keys Spark can split."""
+    return written(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*cols), "repeated")
 
 
 def _with_texts(keyed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -242,7 +243,7 @@ def _classes(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["c1", "c2", "reach", "width"]
     live = live.withColumns({"reach": F.col("a") - F.col("p0"), "width": F.col("p1") - F.col("p0")})
     whole = live.where("c1 IS NOT NULL").groupBy(*key, "n0").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "a", "p0", "p1")).alias("one"))
-    # The group's own copies of the classes with company, joined back to every member.
+    whole = written(whole, "classes")
     same = live.join(whole.where("n > 1").select(*key, "n0"), [*key, "n0"], "left_semi").select("doc", "mark", "p0", "p1")
     ones = whole.select("n0", "one").unionByName(live.where("c1 IS NULL").select("n0", F.struct("doc", "mark", "a", "p0", "p1").alias("one")))
     mixed = ones.join(_repeated(ones.select("n0"), "n0"), "n0", "left_semi").select("one.*")
