@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, by_bucket, forget, mix64, release, shuffle_parts, steady, written
+from .prints import word_prints
 
 WORDS = 5
 PERCENT = 80
@@ -41,26 +42,19 @@ _FLUSH = 1_000_000
 
 def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
     """Sorted 64-bit names of each text's distinct shingles of lower-cased words."""
-    split = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    flat = [w for ws in split for w in ws]
-    if not flat:
-        return [np.zeros(0, np.uint64)] * len(texts)
-    coded = pa.array(flat, pa.binary()).dictionary_encode()
-    names = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    word = names[coded.indices.to_numpy()]
+    word, sizes = word_prints(texts)
     h = np.zeros(max(len(word) - n + 1, 0), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + word[i : i + len(h)] + np.uint64(i))
     out, at = [], 0
-    for size, ws in zip(sizes.tolist(), split, strict=True):
+    for size in sizes.tolist():
         if size >= n:
             out.append(np.unique(h[at : at + size - n + 1]))
         elif size:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b"\0".join(ws), seed=size)], np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(word[at : at + size].tobytes(), seed=size)], np.uint64))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(h[:0])
         at += size
     return out
 

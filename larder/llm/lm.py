@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, by_bucket, crc_mod, mix64, release, shuffle_parts, written
-from .substring import Prints
+from .prints import word_prints
 
 ORDER = 3
 #: An n-gram of two words or more is kept from this count on; the mass of the others goes to the lower orders.
@@ -327,22 +327,13 @@ def _ship(spark: SparkSession, segments: DataFrame) -> Level:
 
 #: The end of a text as a token.
 END = _U64(0x5851F42D4C957F2D)
-_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names of the distinct tokens, the tokens as places among them, and the tokens of each text: its words, lower-cased, and its end. A word's name is a 64-bit fingerprint of its bytes."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    inside = ~_SPACES[raw]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if inside[0]:
-        edge = np.concatenate([[0], edge])
-    start, end = edge[::2], edge[1::2]  # the last byte is a space, so every word ends
-    name = Prints(_LOWER[raw]).of(start, end - start)
-    text = np.searchsorted(bounds, start, side="right")
-    size = np.bincount(text, minlength=len(texts)) + 1
+    name, words = word_prints(texts)
+    size = words + 1
+    text = np.repeat(np.arange(len(texts)), words)
     all_names = np.full(len(name) + len(texts), END)
     all_names[np.arange(len(name)) + text] = name
     names, codes = np.unique(all_names, return_inverse=True)

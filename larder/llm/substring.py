@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, forget, mix64, release, steady, written
+from .prints import Prints
 
 LENGTH = 400
 #: Bytes of text handled at once; a byte takes some 150 bytes of memory meanwhile.
@@ -29,42 +30,6 @@ UNIT = 32
 #: Keys of at most this many documents are broadcast (two numbers each); more are met by shuffle.
 BROADCAST_ROWS = 300_000
 _LAST = (1 << 63) - 1
-_TABLES = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-
-
-class Prints:
-    """Fingerprints of substrings of one buffer, two independent 64-bit ones."""
-
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, raw: np.ndarray):
-        self.raw, self.sums = raw, {}
-
-    @classmethod
-    def powers(cls, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = cls._powers.get(which)
-        if have is None or len(have[0]) < n:
-            base = int(_BASES[which])
-            up = np.full(n, base, np.uint64)
-            up[0] = 1
-            down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-            down[0] = 1
-            with np.errstate(over="ignore"):
-                have = cls._powers[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return have
-
-    def of(self, start, length, which: int = 0) -> np.ndarray:
-        """Names of ``raw[start:start + length]``; start and length may be arrays."""
-        n = len(self.raw)
-        up, down = self.powers(which, n + 1)
-        with np.errstate(over="ignore"):
-            if which not in self.sums:
-                s = np.zeros(n + 1, np.uint64)
-                np.cumsum(_TABLES[which][self.raw] * up[:n], out=s[1:])
-                self.sums[which] = s
-            s = self.sums[which]
-            return mix64((s[start + length] - s[start]) * down[start])
 
 
 def _sliding_least(keys: np.ndarray, w: int) -> np.ndarray:
