@@ -106,7 +106,7 @@ def crc_mod(col, m: int):
     return F.crc32(col.cast("string").cast("binary")) % F.lit(m)
 
 
-#: A list of at most this many keys is broadcast; a longer one is joined by shuffle.
+#: Keys of at most this many documents are broadcast (two numbers each); more are met by shuffle.
 BROADCAST_ROWS = 300_000
 
 
@@ -114,3 +114,19 @@ def without(docs: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is not in the list (a written table). Null keys stay."""
     few = keys.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(keys) if few else keys, on, "left_anti")
+
+
+def meet(docs: DataFrame, lists: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join what was found for documents (a written table with one more column than the keys) to the documents, inner or left.
+
+    The lists are never broadcast. If they are for few documents, their keys are, so that only those
+    documents' texts are shuffled to meet them; else all texts are.
+    """
+    if lists.count() > BROADCAST_ROWS:
+        return docs.join(lists.hint("shuffle_hash"), on, how)
+    keys = F.broadcast(lists.select(*on))
+    met = docs.join(keys, on, "left_semi").join(lists.hint("shuffle_hash"), on)
+    if how == "inner":
+        return met
+    own = next(f for f in lists.schema if f.name not in on)
+    return met.unionByName(docs.join(keys, on, "left_anti").withColumn(own.name, F.lit(None).cast(own.dataType)))

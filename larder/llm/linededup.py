@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, shuffle_parts, steady, written
+from .common import blocks, meet, shuffle_parts, steady, written
 
 MIN_CHARS = 10
 _SPACE = b" \t\n\v\f\r"
@@ -143,8 +143,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only in the smallest document id that holds it (in all its rows, if the id repeats). Null text: one empty line.
     """
     maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("keep").alias("_keep"))
+    maps = written(maps, "bitmaps")
     keyed = _keyed(docs, id_col, text_col, carry)
     names = keyed.columns[: 1 + len(carry)]
-    joined = keyed.join(maps.hint("shuffle_hash"), ["_doc", "_mark"], "left").select(*names, "_text", "_keep")
+    joined = meet(keyed, maps, ["_doc", "_mark"], "left").select(*names, "_text", "_keep")
     kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)
     return joined.mapInArrow(_apply(names), f"{kinds}, kept_text string, n_lines long, n_dropped long")

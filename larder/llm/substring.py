@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, forget, mix64, release, steady, written
+from .common import blocks, forget, meet, mix64, release, steady, written
 from .prints import Prints
 
 LENGTH = 400
@@ -27,8 +27,6 @@ LENGTH = 400
 BLOCK = 1 << 20
 #: Windows in a unit.
 UNIT = 32
-#: Keys of at most this many documents are broadcast (two numbers each); more are met by shuffle.
-BROADCAST_ROWS = 300_000
 _LAST = (1 << 63) - 1
 
 
@@ -186,23 +184,6 @@ def _repeated(df: DataFrame, *cols: str) -> DataFrame:
     return written(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*cols), "repeated")
 
 
-def _with_texts(keyed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join the lists made for documents to the documents.
-
-    The lists are never broadcast. If they are for few documents, their keys are, so that only those
-    documents' texts are shuffled to meet them; else all texts are.
-    """
-    on = ["doc", "mark"]
-    if lists.count() > BROADCAST_ROWS:
-        return keyed.join(lists.hint("shuffle_hash"), on, how)
-    keys = F.broadcast(lists.select(*on))
-    met = keyed.join(keys, on, "left_semi").join(lists.hint("shuffle_hash"), on)
-    if how == "inner":
-        return met
-    name, kind = next((f.name, f.dataType) for f in lists.schema if f.name not in on)
-    return met.unionByName(keyed.join(keys, on, "left_anti").withColumn(name, F.lit(None).cast(kind)))
-
-
 def _classes(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans of entries equal in all their bytes to another; and one entry of each class that has others to be told from."""
     key = ["c1", "c2", "reach", "width"]
@@ -245,13 +226,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = [same]
     for step in (unit, 1):
         lists = written(_lists(mixed), f"todo{step}")
-        parts = _with_texts(keyed.select("doc", "mark", "text"), lists, "inner").select("doc", "mark", "text", "todo")
+        parts = meet(keyed.select("doc", "mark", "text"), lists, ["doc", "mark"]).select("doc", "mark", "text", "todo")
         out = written(parts.mapInArrow(_expand(length, step), "doc long, mark long, a int, p0 int, p1 int, n0 long, c1 long, c2 long"), f"unit{step}")
         same, mixed = _classes(out.join(_repeated(out.select("n0"), "n0"), "n0", "left_semi"))
         spans.append(same)
         release(spark)
     every = spans[0].unionByName(spans[1]).unionByName(spans[2])
     cut = written(every.groupBy("doc", "mark").agg(F.collect_set(F.struct(F.col("p0").alias("s"), (F.col("p1") + length).alias("e"))).alias("spans")), "spans")
-    joined = _with_texts(keyed, cut, "left").select(id_name, "text", "spans")
+    joined = meet(keyed, cut, ["doc", "mark"], "left").select(id_name, "text", "spans")
     kind = keyed.schema[id_name].dataType.simpleString()
     return joined.mapInArrow(_clip(id_name), f"{id_name} {kind}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larder.llm import chat, decontaminate, html, jaccard, linededup, lm, packing, quality, queries, substring, toxicity
+from larder.llm import chat, common, decontaminate, html, jaccard, linededup, lm, packing, quality, queries, substring, toxicity
 
 from . import brute
 
@@ -336,6 +336,11 @@ def test_lines(spark, odd, odd_frame, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_lines_by_shuffle(odd, odd_frame, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    same(linededup.dedup_lines(odd_frame).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256)), brute.linededup(odd))
+
+
 def test_lines_of_one_hot_line(spark):
     rows = [(i, f"the common line\nown {i} line of text\nthe common line") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
@@ -369,7 +374,7 @@ def test_substrings_of_small_lengths(spark, seed):
 
 def test_substrings_in_pieces_and_by_shuffle(odd, odd_frame, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK", 700)
-    monkeypatch.setattr(substring, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     cols = ["doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)]
     same(substring.remove_repeats(odd_frame).select(*cols), brute.substrings(odd))
 
