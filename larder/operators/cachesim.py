@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _replay(accesses: DataFrame, cache: str, order: list[str], key: str, decide, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Stream each partition's accesses, sorted by cache and order, through a decision; state is one cache's."""
+def replay(accesses: DataFrame, cache: str, order: list[str], key: str, decide, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Stream each partition's rows, sorted by cache and order, through a decision that may change its cache's state; one state is held at a time."""
     seen = list(dict.fromkeys([cache, *order, key, *extra]))
 
     def run(batches):
@@ -40,7 +40,7 @@ def lru_hits(accesses: DataFrame, cache: str, order: list[str], key: str, max_si
             state.popitem(last=False)
         return hit
 
-    return _replay(accesses, cache, order, key, decide)
+    return replay(accesses, cache, order, key, decide)
 
 
 def ttl_hits(accesses: DataFrame, cache: str, order: list[str], key: str, ts: str, ttl: int) -> DataFrame:
@@ -53,4 +53,4 @@ def ttl_hits(accesses: DataFrame, cache: str, order: list[str], key: str, ts: st
             state[k] = t
         return hit
 
-    return _replay(accesses, cache, order, key, decide, (ts,))
+    return replay(accesses, cache, order, key, decide, (ts,))

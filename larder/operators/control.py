@@ -117,6 +117,21 @@ def checkpoints(events: DataFrame, key: list[str], order: list[str], every: int)
     return events.withColumn("file_count", n).withColumn("checkpoint", F.pmod(F.col("file_count"), F.lit(every)) == 0)
 
 
+def checkpoints_timed(events: DataFrame, key: str, order: list[str], ts: str, every: int, interval: int) -> DataFrame:
+    """Both rules: every N-th row of a container, or ``interval`` since its last checkpoint (at first, its first row), writes one (ts and interval in one integer unit)."""
+    from .cachesim import replay
+
+    def decide(state, cols, i):
+        t = cols[ts][i]
+        state["n"] = state.get("n", 0) + 1
+        due = state["n"] % every == 0 or t - state.setdefault("last", t) >= interval
+        if due:
+            state["last"] = t
+        return due
+
+    return replay(events, key, order, key, decide, (ts,)).withColumnRenamed("hit", "checkpoint")
+
+
 def rollovers(events: DataFrame, key: list[str], order: list[str], day: str) -> DataFrame:
     """Rows at which the day changes, so that the container before them is finalised."""
     before = F.lag(day).over(Window.partitionBy(*key).orderBy(*order))

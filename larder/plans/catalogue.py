@@ -727,6 +727,18 @@ def q_checkpoint_count(spark, d):
     return control.checkpoints(e, ["user_id"], ["ts", "event_id"], 10).where("checkpoint").select("user_id", "event_id", c("file_count").cast("long").alias("file_count"))
 
 
+_CHECKPOINTS = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, us AS last, false AS checkpoint FROM o WHERE k = 1
+UNION ALL SELECT o.user_id, o.event_id, o.k, CASE WHEN o.k % 10 = 0 OR o.us - r.last >= 43200000000 THEN o.us ELSE r.last END, o.k % 10 = 0 OR o.us - r.last >= 43200000000 FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT event_id, checkpoint FROM r"""
+
+
+@query("q_checkpoint_timed", _CHECKPOINTS)
+def q_checkpoint_timed(spark, d):
+    e = D.table(spark, d, "events").select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("us"))
+    return control.checkpoints_timed(e, "user_id", ["us", "event_id"], "us", 10, 43_200_000_000).select("event_id", "checkpoint")
+
+
 @query("q_daily_window", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL")
 def q_daily_window(spark, d):
     return D.table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "n")
