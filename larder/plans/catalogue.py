@@ -209,25 +209,25 @@ def q_custom_where(spark, d):
     return D.source_rows(spark, d).where(F.expr("status = 'pending' AND price > 100000")).where(c("created_at") <= ntz(NOW) - F.expr("INTERVAL 30 DAYS")).select("id")
 
 
-@query("q_mark_packed", f"SELECT id, CASE WHEN id % 7 = 0 AND id % 21 <> 0 THEN 'packed' ELSE status END AS status, CASE WHEN id % 7 = 0 AND id % 21 <> 0 THEN 'name_' || id END AS des_name, CASE WHEN id % 7 = 0 AND id % 21 <> 0 THEN 42 END AS des_container_id FROM {D.SOURCE_ROWS}")
+@query("q_mark_packed", f"SELECT id, CASE WHEN status = 'claimed' AND claimed_at IS NOT NULL THEN 'packed' ELSE status END AS status, CASE WHEN status = 'claimed' AND claimed_at IS NOT NULL THEN 'name_' || id END AS des_name, CASE WHEN status = 'claimed' AND claimed_at IS NOT NULL THEN 42 END AS des_container_id FROM {D.SOURCE_ROWS}")
 def q_mark_packed(spark, d):
     rows = D.source_rows(spark, d).withColumns({"des_name": lit(None).cast("string"), "des_container_id": lit(None).cast("int")})
-    # Ids and names arrive as two arrays; every third name is missing, so pairs end with the shorter array.
-    batches = rows.where("id % 7 = 0").select(F.array("id").alias("ids"), F.when(c("id") % 21 != 0, F.array(F.concat(lit("name_"), c("id").cast("string")))).otherwise(F.array().cast("array<string>")).alias("names"))
+    # Ids and names arrive as two arrays; names of rows without a claim time are missing, so pairs end with the shorter array.
+    batches = rows.where("status = 'claimed'").select(F.array("id").alias("ids"), F.when(c("claimed_at").isNotNull(), F.array(F.concat(lit("name_"), c("id").cast("string")))).otherwise(F.array().cast("array<string>")).alias("names"))
     pairs = batches.select(F.explode(control.pair_names(c("ids"), c("names"))).alias("p")).select("p.*").withColumn("des_container_id", lit(42))
     return control.mark_packed(rows, pairs, ntz(NOW)).select("id", "status", "des_name", "des_container_id")
 
 
-@query("q_mark_failed", f"SELECT id, CASE WHEN id % 9 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN id % 9 = 0 THEN substr(repeat('x' || id, 200), 1, 500) END AS error_message FROM {D.SOURCE_ROWS}")
+@query("q_mark_failed", f"SELECT id, CASE WHEN claimed_by = '5-LOW' THEN 'failed' ELSE status END AS status, CASE WHEN claimed_by = '5-LOW' THEN substr(repeat('x' || id, 200), 1, 500) END AS error_message FROM {D.SOURCE_ROWS}")
 def q_mark_failed(spark, d):
     rows = D.source_rows(spark, d).withColumn("error_message", lit(None).cast("string"))
-    return control.mark_failed(rows, rows.where("id % 9 = 0").select("id", F.repeat(F.concat(lit("x"), c("id").cast("string")), 200).alias("error"))).select("id", "status", "error_message")
+    return control.mark_failed(rows, rows.where("claimed_by = '5-LOW'").select("id", F.repeat(F.concat(lit("x"), c("id").cast("string")), 200).alias("error"))).select("id", "status", "error_message")
 
 
-@query("q_source_mark_packed", f"SELECT source_name, id, CASE WHEN source_name <> 'part' AND id % 4 = 0 THEN 'packed' ELSE status END AS status FROM {D.THREE}")
+@query("q_source_mark_packed", f"SELECT source_name, id, CASE WHEN source_name <> 'part' THEN 'packed' ELSE status END AS status FROM {D.THREE}")
 def q_source_mark_packed(spark, d):
     rows = D.three_sources(spark, d)
-    marks = rows.where("source_name <> 'part' AND id % 4 = 0").select("source_name", "id", lit("packed").alias("_new"))
+    marks = rows.where("source_name <> 'part'").select("source_name", "id", lit("packed").alias("_new"))
     return rows.join(marks, ["source_name", "id"], "left").select("source_name", "id", F.coalesce("_new", "status").alias("status"))
 
 
@@ -292,12 +292,17 @@ def q_archive_layout(spark, d):
     return _laid(spark, d).select("id", "day", "data_length", "data_offset")
 
 
-_RANGED = f"(SELECT *, sum(new) OVER (PARTITION BY day ORDER BY data_offset, size, key) AS range_id FROM (SELECT *, CASE WHEN before IS NULL OR data_offset - before > 4096 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(data_offset + size) OVER (PARTITION BY day ORDER BY data_offset, size, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_LAID} WHERE id % 3 = 0)))"
+_RANGED = f"(SELECT *, sum(new) OVER (PARTITION BY day ORDER BY data_offset, size, key) AS range_id FROM (SELECT *, CASE WHEN before IS NULL OR data_offset - before > 4096 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(data_offset + size) OVER (PARTITION BY day ORDER BY data_offset, size, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_LAID} WHERE id IN (SELECT doc_id FROM labels))))"
 _MERGED = f"(SELECT day, CAST(range_id AS BIGINT) AS range_id, min(data_offset) AS range_start, max(data_offset + size) AS range_end, count(*) AS members, CAST(sum(size) AS BIGINT) AS wanted_bytes FROM {_RANGED} GROUP BY day, range_id)"
 
 
+def _requested(spark, d):
+    """The members asked for: those with a label."""
+    return D.table(spark, d, "labels").select(c("doc_id").alias("id"))
+
+
 def _wanted(spark, d):
-    return _laid(spark, d).where("id % 3 = 0")
+    return _laid(spark, d).join(_requested(spark, d), "id", "left_semi")
 
 
 @query("q_range_merge", f"SELECT * FROM {_MERGED}")
@@ -317,10 +322,10 @@ def q_range_amplification(spark, d):
     return m.groupBy("day").agg(F.count(lit(1)).alias("ranges"), F.sum(c("range_end") - c("range_start")).alias("read_bytes"), F.sum("wanted_bytes").alias("wanted_bytes")).withColumn("amplification", F.round(c("read_bytes").cast("double") / c("wanted_bytes"), 6))
 
 
-@query("q_range_slices", f"SELECT id, sha256(text) AS digest FROM {D.FILES} WHERE id % 3 = 0")
+@query("q_range_slices", f"SELECT id, sha256(text) AS digest FROM {D.FILES} WHERE id IN (SELECT doc_id FROM labels)")
 def q_range_slices(spark, d):
     """Cut every requested member out of the bytes of its range: here a range's buffer is its own members laid end to end."""
-    own = D.files(spark, d, payload=True).where("id % 3 = 0").withColumn("data_length", F.octet_length("text"))
+    own = D.files(spark, d, payload=True).join(_requested(spark, d), "id", "left_semi").withColumn("data_length", F.octet_length("text"))
     laid = layout.offsets(own.select("id", "day", "data_length", "text"), ["day"], ["id"])
     grouped = laid.withColumn("range_id", F.expr("data_offset div 65536"))
     buffers = grouped.groupBy("day", "range_id").agg(F.min("data_offset").alias("range_start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("data_offset", "text"))), lambda x: x["text"]), "").cast("binary").alias("buffer"))
@@ -396,9 +401,9 @@ def q_contains(spark, d):
     return D.table(spark, d, "documents").select("doc_id").join(names, "doc_id", "left_semi")
 
 
-@query("q_missing_names", "SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_id NOT IN (SELECT doc_id FROM documents)")
+@query("q_missing_names", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM documents)")
 def q_missing_names(spark, d):
-    asked = D.table(spark, d, "events").where("event_id % 3 = 0").select("event_id")
+    asked = D.table(spark, d, "events").select("event_id")
     return asked.join(D.table(spark, d, "documents").select(c("doc_id").alias("event_id")), "event_id", "left_anti")
 
 
@@ -506,17 +511,17 @@ def _listed(spark, d):
     return D.table(spark, d, "pages").select(F.when(i % 10 == 0, F.concat(lit("arc/_bigFiles/"), i.cast("string"))).otherwise(F.concat(lit("arc/"), (i * 3).cast("string"), lit(".des"))).alias("key"), F.octet_length("html").alias("size"))
 
 
-_ORPHANS = f"(SELECT key FROM {_LISTED} WHERE NOT contains(key, '_bigFiles/') AND key NOT IN (SELECT s3_key FROM {D.CONTAINERS} WHERE id % 2 = 0))"
+_ORPHANS = f"(SELECT key FROM {_LISTED} WHERE NOT contains(key, '_bigFiles/') AND key NOT IN (SELECT s3_key FROM {D.CONTAINERS} WHERE status = 'uploaded'))"
 
 
 @query("q_orphans", f"SELECT key FROM {_ORPHANS}")
 def q_orphans(spark, d):
-    return recovery.orphans(_listed(spark, d), D.containers(spark, d).where("id % 2 = 0")).select("key")
+    return recovery.orphans(_listed(spark, d), D.containers(spark, d).where("status = 'uploaded'")).select("key")
 
 
 @query("q_orphan_plan", f"SELECT 'delete' AS action, key FROM {_ORPHANS}")
 def q_orphan_plan(spark, d):
-    return recovery.deletion_plan(recovery.orphans(_listed(spark, d), D.containers(spark, d).where("id % 2 = 0")))
+    return recovery.deletion_plan(recovery.orphans(_listed(spark, d), D.containers(spark, d).where("status = 'uploaded'")))
 
 
 @query("q_object_heads", f"SELECT k.id, o.key IS NOT NULL AS found, o.size AS size FROM {D.CONTAINERS} k LEFT JOIN (SELECT key, CAST(size AS BIGINT) AS size FROM {_LISTED}) o ON o.key = k.s3_key")
@@ -543,10 +548,10 @@ def q_container_insert(spark, d):
     return control.insert_containers(D.containers(spark, d), new, ntz(NOW)).select("id", "shard_id", "day", "status", "s3_key")
 
 
-@query("q_container_update", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'uploaded' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN TIMESTAMP '{NOW}' END AS finalized_at FROM {D.CONTAINERS}")
+@query("q_container_update", f"SELECT id, CASE WHEN status = 'writing' THEN 'uploaded' ELSE status END AS status, CASE WHEN status = 'writing' THEN TIMESTAMP '{NOW}' END AS finalized_at FROM {D.CONTAINERS}")
 def q_container_update(spark, d):
     k = D.containers(spark, d).withColumn("finalized_at", lit(None).cast("timestamp_ntz"))
-    return control.finalise(k, k.where("id % 4 = 0"), ntz(NOW)).select("id", "status", "finalized_at")
+    return control.finalise(k, k.where("status = 'writing'"), ntz(NOW)).select("id", "status", "finalized_at")
 
 
 @query("q_container_latest", f"SELECT shard_id, day, arg_max(id, (created_at, id)) AS id, arg_max(status, (created_at, id)) AS status FROM {D.CONTAINERS} GROUP BY ALL")
@@ -721,10 +726,10 @@ def q_day_rollover(spark, d):
     return control.rollovers(e, ["user_id"], ["ts", "event_id"], "day").select("user_id", "event_id", "closes_day", "day")
 
 
-@query("q_checkpoint_count", "SELECT user_id, event_id, n AS file_count FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n FROM events) WHERE n % 10 = 0")
+@query("q_checkpoint_count", "SELECT user_id, event_id, n AS file_count, n % 10 = 0 AS checkpoint FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS n FROM events)")
 def q_checkpoint_count(spark, d):
     e = D.table(spark, d, "events").select("user_id", "event_id", "ts")
-    return control.checkpoints(e, ["user_id"], ["ts", "event_id"], 10).where("checkpoint").select("user_id", "event_id", c("file_count").cast("long").alias("file_count"))
+    return control.checkpoints(e, ["user_id"], ["ts", "event_id"], 10).select("user_id", "event_id", c("file_count").cast("long").alias("file_count"), "checkpoint")
 
 
 _CHECKPOINTS = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -788,11 +793,11 @@ def q_archive_point_lookup(spark, d):
     return store.read_store(spark, _store(spark, d), payload=True).where(c("name") == "DOC77_20240101_x.txt").select("name", F.sha2("data", 256).alias("digest"))
 
 
-@query("q_archive_batch_read", f"SELECT name, sha256(text) AS digest, 200 AS status FROM {_STORED} WHERE doc_id % 50 = 3 UNION ALL SELECT 'DOC' || doc_id || '_20231231_x.txt', NULL, 404 FROM documents WHERE doc_id % 200 = 9")
+@query("q_archive_batch_read", f"SELECT name, sha256(text) AS digest, 200 AS status FROM {_STORED} WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'DOC' || doc_id || '_20231231_x.txt', NULL, 404 FROM labels")
 def q_archive_batch_read(spark, d):
-    docs = D.table(spark, d, "documents")
+    docs = D.table(spark, d, "labels")
     name = lambda day: F.concat(lit("DOC"), c("doc_id").cast("string"), lit("_"), day, lit("_x.txt")).alias("name")
-    asked = docs.where("doc_id % 50 = 3").select(name(F.date_format(F.date_add(lit("2024-01-01").cast("date"), (c("doc_id") % 7).cast("int")), "yyyyMMdd"))).unionByName(docs.where("doc_id % 200 = 9").select(name(lit("20231231"))))
+    asked = docs.select(name(F.date_format(F.date_add(lit("2024-01-01").cast("date"), (c("doc_id") % 7).cast("int")), "yyyyMMdd"))).unionByName(docs.select(name(lit("20231231"))))
     return store.lookup(spark, asked, _store(spark, d), 2).select("name", F.sha2("data", 256).alias("digest"), "status")
 
 

@@ -52,12 +52,12 @@ LOCKS = "(SELECT user_id AS shard_id, arg_max(event_type, (ts, event_id)) AS hol
 
 
 def requests(spark, d) -> DataFrame:
-    """One lock request per shard: its first event's type."""
+    """Lock requests: of each shard whose first event is no view, by that event's type."""
     e = table(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("shard_id")).agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("holder_id")).where("shard_id % 5 <> 0")
+    return e.groupBy(F.col("user_id").alias("shard_id")).agg(F.min_by("event_type", F.struct("ts", "event_id")).alias("holder_id")).where("holder_id <> 'view'")
 
 
-REQUESTS = "(SELECT user_id AS shard_id, arg_min(event_type, (ts, event_id)) AS holder_id FROM events WHERE user_id % 5 <> 0 GROUP BY user_id)"
+REQUESTS = "(SELECT * FROM (SELECT user_id AS shard_id, arg_min(event_type, (ts, event_id)) AS holder_id FROM events GROUP BY user_id) WHERE holder_id <> 'view')"
 
 
 def members(spark, d) -> DataFrame:
