@@ -35,7 +35,7 @@ BROADCAST_ROWS = 300_000
 #: Further rounds in which groups with several components try one member against the others, before the blockwise search.
 STAR_ROUNDS = 1
 #: Bytes of queries that one block of that search holds.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
 _LAST = (1 << 63) - 1
 _FLUSH = 1_000_000
 
@@ -417,15 +417,18 @@ def _search(carried, percent: int):
             at = batch.column("at")
             gids, ms, ends = at.flatten().field(0).to_numpy(), at.flatten().field(1).to_numpy(), at.offsets.to_numpy()
             ends = ends - ends[0]
-            for i, (k, n, label, weight, raw) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("k", "n", "label", "weight", "tokens")], strict=True)):
-                g, m = gids[ends[i] : ends[i + 1]], ms[ends[i] : ends[i + 1]]
-                at_g = np.minimum(np.searchsorted(q["gids"], g), len(q["gids"]) - 1)
+            place = np.minimum(np.searchsorted(q["gids"], gids), len(q["gids"]) - 1)
+            shared = np.flatnonzero(q["gids"][place] == gids)
+            owner = np.searchsorted(ends, shared, side="right") - 1
+            rows, first = np.unique(owner, return_index=True)
+            tokens_of = batch.column("tokens")
+            for i, own_shared in zip(rows.tolist(), np.split(shared, first[1:]), strict=True) if len(rows) else ():
+                k, n, label, weight = (batch.column(c)[i].as_py() for c in ("k", "n", "label", "weight"))
                 near = []
-                for x, own_m in zip(at_g[q["gids"][at_g] == g].tolist(), m[q["gids"][at_g] == g].tolist(), strict=True):
+                for x, own_m in zip(place[own_shared].tolist(), ms[own_shared].tolist(), strict=True):
                     own = q["near"][q["first"][x] : q["first"][x + 1]]
                     near.append(own[(100 + percent) * np.minimum(own[:, 1], own_m) >= percent * (q["n"][own[:, 0]] + n), 0])
-                if not near:
-                    continue
+                raw = tokens_of[i].as_buffer()
                 tokens, here = np.frombuffer(raw, np.uint64), (weight, label)
                 for x in np.unique(np.concatenate(near)).tolist():
                     if q["rank"][x] < here and 100 * min(n, int(q["n"][x])) >= percent * max(n, int(q["n"][x])) and root(q["label"][x]) != root(label) and _alike(q["tokens"][x], tokens, percent):
