@@ -35,7 +35,7 @@ BROADCAST_ROWS = 300_000
 #: Further rounds in which groups with several components try one member against the others, before the blockwise search.
 STAR_ROUNDS = 1
 #: Bytes of queries that one block of that search holds.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 _LAST = (1 << 63) - 1
 _FLUSH = 1_000_000
 
