@@ -179,6 +179,7 @@ def human_size(size: Column) -> Column:
 
 
 def local_cache_key(path: Column, size: Column, mtime: Column, version: int = 1) -> Column:
+    # Fixed value: the key's first field.
     return F.concat_ws(":", F.lit("DES"), path, size.cast("string"), mtime.cast("string"), F.lit(str(version)))
 
 

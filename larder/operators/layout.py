@@ -75,6 +75,9 @@ def footer_errors(f: dict[str, Column], size: Column) -> Column:
     )
 
 
+# The forms in which entries, statistics, footers and catalog rows are shown.
+
+
 def entry_text(name: Column, offset: Column, length: Column, flags: Column) -> Column:
     labels = S.flag_labels(flags)
     return F.concat(F.lit("IndexEntry(name='"), name, F.lit("', data_offset="), offset.cast("string"), F.lit(", data_length="), length.cast("string"), F.when(labels == "", F.lit("")).otherwise(F.concat(F.lit(" ["), labels, F.lit("]"))), F.lit(")"))
