@@ -7,9 +7,9 @@ successor of (base of its context + word) in that sequence. Probabilities are ab
 shares, interpolated along the context when read, and quantised to 16 bits; the unigram level keeps
 its counts and is smoothed by half a count.
 
-Counts of all orders are taken over all training texts: sorted keys in blobs by bucket, merged in
-each bucket. Levels are cut into segments of parents, written to the shared folder and handed to the
-executors as files, which they map; what they map grows with the corpus, what a task holds in memory doesn't.
+Counts of all orders are taken over all training texts: sorted keys in blobs by segment (a range of
+words or of parents), merged in each segment. Segments are written to the shared folder and handed to
+the executors as files, which they map; what they map grows with the corpus, what a task holds in memory doesn't.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import blocks, by_bucket, crc_mod, mix64, release, shuffle_parts, w
 from .prints import word_prints
 
 ORDER = 3
-#: An n-gram of two words or more is kept from this count on; the mass of the others goes to the lower orders.
-MIN_COUNT = 2
+#: An n-gram of two words or more is kept from this count on; the mass of others would go to the lower orders. 1 keeps all that are counted.
+MIN_COUNT = 1
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
 _FLUSH = 1_500_000
@@ -341,10 +341,10 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Counter:
-    """Collects keys and yields blobs of sorted distinct keys and counts by bucket; buckets are ranges of the keys, or of their mixed values."""
+    """Collects keys and yields blobs of sorted distinct keys and counts by bucket; buckets are ranges of the keys, or of the parents in their upper halves."""
 
-    def __init__(self, buckets: int, ranges: bool):
-        self.buckets, self.ranges, self.parts, self.size = buckets, ranges, [], 0
+    def __init__(self, buckets: int, parents: int | None = None):
+        self.buckets, self.parents, self.parts, self.size = buckets, parents, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray):
         self.parts.append((keys, counts))
@@ -353,10 +353,10 @@ class _Counter:
     def flush(self) -> pa.RecordBatch:
         keys, counts = merge([k for k, _ in self.parts], [c for _, c in self.parts])
         self.parts, self.size = [], 0
-        bucket = (keys if self.ranges else mix64(keys)) >> _U64(40)
-        bucket = (bucket * _U64(self.buckets) >> _U64(24)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        keys, counts, bucket = keys[order], counts[order], bucket[order]
+        if self.parents is None:
+            bucket = (keys >> _U64(40)) * _U64(self.buckets) >> _U64(24)
+        else:
+            bucket = (keys >> _U64(32)) * _U64(self.buckets) // _U64(max(self.parents, 1))
         cut = np.searchsorted(bucket, np.arange(self.buckets + 1))
         some = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
         return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in some], pa.binary())], ["bucket", "keys", "counts"])
@@ -394,7 +394,7 @@ def nodes_along(levels: list, ids: np.ndarray, size: np.ndarray) -> Iterator[tup
 
 def _count_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _Counter(buckets, True)
+        c = _Counter(buckets)
         for _, texts in blocks(batches):
             hashes, codes, _ = tokens(texts)
             c.add(hashes, np.bincount(codes, minlength=len(hashes)))
@@ -406,12 +406,12 @@ def _count_words(buckets: int):
     return run
 
 
-def _count_next(levels: list[Level], buckets: int):
-    """Counts of (node of the longest order so far, next word)."""
+def _count_next(levels: list[Level], buckets: int, parents: int):
+    """Counts of (node of the longest order so far, next word), dealt to segments of parents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, above = Words(segments_of(levels[0])), [Children(segments_of(x)) for x in levels[1:]]
-        c = _Counter(buckets, False)
+        c = _Counter(buckets, parents)
         for _, texts in blocks(batches):
             hashes, codes, size = tokens(texts)
             ids = words.find(hashes)[0][codes]
@@ -453,26 +453,14 @@ def _word_segments(buckets: int):
     return run
 
 
-def _prune(least: int, segments: int, parents: int):
-    """Keys with enough counts, dealt to segments of parents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (keys, counts) in sorted(_gather(batches).items()):
-            k, c = merge(keys, counts)
-            k, c = k[c >= least], c[c >= least]
-            seg = (k >> _U64(32)) * _U64(segments) // _U64(max(parents, 1))
-            cut = np.searchsorted(seg, np.arange(segments + 1))
-            some = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array([k[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([c[a:b].astype(np.uint32).tobytes() for _, a, b in some], pa.binary())], ["bucket", "keys", "counts"])
-
-    return run
-
-
-def _child_segments(below: list[Level], segments: int, parents: int, discount: float, vocabulary: int, last_level: bool):
+def _child_segments(below: list[Level], least: int, segments: int, parents: int, discount: float, vocabulary: int, last_level: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = None
         for seg, (keys, counts) in sorted(_gather(batches).items()):
             k, c = merge(keys, counts)
+            k, c = k[c >= least], c[c >= least]
+            if not len(k):
+                continue
             level = level or (Words if len(below) == 1 else Children)(segments_of(below[-1]))
             lo, hi = -(-seg * parents // segments), -(-(seg + 1) * parents // segments)
             parent, word = (k >> _U64(32)).astype(np.int64) - lo, (k & _U64(0xFFFFFFFF)).astype(np.int64)
@@ -504,10 +492,9 @@ def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disc
         parents, vocabulary = levels[-1].nodes, levels[0].nodes
         if parents >= 1 << 32 or vocabulary >= (1 << 32) - 1:
             raise ValueError("a level of the trie holds fewer than 2^32 nodes")
-        buckets = parts * max(1, -(-levels[0].total // (parts * 20_000_000)))
-        keys = by_bucket(texts.mapInArrow(_count_next(levels, buckets), _BLOBS), buckets)
-        kept = by_bucket(keys.mapInArrow(_prune(min_count, parts, parents), _BLOBS), parts)
-        levels.append(_ship(spark, kept.mapInArrow(_child_segments(levels, parts, parents, discount, vocabulary, n == order), _SEGMENTS)))
+        segments = parts * max(1, -(-levels[0].total // (parts * 20_000_000)))
+        keys = by_bucket(texts.mapInArrow(_count_next(levels, segments, parents), _BLOBS), segments)
+        levels.append(_ship(spark, keys.mapInArrow(_child_segments(levels, min_count, segments, parents, discount, vocabulary, n == order), _SEGMENTS)))
     release(spark)
     return levels
 

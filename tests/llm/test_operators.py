@@ -107,6 +107,30 @@ def test_scores_equal_a_plain_model(spark):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_language_model_keeps_what_was_seen_once(spark):
+    rows = [(i, t) for i, t in enumerate(("a b c d", "a b e", "f b c g", "b c", "h", "b c d a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = [defaultdict(int) for _ in range(4)]
+    words = {d: [*t.split(), ""] for d, t in rows}
+    for w in words.values():
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                counts[n][tuple(w[i : i + n])] += 1
+    levels = lm.train(df.select("text"))
+    assert [x.nodes for x in levels] == [len(c) for c in counts[1:]] and [x.total for x in levels] == [sum(c.values()) for c in counts[1:]]
+    for r in lm.score(df, levels).collect():
+        w, score = words[r["doc_id"]], 0.0
+        for i in range(len(w)):
+            p = (counts[1][w[i],] + 0.5) / (levels[0].total + 0.5 * (levels[0].nodes + 1))
+            for n in (2, 3)[:i]:
+                g = tuple(w[i - n + 1 : i + 1])
+                after = [c for x, c in counts[n].items() if x[:-1] == g[:-1]]
+                p = (counts[n][g] - lm.DISCOUNT + max(counts[n - 1][g[:-1]] - sum(after) + lm.DISCOUNT * len(after), 1e-12) * p) / counts[n - 1][g[:-1]]
+            score += np.log10(p)
+        assert r["score"] == pytest.approx(score, rel=1e-3)
+    assert [x.nodes for x in lm.train(df.select("text"), min_count=2)] == [len(counts[1]), *[sum(c > 1 for c in x.values()) for x in counts[2:]]]
+
+
 def test_language_model_on_odd_and_no_texts(spark, odd, odd_frame, none):
     levels = lm.train(odd_frame.select("text"))
     got = lm.score(odd_frame, levels).collect()
