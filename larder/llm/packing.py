@@ -10,6 +10,8 @@ cut into sequences whose lengths are powers of two, so that nothing has to be pa
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,15 +31,28 @@ LOCAL_BITS = 36
 SCHEMA = "start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the json file beside the ranks; none if there is no such file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    odd = [x["content"] for x in added if x["single_word"] or x["lstrip"] or x["rstrip"]]
+    if odd:
+        raise ValueError(f"added tokens that look at their surroundings are not supported: {odd}")
+    return {x["content"]: x["id"] for x in added}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The public byte-level vocabulary as an encoder that treats every text as ordinary text."""
+    """The public byte-level vocabulary as an encoder that, like the tokeniser of the json file, finds added tokens inside texts."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
 def default_vocabulary() -> str:
@@ -158,7 +173,7 @@ def _packer(vocabulary: str, capacity: int, end_id: int, id_col: str, keep_ids:
             kind = batch.column(id_col).type
             done = []
             for doc_id, t in zip(batch.column(id_col).to_pylist(), texts, strict=True):
-                ids = np.array(enc.encode_ordinary(t.decode("utf-8", "replace")) + [end_id], "<u4")
+                ids = np.array(enc.encode(t.decode("utf-8", "replace"), allowed_special="all") + [end_id], "<u4")
                 done += machine.add((doc_id, ids), len(ids))
             if done:
                 yield rows(done)

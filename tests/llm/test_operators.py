@@ -226,6 +226,14 @@ def test_packing(spark, odd, odd_frame, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    quoted = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>  b\n", "<|endoftext|", "<|<|endoftext|>|>", "it's  <|endoftext|>'s"]
+    rows = list(enumerate(quoted))
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_pieces(pieces, rows)
+    assert next(p["doc_tokens"] for p in pieces if p["doc_id"] == 0) == 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), max_size=60))
 def test_packer_invariants_and_choice(sizes):
