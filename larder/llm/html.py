@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 # HTML element names by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object math head".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label wbr img br input ruby rt rp".split())
+RAW = frozenset("script style noscript template textarea title svg iframe head".split())
+#: Of these, the ones whose tag alone is dropped if no end tag follows; the others then reach to the end of the page.
+LOST_END = frozenset("noscript template svg head".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label wbr img br input ruby rt rp object param".split()) | frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction semantics annotation annotation-xml".split())
 #: What an opening tag closes when it is open within the same container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("article aside blockquote body button caption center details dialog div dl fieldset figure footer form header html li main menu nav ol section table td th ul".split())
@@ -52,6 +54,7 @@ def leaf_blocks(page: str) -> list[Block]:
     buffer: list[str] = []
     links = linked = 0
     skip, at = None, 0
+    endless: set[str] = set()
 
     def close():
         nonlocal linked
@@ -96,12 +99,17 @@ def leaf_blocks(page: str) -> list[Block]:
         if skip:
             continue
         if name in RAW and not (m[3] or "").endswith("/"):
+            if name in endless:
+                continue
             if name in ("head", "noscript"):  # their content is scanned for its end only
                 end = re.compile(rf"</{name}\s*>|<body", re.I).search(page, at)
             else:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if end is None:
-                skip = name if name != "head" else None
+                if name in LOST_END:
+                    endless.add(name)  # nor does one follow any later tag of this name
+                else:
+                    skip = name
             else:
                 at = end.start() if end[0].lower() == "<body" else end.end()
             continue

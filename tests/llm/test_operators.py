@@ -149,6 +149,18 @@ def test_html_blocks_and_characters():
     assert html.leaf_blocks("") == [] and html.main_text("", html.default_field()) == ""
 
 
+@pytest.mark.parametrize("name", ["svg", "math", "object", "noscript", "template"])
+def test_html_elements_without_an_end(name):
+    assert [b.text for b in html.leaf_blocks(f"<p>a</p><{name}><p>b</p><{name} x=1><p>c")] == ["a", "b", "c"]
+
+
+def test_html_formulas_and_fallback_text():
+    page = "<article><p>so <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> holds</p><p>see <object data=f><param name=q>the figure</object> here</p><p>no <svg><text>label</text></svg>drawing</p></article>"
+    blocks = html.leaf_blocks(page)
+    assert [b.text for b in blocks] == ["so x=1 holds", "see the figure here", "no drawing"]
+    assert all(b.tags == ("article", "p") for b in blocks)
+
+
 def test_html_held_out_accuracy():
     field = html.train(html.training_pages(300, seed=1))
     pairs = [(x, y) for blocks, labels in html.training_pages(120, seed=2) for x, y in zip(field.decode(blocks), labels, strict=True)]
