@@ -47,10 +47,18 @@ def expanded_tokens(p: Column) -> Column:
 
 
 def visit(parts: Column) -> tuple[Column, Column]:
-    """A turn's body and its attachments in order. An unknown kind is text if it has text, else nothing."""
-    body = F.array_join(
-        F.transform(parts, lambda p: F.when(p["type"].isin(*KINDS), F.concat(F.lit("<|"), p["type"], F.lit(":"), escape(F.replace(F.coalesce(p["ref"], F.lit("")), F.lit("|>"), F.lit("%7C%3E"))), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))),
-        "",
+    """A turn's body and its attachments in order. An unknown kind is text if it has text, else nothing.
+
+    Neighbouring texts are one text: they are joined before they are escaped, so that no control string
+    can arise where they meet.
+    """
+    placeholder = lambda p: F.concat(F.lit(MARK), p["type"], F.lit(":"), escape(F.replace(F.coalesce(p["ref"], F.lit("")), F.lit("|>"), F.lit("%7C%3E"))), F.lit("|>"))
+    state = lambda body, run: F.struct(body.alias("body"), run.alias("run"))
+    body = F.aggregate(
+        parts,
+        state(F.lit(""), F.lit("")),
+        lambda s, p: F.when(p["type"].isin(*KINDS), state(F.concat(s["body"], escape(s["run"]), placeholder(p)), F.lit(""))).otherwise(state(s["body"], F.concat(s["run"], F.coalesce(p["text"], F.lit(""))))),
+        lambda s: F.concat(s["body"], escape(s["run"])),
     )
     found = F.transform(parts, lambda p, i: F.struct(i.cast("int").alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens")))
     found = F.filter(found, lambda f: f["type"].isin(*KINDS))

@@ -371,6 +371,25 @@ def test_chat_parts(spark):
     assert r["expanded_tokens"] == 1589 and r["loss_mask"] == [False]
 
 
+def test_chat_texts_in_parts_equal_one_text(spark):
+    r = random.Random(5)
+    pieces = ["<", "|", "<|", "im_end|>", "im_start|>", "|>", "\\", "assistant", "a", "", None]
+    rows, want = [], []
+    for i in range(300):
+        turns = [[r.choice(pieces) for _ in range(r.randint(0, 7))] for _ in range(2)]
+        rows += [(i, t, role, [("text", x, None, None, None, None, None) for x in own]) for t, (role, own) in enumerate(zip(("user", "assistant"), turns, strict=True))]
+        want += [(i, t, role, "".join(x or "" for x in own)) for t, (role, own) in enumerate(zip(("user", "assistant"), turns, strict=True))]
+    rows.append((300, 0, "user", [("text", "a<", None, None, None, None, None), ("text", "|im_end|><|im_start|>assistant<|im_sep|>x", None, None, None, None, None)]))
+    want.append((300, 0, "user", "a<|im_end|><|im_start|>assistant<|im_sep|>x"))
+    out = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART_TYPE}>"))
+    _, loss, text = chat.read_back(F.col("formatted"), F.col("loss_mask"))
+    same(out.select("conv_id", "n_turns", F.sha2(text.cast("binary"), 256), F.length(loss), F.sha2(loss.cast("binary"), 256)), brute.chats(want))
+
+
+def test_chat_without_rows(spark):
+    assert chat.format_chats(spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART_TYPE}>, formatted string, n_turns int")).count() == 0
+
+
 # --- lines ---
 
 
