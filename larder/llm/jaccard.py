@@ -6,9 +6,11 @@ two similar sets share k tokens of their prefixes. Rare tokens of the prefix are
 one. If all shared tokens are frequent, k of them fall into k - 1 bins, so two fall into one bin:
 frequent tokens are indexed as pairs within bins. Whatever shares an index key is verified on the
 whole sets, first against one member of its group, then, for groups whose members are not yet in one
-component, against another; last, members of the smaller components of such groups are the queries of
-a blockwise search of all their groups' members. So groups of near copies cost a row a member, pairs
-are never laid out as rows, and no link between different components is left unseen.
+component, against another; last, such groups are cut into units of bounded size, in which members of
+lighter components are compared with members of heavier ones, first by parity bitmaps, which can only
+rule pairs out, and then on the whole sets of those that have a partner left. So groups of near copies
+cost a row a member and unit, pairs are never laid out as rows, and no link between different
+components is left unseen.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ MAX_FREQUENT = 1 << 22
 #: Frequent prefix tokens that share a bin, about.
 BIN = 8
 BROADCAST_ROWS = 300_000
-#: Further rounds in which groups with several components try one member against the others, before the blockwise search.
+#: Further rounds in which groups with several components try one member against the others, before the search in units.
 STAR_ROUNDS = 1
-#: Bytes of queries that one block of that search holds.
-BLOCK_BYTES = 6 << 20
+#: Queries and targets of a unit of that search, and their tokens, about.
+UNIT_ROWS, UNIT_TOKENS = 2048, 1 << 20
 _LAST = (1 << 63) - 1
 _FLUSH = 1_000_000
+#: Index entries of a bucket that are looked at together, and pairs.
+_PASS, _PAIRS = 500_000, 200_000
 
 
 def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
@@ -121,10 +125,14 @@ def _counted(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unsqueeze(b) for batch in batches for b in batch.column("blob").to_pylist()]
         if parts:
-            names = np.sort(np.concatenate(parts))
-            first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-            counts = np.diff(np.append(first, len(names)))
-            names, counts = names[first][counts > least], counts[counts > least]
+            names = np.concatenate(parts)
+            del parts
+            names.sort()
+            often = names[least:] == names[: len(names) - least]  # the name goes on for ``least`` places
+            first = np.flatnonzero(often[1:] & (names[1 : len(often)] != names[: max(len(often) - 1, 0)])) + 1
+            if len(often) and often[0]:
+                first = np.concatenate([[0], first])
+            names, counts = names[first], np.searchsorted(names, names[first], side="right") - first
             bits = np.bincount(np.frexp((counts - 1).astype(float))[1], minlength=64)
             yield pa.RecordBatch.from_arrays([pa.array([names.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary()), pa.array([bits.tolist()], pa.list_(pa.int64()))], ["names", "counts", "bits"])
 
@@ -255,8 +263,8 @@ def _group(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     for batch in batches:
         for k, p, r, nm, sz in zip(*[batch.column(c).to_pylist() for c in ("keys", "places", "rests", "names", "sizes")], strict=True):
             keys.append(np.frombuffer(k, np.uint32))
-            rests.append(np.frombuffer(r, np.uint16 if len(r) < len(k) else np.uint32).astype(np.int64))
-            places.append(np.frombuffer(p, np.uint16).astype(np.int64) + base)
+            rests.append(np.frombuffer(r, np.uint16 if len(r) < len(k) else np.uint32).astype(np.uint32))
+            places.append(np.frombuffer(p, np.uint16).astype(np.uint32) + np.uint32(base))
             names.append(nm)
             sizes.append(np.frombuffer(sz, np.uint32))
             base += len(sizes[-1])
@@ -268,44 +276,54 @@ def _group(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     same = np.ones(len(rank_of), bool)
     ordered = table[rank_of]
     same[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
-    rank = np.empty(len(rank_of), np.int64)
+    rank = np.empty(len(rank_of), np.uint32)
     rank[rank_of] = np.cumsum(same) - 1  # equal sets from several blobs get one number
     table, size = ordered[same], size[rank_of][same]
-    key, place, rest = np.concatenate(keys), rank[np.concatenate(places)], np.concatenate(rests)
-    # A set whose shared tokens cannot suffice even for its smallest partner has no use for the key.
-    use = (100 + percent) * rest >= percent * (size[place] + -(-percent * size[place] // 100))
-    key, place, rest = key[use], place[use], rest[use]
-    # Nor has one without another of a size that allows a link: look at the neighbours by size within the key.
-    order = np.lexsort((size[place], key))
-    key, place, rest = key[order], place[order], rest[order]
-    near = (key[1:] == key[:-1]) & (100 * size[place[:-1]] >= percent * size[place[1:]]) & (place[1:] != place[:-1])
-    keep = np.zeros(len(key), bool)
-    keep[1:] |= near
-    keep[:-1] |= near
-    key, place, rest = key[keep], place[keep], rest[keep]
-    order = np.lexsort((-rest, place, key))
-    key, place, rest = key[order], place[order], rest[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
-    key, place, rest = key[fresh], place[fresh], rest[fresh]
-    if not len(key):
-        return
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(start, len(key)))
+    every_key, every_place, every_rest = np.concatenate(keys), rank[np.concatenate(places)], np.concatenate(rests)
+    del keys, places, rests, names, rank, rank_of, ordered
+    passes = -(-len(every_key) // _PASS)
+    turn_of = every_key % np.uint32(passes)
+    seen = np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         t = table.astype(np.uint64)
         print_of = mix64(t[:, 0] + np.uint64(1)) + mix64(t[:, 1])
-        gid = mix64(np.add.reduceat(mix64(print_of[place] + rest.astype(np.uint64)), start) + count.astype(np.uint64))
-    many = np.flatnonzero(count > 1)
-    _, one = np.unique(gid[many], return_index=True)
-    many = many[np.sort(one)]
-    for at in range(0, len(many), 20_000):
-        own = many[at : at + 20_000]
-        n = count[own]
-        idx = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        who, hub_at = place[idx], np.repeat(start[own], n)  # places are ranks, so the first is the least
-        hub = place[hub_at]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid[own], n).view(np.int64)), _binary16(table[who].tobytes(), len(who)), pa.array(size[who]), pa.array(rest[idx]), _binary16(table[hub].tobytes(), len(hub)), pa.array(size[hub]), pa.array(rest[hub_at])], ["gid", "k", "n", "m", "hub", "hub_n", "hub_m"])
+    for turn in range(passes):
+        own = turn_of == turn
+        key, place, rest = every_key[own], every_place[own].astype(np.int64), every_rest[own].astype(np.int64)
+        # A set whose shared tokens cannot suffice even for its smallest partner has no use for the key.
+        use = (100 + percent) * rest >= percent * (size[place] + -(-percent * size[place] // 100))
+        key, place, rest = key[use], place[use], rest[use]
+        # Nor has one without another of a size that allows a link: look at the neighbours by size within the key.
+        order = np.lexsort((size[place], key))
+        key, place, rest = key[order], place[order], rest[order]
+        near = (key[1:] == key[:-1]) & (100 * size[place[:-1]] >= percent * size[place[1:]]) & (place[1:] != place[:-1])
+        keep = np.zeros(len(key), bool)
+        keep[1:] |= near
+        keep[:-1] |= near
+        key, place, rest = key[keep], place[keep], rest[keep]
+        order = np.lexsort((-rest, place, key))
+        key, place, rest = key[order], place[order], rest[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+        key, place, rest = key[fresh], place[fresh], rest[fresh]
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(start, len(key)))
+        with np.errstate(over="ignore"):
+            gid = mix64(np.add.reduceat(mix64(print_of[place] + rest.astype(np.uint64)), start) + count.astype(np.uint64))
+        many = np.flatnonzero(count > 1)
+        _, one = np.unique(gid[many], return_index=True)
+        many = many[np.sort(one)]
+        many = many[~np.isin(gid[many], seen)]
+        seen = np.concatenate([seen, gid[many]])
+        for at in range(0, len(many), 20_000):
+            own = many[at : at + 20_000]
+            n = count[own]
+            idx = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            who, hub_at = place[idx], np.repeat(start[own], n)  # places are ranks, so the first is the least
+            hub = place[hub_at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid[own], n).view(np.int64)), _binary16(table[who].tobytes(), len(who)), pa.array(size[who]), pa.array(rest[idx]), _binary16(table[hub].tobytes(), len(hub)), pa.array(size[hub]), pa.array(rest[hub_at])], ["gid", "k", "n", "m", "hub", "hub_n", "hub_m"])
 
 
 def _tokens(words: int):
@@ -364,46 +382,143 @@ def similar(n, m, other_n, other_m, percent: int):
     return (F.lit(100) * F.least(n, other_n) >= F.lit(percent) * F.greatest(n, other_n)) & (F.lit(100 + percent) * F.least(m, other_m) >= F.lit(percent) * (n + other_n))
 
 
-def _candidates(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of groups with several components: set, size, component and its weight, groups, whether it is a query, tokens.
+_UNIT = "gid long, qb int, tb int, k binary, n long, m long, label binary, weight long, query boolean, target boolean"
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity bitmaps of sets, a power of two of at least as many bits as tokens: the bits in which two differ are no more than the tokens that only one set has."""
+    for batch in batches:
+        out = []
+        for raw in batch.column("tokens").to_pylist():
+            s = np.frombuffer(raw, np.uint64)
+            size = 1 << max(6, (len(s) - 1).bit_length())
+            odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+            out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "bits"])
+
+
+def _units(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of groups with several components, dealt to units of bounded size: gid, qb, tb (the unit), k, n, m, label, weight, query, target.
 
-    A member is a query if a heavier component (ties by name) is in one of its groups, so of any two
-    members of different components in one group the lighter one is.
+    A member is a query if a heavier component (ties by name) is in its group, so of any two members
+    of different components the lighter one is; every member is a target. A large group's queries
+    and targets are cut into blocks by hash, and every pair of blocks is a unit.
     """
     weights = labels.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("weight"))
     placed = groups.join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label")).join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
     top = placed.groupBy("gid").agg(F.max(F.struct("weight", "label")).alias("top"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid", "top")
-    own = placed.join(top, "gid").groupBy("k").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.first("weight").alias("weight"), F.collect_list(F.struct("gid", "m")).alias("at"), F.max(F.struct("weight", "label") < F.col("top")).alias("query"))
-    return own.join(sets, "k")
+    own = written(placed.join(top, "gid").withColumn("query", F.struct("weight", "label") < F.col("top")).drop("top"), "members")
+    blocks_of = lambda rows, tokens: F.ceil(F.greatest(rows / F.lit(UNIT_ROWS), tokens / F.lit(UNIT_TOKENS))).cast("int")
+    sizes = own.groupBy("gid").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"), F.count_if("query").alias("q_rows"), F.sum(F.when(F.col("query"), F.col("n"))).alias("q_tokens"))
+    sizes = sizes.select("gid", F.greatest(blocks_of(F.col("q_rows"), F.col("q_tokens")), F.lit(1)).alias("qs"), F.greatest(blocks_of(F.col("rows"), F.col("tokens")), F.lit(1)).alias("ts"))
+    place = lambda seed, n: F.pmod(F.xxhash64("k", F.lit(seed)), n.cast("long")).cast("int")
+    unit = lambda qb, tb, query, target: F.struct(qb.alias("qb"), tb.alias("tb"), query.alias("query"), target.alias("target"))
+    yes, no = F.lit(True), F.lit(False)
+    at = F.when((F.col("qs") == 1) & (F.col("ts") == 1), F.array(unit(F.lit(0), F.lit(0), F.col("query"), yes))).otherwise(
+        F.concat(
+            F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda qb: unit(qb, place(2, F.col("ts")), no, yes)),
+            F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("ts") - 1), lambda tb: unit(place(1, F.col("qs")), tb, yes, no))).otherwise(F.array().cast("array<struct<qb:int,tb:int,query:boolean,target:boolean>>")),
+        )
+    )
+    return own.join(sizes, "gid").select("gid", "k", "n", "m", "label", "weight", F.explode(at).alias("at")).select("gid", "at.qb", "at.tb", "k", "n", "m", "label", "weight", "at.query", "at.target")
+
+
+def _by_unit(units: DataFrame, parts: int) -> DataFrame:
+    return units.repartition(parts, "gid", "qb", "tb").sortWithinPartitions("gid", "qb", "tb")
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows in batches that end with their units, and where each unit begins."""
+    rest: list[pa.RecordBatch] = []
+
+    def cut(batch: pa.RecordBatch) -> np.ndarray:
+        cols = [batch.column(c).to_numpy() for c in ("gid", "qb", "tb")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        return np.flatnonzero(new)
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        got = pa.concat_batches(rest)
+        start = cut(got)
+        if len(start) > 1:
+            yield got.slice(0, start[-1]), start[:-1]
+            rest = [got.slice(start[-1])]
+        else:
+            rest = [got]
+    if rest:
+        got = pa.concat_batches(rest)
+        yield got, cut(got)
+
+
+def _pairs_of(batch: pa.RecordBatch, start: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, target) of a unit that components, sizes and shared tokens allow, some at a time."""
+    n, m, weight = (batch.column(c).to_numpy() for c in ("n", "m", "weight"))
+    _, label = np.unique(np.array(batch.column("label").to_pylist(), object), return_inverse=True)
+    query, target = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("query", "target"))
+    end = np.append(start[1:], batch.num_rows)
+    unit = np.searchsorted(start, np.arange(batch.num_rows), side="right") - 1
+    asks = np.flatnonzero(query)
+    width = (end - start)[unit[asks]]
+    turn = np.cumsum(width) // _PAIRS
+    for own in np.split(np.arange(len(asks)), np.flatnonzero(np.diff(turn)) + 1):
+        w = width[own]
+        a = np.repeat(asks[own], w)
+        b = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + start[unit[a]]
+        lighter = (weight[a] < weight[b]) | (weight[a] == weight[b]) & (label[a] < label[b])
+        ok = lighter & target[b] & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & ((100 + percent) * np.minimum(m[a], m[b]) >= percent * (n[a] + n[b]))
+        yield a[ok], b[ok]
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (one a row, in bytes) at half their length and so on down to ``size`` bytes."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _plausible(percent: int):
+    """Rows of units with a partner that the bitmaps allow."""
 
-def _query_blocks(cands: DataFrame) -> Iterator[dict]:
-    """The queries in blocks of bounded size, streamed: their sets, components, and for each group the queries in it."""
-
-    def packed(rows):
-        gids = np.concatenate([g for *_, g, _ in rows])
-        places = np.repeat(np.arange(len(rows)), [len(g) for *_, g, _ in rows])
-        order = np.argsort(gids, kind="stable")
-        near = np.column_stack([places, np.concatenate([m for *_, m in rows])])[order]
-        names, first = np.unique(gids[order], return_index=True)
-        return {"k": [r[0] for r in rows], "tokens": [np.frombuffer(r[1], np.uint64) for r in rows], "label": [r[2] for r in rows], "n": np.array([r[3] for r in rows]), "rank": [(r[4], r[2]) for r in rows], "gids": names, "first": np.append(first, len(gids)), "near": near}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, start in _whole_units(batches):
+            n = batch.column("n").to_numpy()
+            raw = batch.column("bits").to_pylist()
+            length = np.array([len(x) for x in raw])
+            active = np.zeros(batch.num_rows, bool)
+            table: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+            place = np.zeros(batch.num_rows, np.int64)
+            for size in np.unique(length):
+                own = np.flatnonzero(length == size)
+                place[own] = np.arange(len(own))
+                table[size] = np.frombuffer(b"".join(raw[i] for i in own), np.uint8).reshape(len(own), size)
+            for a, b in _pairs_of(batch, start, percent):
+                for la, lb in {(x, y) for x, y in zip(*np.unique(np.stack([length[a], length[b]]), axis=1).tolist(), strict=True)} if len(a) else ():
+                    own = np.flatnonzero((length[a] == la) & (length[b] == lb))
+                    both = n[a[own]] + n[b[own]]
+                    least = -(-percent * both // (100 + percent))
+                    small = min(la, lb)
+                    step = max(1, (16 << 20) // max(la, lb))
+                    for at in range(0, len(own), step):
+                        s = slice(at, at + step)
+                        i, j = a[own[s]], b[own[s]]
+                        x, y = _folded(table[la][place[i]], small), _folded(table[lb][place[j]], small)
+                        differ = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                        ok = differ <= both[s] - 2 * least[s]
+                        active[i[ok]] = True
+                        active[j[ok]] = True
+            yield batch.filter(pa.array(active)).select(_UNIT.replace(",", "").split()[::2])
 
-    rows, size = [], 0
-    for r in cands.where("query").select("k", "tokens", "label", "n", "weight", F.col("at.gid"), F.col("at.m")).toLocalIterator():
-        rows.append((bytes(r[0]), bytes(r[1]), bytes(r[2]), r[3], r[4], np.array(r[5]), np.array(r[6])))
-        size += len(r[1]) + 100 * len(r[5])
-        if size > BLOCK_BYTES:
-            yield packed(rows)
-            rows, size = [], 0
-    if rows:
-        yield packed(rows)
+    return run
 
 
-def _search(carried, percent: int):
-    """Candidates against the block's queries that share a group: links between components that no earlier link of the task has joined."""
+def _search(percent: int):
+    """Links between members of different components of a unit, but for those that earlier links of the task imply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = carried.value
         joined: dict[bytes, bytes] = {}
 
         def root(x: bytes) -> bytes:
@@ -412,29 +527,15 @@ def _search(carried, percent: int):
                 x = up
             return x
 
-        for batch in batches:
+        for batch, start in _whole_units(batches):
             left, right = [], []
-            at = batch.column("at")
-            gids, ms, ends = at.flatten().field(0).to_numpy(), at.flatten().field(1).to_numpy(), at.offsets.to_numpy()
-            ends = ends - ends[0]
-            place = np.minimum(np.searchsorted(q["gids"], gids), len(q["gids"]) - 1)
-            shared = np.flatnonzero(q["gids"][place] == gids)
-            owner = np.searchsorted(ends, shared, side="right") - 1
-            rows, first = np.unique(owner, return_index=True)
-            tokens_of = batch.column("tokens")
-            for i, own_shared in zip(rows.tolist(), np.split(shared, first[1:]), strict=True) if len(rows) else ():
-                k, n, label, weight = (batch.column(c)[i].as_py() for c in ("k", "n", "label", "weight"))
-                near = []
-                for x, own_m in zip(place[own_shared].tolist(), ms[own_shared].tolist(), strict=True):
-                    own = q["near"][q["first"][x] : q["first"][x + 1]]
-                    near.append(own[(100 + percent) * np.minimum(own[:, 1], own_m) >= percent * (q["n"][own[:, 0]] + n), 0])
-                raw = tokens_of[i].as_buffer()
-                tokens, here = np.frombuffer(raw, np.uint64), (weight, label)
-                for x in np.unique(np.concatenate(near)).tolist():
-                    if q["rank"][x] < here and 100 * min(n, int(q["n"][x])) >= percent * max(n, int(q["n"][x])) and root(q["label"][x]) != root(label) and _alike(q["tokens"][x], tokens, percent):
-                        joined[root(q["label"][x])] = root(label)
-                        left.append(q["k"][x])
-                        right.append(k)
+            k, label, raw = (batch.column(c).to_pylist() for c in ("k", "label", "tokens"))
+            for a, b in _pairs_of(batch, start, percent):
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    if root(label[i]) != root(label[j]) and _alike(np.frombuffer(raw[i], np.uint64), np.frombuffer(raw[j], np.uint64), percent):
+                        joined[root(label[i])] = root(label[j])
+                        left.append(k[i])
+                        right.append(k[j])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     return run
@@ -475,7 +576,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     entries = single.select("text").mapInArrow(_index(words, buckets, frequent, percent), "bucket int, keys binary, places binary, rests binary, names binary, sizes binary")
     # Groups come out of the buckets with equal ones removed; those equal across buckets are removed here.
     groups = written(by_bucket(entries, buckets).mapInArrow(_groups(percent), "gid long, k binary, n long, m long, hub binary, hub_n long, hub_m long").dropDuplicates(["gid", "k"]), "groups")
-    del entries
+    frequent.destroy()
+    del entries, frequent
     release(spark)
 
     wanted = written(classes.join(groups.select("k").distinct(), "k", "left_semi").select("one.doc", "one.mark", "k"), "wanted")
@@ -501,13 +603,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         groups = groups.select("gid", "k", "n", "m")
         release(spark)
 
-    cands = written(_candidates(groups, labels, sets), "candidates")
-    found = None
-    for block in _query_blocks(cands):
-        part = cands.select("k", "n", "label", "weight", "at", "tokens").mapInArrow(_search(spark.sparkContext.broadcast(block), percent), "a binary, b binary")
-        found = part if found is None else found.unionByName(part)
-    if found is not None:
-        labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(written(found, "links")))
+    bitmaps = sets.mapInArrow(_bitmaps, "k binary, bits binary")
+    active = written(_by_unit(_units(groups, labels).join(bitmaps, "k"), buckets).mapInArrow(_plausible(percent), _UNIT), "active")
+    found = written(_by_unit(active.join(sets, "k"), buckets).mapInArrow(_search(percent), "a binary, b binary"), "links")
+    labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(found))
 
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))
     firsts = written(placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first")), "firsts")  # a table, so that a hot label can be split

@@ -8,6 +8,8 @@ from .common import mix64
 
 _TABLES = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+#: Powers are made in steps, and a worker keeps so many at most.
+_STEP, _KEPT = 1 << 18, 1 << 22
 _SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
@@ -24,13 +26,16 @@ class Prints:
     def powers(cls, which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         have = cls._powers.get(which)
         if have is None or len(have[0]) < n:
+            n = -(-n // _STEP) * _STEP
             base = int(_BASES[which])
             up = np.full(n, base, np.uint64)
             up[0] = 1
             down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
             down[0] = 1
             with np.errstate(over="ignore"):
-                have = cls._powers[which] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+                have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            if n <= _KEPT:  # those of longer buffers are not kept
+                cls._powers[which] = have
         return have
 
     def of(self, start, length, which: int = 0) -> np.ndarray:

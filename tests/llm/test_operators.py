@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -317,13 +318,29 @@ def test_jaccard_query(spark):
     same(queries.op7_jaccard_join(spark, SF), brute.jaccard(texts(spark)))
 
 
-def test_jaccard_blocks_and_frequent_bound(odd, odd_frame, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1)
+@pytest.mark.parametrize("rows", [jaccard.UNIT_ROWS, 3])
+def test_jaccard_units_and_frequent_bound(odd, odd_frame, monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "UNIT_ROWS", rows)
     monkeypatch.setattr(jaccard, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "_PASS", 1000)
+    monkeypatch.setattr(jaccard, "_PAIRS", 50)
     monkeypatch.setattr(jaccard, "MAX_FREQUENT", 40)
     same(jaccard.join(odd_frame).select("doc_id", "n_shingles", "component_id"), brute.jaccard(odd))
 
 
+def test_bitmaps_only_rule_out():
+    r = np.random.default_rng(2)
+    for n in (1, 3, 64, 65, 700, 3000):
+        x = r.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.unique(np.concatenate([x[: int(n * 0.9)], r.integers(0, 1 << 63, n // 5).astype(np.uint64)]))
+        x = np.unique(x)
+        batch = pa.RecordBatch.from_pydict({"k": [b"x", b"y"], "tokens": [x.tobytes(), y.tobytes()]})
+        a, b = (np.frombuffer(v, np.uint8)[None] for v in next(iter(jaccard._bitmaps([batch]))).column("bits").to_pylist())
+        size = min(a.shape[1], b.shape[1])
+        differ = np.bitwise_count(jaccard._folded(a, size) ^ jaccard._folded(b, size)).sum()
+        assert differ <= len(np.setxor1d(x, y))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 10_000), st.integers(2, 60), st.integers(0, 6), st.sampled_from([0.0, 0.3, 1.0]))
 def test_similar_sets_share_a_key(seed, n, changes, share):
