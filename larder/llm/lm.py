@@ -1,43 +1,48 @@
-"""An Elias-Fano n-gram trie: built by Spark jobs, memory-mapped by the scorers.
-
-Level 1 holds the words as hashes, levels above hold, for each parent node, its next words. All of
-them are monotone sequences in Elias-Fano form: hashes, pointers from a parent to its children, and
-children made monotone by adding the last value of the range before. A child is found by the
-successor of (base of its context + word) in that sequence. Probabilities are absolute-discounted
-shares, interpolated along the context when read, and quantised to 16 bits; the unigram level keeps
+"""An Elias-Fano n-gram trie in shards: built by Spark jobs, memory-mapped by the tasks that answer from it.
+
+The first level holds the words as hashes in ranges. Above it the trie is cut by its first words into
+shards; a very frequent first word's children are spread over several. A shard holds, for every parent
+node, its next words. All levels are monotone sequences in Elias-Fano form: hashes and ids, pointers
+from a parent to its children, and children made monotone by adding the last value of the range before.
+A child is found by the successor of (base of its context + word) in that sequence. Probabilities are
+absolute-discounted shares, interpolated along the context, quantised to 16 bits; the first level keeps
 its counts and is smoothed by half a count.
 
-Counts of all orders are taken over all training texts: sorted keys in blobs by segment (a range of
-words or of parents), merged in each segment. Segments are written to the shared folder and handed to
-the executors as files, which they map; what they map grows with the corpus, what a task holds in memory doesn't.
+No task holds the model, and none is sent to all. Texts become chunks of tokens, written once. A
+chunk asks the ranges of the first level for its distinct words, and the shards for its distinct n-grams as
+a small trie of its own, with how often each occurs in texts that train. A range or shard adds up what all chunks
+tell, lays its part of the model out in a file, maps it, and answers every chunk from it. So counts
+of all orders are taken over all training texts, and every n-gram travels once a chunk.
 """
 
 from __future__ import annotations
 
-import fcntl
 import json
-import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_bucket, crc_mod, mix64, release, shuffle_parts, written
+from .common import blocks, crc_mod, forget, mix64, release, shuffle_parts, steady, written
 from .prints import word_prints
 
 ORDER = 3
-#: An n-gram of two words or more is kept from this count on; the mass of others would go to the lower orders. 1 keeps all that are counted.
+#: An n-gram of two words or more is kept from this count on; the mass of others goes to the lower orders. 1 keeps all.
 MIN_COUNT = 1
 DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
-_FLUSH = 1_500_000
-#: Quantised log10 values are steps of 2^-12 below zero.
+#: Tokens of a chunk, and of a shard, about.
+CHUNK, SHARD = 1_500_000, 3_000_000
+#: Quantised log10 values are steps of 2^-12 below zero; NONE stands for no probability at all.
 _STEP = 4096.0
+NONE = np.uint16(65535)
 _U64 = np.uint64
+_LOW = _U64(0xFFFFFFFF)
 
 
 # --- Elias-Fano sequences ---------------------------------------------------------------------
@@ -159,6 +164,19 @@ def unpack(raw: np.ndarray) -> dict[str, np.ndarray]:
     return {k: body[at : at + np.dtype(t).itemsize * m].view(t) for k, (t, at, m) in json.loads(raw[8 : 8 + n].tobytes()).items()}
 
 
+def squeeze(parts: dict[str, np.ndarray]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pack(parts))
+
+
+def expand(raw: bytes) -> dict[str, np.ndarray]:
+    return unpack(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8))
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    """In the smallest unsigned type that holds the values."""
+    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
+
+
 def _under(parts: dict[str, np.ndarray], name: str) -> dict[str, np.ndarray]:
     return {k.split(".", 1)[1]: v for k, v in parts.items() if k.startswith(f"{name}.")}
 
@@ -167,370 +185,507 @@ def _named(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{name}.{k}": v for k, v in parts.items()}
 
 
-def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * _STEP), 0, 65535).astype(np.uint16)
+def quantise(share: np.ndarray) -> np.ndarray:
+    """Shares as steps of their logarithm; 0 as NONE."""
+    with np.errstate(divide="ignore"):
+        return np.where(share > 0, np.clip(np.rint(-np.log10(share) * _STEP), 0, int(NONE) - 1), int(NONE)).astype(np.uint16)
 
 
 def restore(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q.astype(np.float64) / -_STEP)
+    return np.where(q == NONE, 0.0, 10.0 ** (q.astype(np.float64) / -_STEP))
 
 
-def _sieve_bits(size: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix64((parents.astype(_U64) << _U64(32)) ^ words.astype(_U64)) & _U64(size - 1)
+class Children:
+    """A level above the first: pointers of the parents, their children, the children's shares and the parents' mass for lower orders."""
 
+    def __init__(self, parts: dict[str, np.ndarray]):
+        self.ptr, self.child = EliasFano(_under(parts, "ptr")), EliasFano(_under(parts, "child"))
+        self.alpha, self.gamma = parts["alpha"], parts["gamma"]
+
+    def find(self, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs, parents sorted (-1: none): the child's node (-1: none) and its quantised share."""
+        node, alpha = np.full(len(parents), -1, np.int64), np.full(len(parents), NONE)
+        own = np.flatnonzero((parents >= 0) & (words >= 0))
+        if not len(own) or not self.child.n:
+            return node, alpha
+        new = np.concatenate([[True], parents[own][1:] != parents[own][:-1]])
+        local, back = parents[own][new], np.cumsum(new) - 1
+        begin, end = self.ptr.access(local).astype(np.int64), self.ptr.access(local + 1).astype(np.int64)
+        base = np.zeros(len(local), _U64)
+        some = (begin > 0) & (end > begin)
+        base[some] = self.child.access(begin[some] - 1) + _U64(1)
+        full = (end > begin)[back]
+        own, back = own[full], back[full]
+        at, ok = self.child.successor(base[back] + words[own].astype(_U64))
+        ok &= at < end[back]  # a value of the next context may be equal
+        node[own[ok]] = at[ok]
+        alpha[own[ok]] = self.alpha[at[ok]]
+        return node, alpha
+
+    def mass(self, parents: np.ndarray) -> np.ndarray:
+        """Quantised; NONE for no parent."""
+        out = np.full(len(parents), NONE)
+        own = parents >= 0
+        out[own] = self.gamma[parents[own]]
+        return out
+
+
+def level(parent: np.ndarray, word: np.ndarray, counts: np.ndarray, totals: np.ndarray, discount: float, vocabulary: int) -> dict[str, np.ndarray]:
+    """A level from its nodes in order (parents' places, word codes, counts) and the parents' counts."""
+    n = np.bincount(parent, minlength=len(totals))
+    share = (counts - discount) / totals[parent]
+    ptr = np.concatenate([[0], np.cumsum(n)])
+    last = np.where(n > 0, word[np.maximum(ptr[1:] - 1, 0)] + 1 if len(word) else 0, 0)  # a range's values end below its base plus this
+    base = np.concatenate([[0], np.cumsum(last)])
+    mass = np.clip(1 - np.bincount(parent, share, len(totals)), 1e-12, 1)
+    return {"alpha": quantise(share), "gamma": quantise(mass)} | _named("ptr", encode(ptr, len(word) + 1)) | _named("child", encode(base[parent] + word, int(base[-1]) + vocabulary + 1))
+
+
+def mapped(parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The arrays laid out in a file without a name, which goes with its last map."""
+    with tempfile.TemporaryFile() as f:
+        f.write(pack(parts))
+        f.flush()
+        return unpack(np.memmap(f, np.uint8, "r"))
+
+
+# --- chunks of tokens -------------------------------------------------------------------------------
 
-def make_sieve(parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """A bit for each child by hash, eight places a child, that turns most absent ones away before any search."""
-    size = 1 << max(6, int(8 * len(parents)).bit_length())
-    out = np.zeros(size // 64, _U64)
-    bit = _sieve_bits(size, parents, words)
-    np.bitwise_or.at(out, (bit >> _U64(6)).astype(np.int64), _U64(1) << (bit & _U64(63)))
-    return out
 
+#: The end of a text as a token.
+END = _U64(0x5851F42D4C957F2D)
 
-def _in_sieve(sieve: np.ndarray, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
-    bit = _sieve_bits(len(sieve) * 64, parents, words)
-    return (sieve[(bit >> _U64(6)).astype(np.int64)] >> (bit & _U64(63))) & _U64(1) != 0
 
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all tokens and the number of each text's: its words, lower-cased, and its end. A word's name is a 64-bit fingerprint of its bytes."""
+    name, words = word_prints(texts)
+    text = np.repeat(np.arange(len(texts)), words)
+    out = np.full(len(name) + len(texts), END)
+    out[np.arange(len(name)) + text] = name
+    return out, words + 1
 
-class Words:
-    """Level 1: hashes in ranges; a word's id is its place among all."""
 
-    def __init__(self, segments: list[dict[str, np.ndarray]]):
-        self.from_ = np.array([int(s["span"][0]) for s in segments], _U64)
-        self.seqs = [EliasFano(_under(s, "hash")) for s in segments]
-        self.counts_of = [s["counts"] for s in segments]
-        self.offset = np.concatenate([[0], np.cumsum([q.n for q in self.seqs])]).astype(np.int64)
+_CHUNK = "n long, head binary, data binary"
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        seg = np.searchsorted(self.from_, hashes, side="right") - 1
-        for s in np.unique(seg):
-            if s >= 0 and self.seqs[s].n:
-                own = np.flatnonzero(seg == s)
-                at, ok = self.seqs[s].successor(hashes[own] - self.from_[s])
-                ids[own[ok]] = at[ok] + self.offset[s]
-                counts[own[ok]] = self.counts_of[s][at[ok]]
-        return ids, counts
 
-    def counts(self, lo: int, hi: int) -> np.ndarray:
-        return np.concatenate([c[max(lo - o, 0) : max(hi - o, 0)] for c, o in zip(self.counts_of, self.offset[:-1], strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+def _chunked(names: list[str]):
+    """Rows of texts as chunks: their columns as an Arrow stream; distinct words, sorted, the tokens as places among them, sizes, and which texts train."""
 
+    def chunk(parts) -> pa.RecordBatch:
+        head = pa.Table.from_batches([b.select(names) for b, *_ in parts])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, head.schema) as out:
+            out.write_table(head)
+        words, codes = np.unique(np.concatenate([t for _, t, *_ in parts]), return_inverse=True)
+        data = squeeze({"words": words, "codes": _small(codes), "size": _small(np.concatenate([z for *_, z, _ in parts])), "train": np.concatenate([x for *_, x in parts])})
+        return pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([data], pa.binary())], ["n", "head", "data"])
 
-class Children:
-    """A level above: for ranges of parents, pointers, children, their shares and the parents' mass for lower orders."""
-
-    def __init__(self, segments: list[dict[str, np.ndarray]]):
-        self.spans = np.array([s["span"] for s in segments], np.int64).reshape(-1, 2)
-        self.ptr = [EliasFano(_under(s, "ptr")) for s in segments]
-        self.child = [EliasFano(_under(s, "child")) for s in segments]
-        self.sieve = [s["sieve"] for s in segments]
-        self.alpha, self.gamma, self.counts_of = [s["alpha"] for s in segments], [s["gamma"] for s in segments], [s.get("counts") for s in segments]
-        self.offset = np.concatenate([[0], np.cumsum([q.n for q in self.child])]).astype(np.int64)
-
-    def find(self, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For pairs with known parents (>= 0), in any order: node (-1: none), share (0: none), the parent's mass for lower orders."""
-        node, alpha, gamma = np.full(len(parents), -1, np.int64), np.zeros(len(parents)), np.ones(len(parents))
-        order = np.argsort(parents, kind="stable")
-        p, w = parents[order], words[order]
-        for s, (lo, hi) in enumerate(self.spans):
-            a, b = np.searchsorted(p, [lo, hi])
-            if a == b:
-                continue
-            gamma[order[a:b]] = restore(self.gamma[s][p[a:b] - lo])
-            own = a + np.flatnonzero(w[a:b] >= 0)
-            own = own[_in_sieve(self.sieve[s], p[own], w[own])]
-            if not len(own):
-                continue
-            local, back = np.unique(p[own] - lo, return_inverse=True)
-            begin, end = self.ptr[s].access(local).astype(np.int64), self.ptr[s].access(local + 1).astype(np.int64)
-            base = np.zeros(len(local), _U64)
-            some = (begin > 0) & (end > begin)
-            base[some] = self.child[s].access(begin[some] - 1) + _U64(1)
-            full = (end > begin)[back]
-            own, back = own[full], back[full]
-            at, ok = self.child[s].successor(base[back] + w[own].astype(_U64))
-            ok &= at < end[back]  # a value of the next context may be equal
-            own, at = own[ok], at[ok]
-            node[order[own]] = at + self.offset[s]
-            alpha[order[own]] = restore(self.alpha[s][at])
-        return node, alpha, gamma
-
-    def counts(self, lo: int, hi: int) -> np.ndarray:
-        return np.concatenate([c[max(lo - o, 0) : max(hi - o, 0)] for c, o in zip(self.counts_of, self.offset[:-1], strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, got = [], 0
+        for batch, texts in blocks(batches, "_text", 1 << 20):
+            name, size = tokens(texts)
+            parts.append((batch, name, size, batch.column("_train").to_numpy(zero_copy_only=False).astype(np.uint8)))
+            got += len(name)
+            if got >= CHUNK:
+                yield chunk(parts)
+                parts, got = [], 0
+        if parts:
+            yield chunk(parts)
 
+    return run
 
-@dataclass(frozen=True)
-class Level:
-    """A level as shipped: names of its files, its nodes, the sum of their counts."""
 
-    files: tuple[str, ...]
-    nodes: int
-    total: int
+def _chunks(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...], train: Column) -> tuple[DataFrame, str]:
+    """The chunks of a frame, written, and the kinds of the columns in their heads."""
+    picked = docs.select(F.col(id_col), *carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
+    names = picked.columns[:-2]
+    kinds = ", ".join(f"{c} {picked.schema[c].dataType.simpleString()}" for c in names)
+    return written(picked.mapInArrow(_chunked(names), _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks"), kinds
 
 
-_open: dict[tuple[str, ...], list[dict[str, np.ndarray]]] = {}
-
-
-def segments_of(level: Level) -> list[dict[str, np.ndarray]]:
-    """On an executor: map the level's segments, laid out in one flat file beside the files it was given."""
-    import pyarrow.parquet as pq
-    from pyspark import SparkFiles
-
-    if level.files in _open:
-        return _open[level.files]
-    name = os.path.join(SparkFiles.getRootDirectory(), f"trie-{xxhash.xxh3_64_hexdigest(chr(10).join(level.files))}")
-    with open(f"{name}.lock", "w") as lock:
-        fcntl.flock(lock, fcntl.LOCK_EX)  # one of an executor's workers lays the file out
-        if not os.path.exists(name):
-            places = []
-            with open(f"{name}.part", "wb") as out:
-                for f in level.files:
-                    p = pq.ParquetFile(SparkFiles.get(f))
-                    for g in range(p.num_row_groups):
-                        rows = p.read_row_group(g, columns=["segment", "blob"])
-                        for r, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                            raw = blob.as_buffer()
-                            places.append((r, out.tell(), raw.size))
-                            out.write(raw)
-                            out.write(b"\0" * (-raw.size % 8))
-                end = out.tell()
-                out.write(json.dumps(sorted(places)).encode())
-                out.write(end.to_bytes(8, "little"))
-            os.replace(f"{name}.part", name)
-            for f in level.files:  # an executor's copies; new executors fetch their own
-                os.remove(SparkFiles.get(f))
-    flat = np.memmap(name, np.uint8, "r")
-    end = int(flat[-8:].view("<u8")[0])
-    _open[level.files] = [unpack(flat[at : at + n]) for _, at, n in json.loads(flat[end:-8].tobytes())]
-    return _open[level.files]
-
-
-def _ship(spark: SparkSession, segments: DataFrame) -> Level:
-    """Write (segment, nodes, total, blob) rows to the shared folder and hand the files to the executors."""
-    kept = written(segments, "trie")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(kept._larder_path)
-    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path)
-    files = []
-    for status in found:
-        name = status.getPath().getName()
-        if name.startswith("part-"):
-            spark.sparkContext.addFile(status.getPath().toString())
-            files.append(name)
-    r = kept.agg(F.coalesce(F.sum("nodes"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    return Level(tuple(sorted(files)), r[0], r[1])
-
-
-# --- counting -------------------------------------------------------------------------------------
+#: What travels: to a range or shard (bucket), from or to a chunk; a part of the model (kind 0), an ask (1) or an answer (2); masses of spread words (3).
+_ROWS = "kind int, bucket int, chunk long, blob binary, nodes array<long>, totals array<long>, word long, mass double"
 
 
-#: The end of a text as a token.
-END = _U64(0x5851F42D4C957F2D)
+def _rows(kind: int, bucket: list, chunk: list, blob: list, nodes: list | None = None, totals: list | None = None, word: list | None = None, mass: list | None = None) -> pa.RecordBatch:
+    n = len(bucket)
+    none = [None] * n
+    cols = [pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(blob, pa.binary()), pa.array([nodes] * n, pa.list_(pa.int64())), pa.array([totals] * n, pa.list_(pa.int64())), pa.array(none if word is None else word, pa.int64()), pa.array(none if mass is None else mass, pa.float64())]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "bucket", "chunk", "blob", "nodes", "totals", "word", "mass"])
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the distinct tokens, the tokens as places among them, and the tokens of each text: its words, lower-cased, and its end. A word's name is a 64-bit fingerprint of its bytes."""
-    name, words = word_prints(texts)
-    size = words + 1
-    text = np.repeat(np.arange(len(texts)), words)
-    all_names = np.full(len(name) + len(texts), END)
-    all_names[np.arange(len(name)) + text] = name
-    names, codes = np.unique(all_names, return_inverse=True)
-    return names, codes, size
-
-
-class _Counter:
-    """Collects keys and yields blobs of sorted distinct keys and counts by bucket; buckets are ranges of the keys, or of the parents in their upper halves."""
-
-    def __init__(self, buckets: int, parents: int | None = None):
-        self.buckets, self.parents, self.parts, self.size = buckets, parents, [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray):
-        self.parts.append((keys, counts))
-        self.size += len(keys)
-
-    def flush(self) -> pa.RecordBatch:
-        keys, counts = merge([k for k, _ in self.parts], [c for _, c in self.parts])
-        self.parts, self.size = [], 0
-        if self.parents is None:
-            bucket = (keys >> _U64(40)) * _U64(self.buckets) >> _U64(24)
-        else:
-            bucket = (keys >> _U64(32)) * _U64(self.buckets) // _U64(max(self.parents, 1))
-        cut = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        some = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in some], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([counts[a:b].astype(np.uint32).tobytes() for _, a, b in some], pa.binary())], ["bucket", "keys", "counts"])
-
-
-def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the sums of their counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
-
-
-def _followed(size: np.ndarray, back: int) -> np.ndarray:
-    """Places of tokens that have ``back`` tokens of their own text before them."""
-    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return np.flatnonzero(within >= back)
-
-
-def nodes_along(levels: list, ids: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level above the first: places of tokens, their nodes, shares and their contexts' masses for lower orders."""
-    node = ids
-    for k, level in enumerate(levels):
-        at = _followed(size, k + 1)
-        at = at[node[at - 1] >= 0]
-        key, back = np.unique((node[at - 1].astype(_U64) << _U64(32)) | (ids[at] & 0xFFFFFFFF).astype(_U64), return_inverse=True)
-        word = (key & _U64(0xFFFFFFFF)).astype(np.int64)
-        word[word == 0xFFFFFFFF] = -1
-        n, alpha, gamma = level.find((key >> _U64(32)).astype(np.int64), word)
-        node = np.full(len(ids), -1, np.int64)
-        node[at] = n[back]
-        yield at, n[back], alpha[back], gamma[back]
-
-
-def _count_words(buckets: int):
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of a sorted partition, those of a key at a time."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row[key] != now and rows:
+                yield now, rows
+                rows = []
+            now = row[key]
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+# --- the first level --------------------------------------------------------------------------------
+
+
+def _ask_words(ranges: int):
+    """A chunk's distinct words by range of their hashes, and how often they occur in texts that train."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _Counter(buckets)
-        for _, texts in blocks(batches):
-            hashes, codes, _ = tokens(texts)
-            c.add(hashes, np.bincount(codes, minlength=len(hashes)))
-            if c.size > _FLUSH:
-                yield c.flush()
-        if c.size:
-            yield c.flush()
+        for batch in batches:
+            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                x = expand(raw)
+                trains = np.repeat(x["train"], x["size"]).astype(bool)
+                counts = np.bincount(x["codes"][trains], minlength=len(x["words"]))
+                bucket = (x["words"] >> _U64(40)) * _U64(ranges) >> _U64(24)
+                cut = np.searchsorted(bucket, np.arange(ranges + 1))
+                some = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
+                yield _rows(1, [i for i, _, _ in some], [chunk] * len(some), [squeeze({"words": x["words"][a:b], "counts": _small(counts[a:b])}) for _, a, b in some])
 
     return run
 
 
-def _count_next(levels: list[Level], buckets: int, parents: int):
-    """Counts of (node of the longest order so far, next word), dealt to segments of parents."""
+def _serve_words(ranges: int, build: bool, answer: bool):
+    """The first level of each range, made of the asks or given, and for each ask the words' places in the range (0: unknown, else from 1) and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, above = Words(segments_of(levels[0])), [Children(segments_of(x)) for x in levels[1:]]
-        c = _Counter(buckets, parents)
-        for _, texts in blocks(batches):
-            hashes, codes, size = tokens(texts)
-            ids = words.find(hashes)[0][codes]
-            node = ids
-            for at, n, _, _ in nodes_along(above, ids, size):
-                node = np.full(len(ids), -1, np.int64)
-                node[at] = n
-            at = _followed(size, len(levels))
-            at = at[node[at - 1] >= 0]
-            keys, counts = np.unique((node[at - 1].astype(_U64) << _U64(32)) | ids[at].astype(_U64), return_counts=True)
-            if len(keys):
-                c.add(keys, counts)
-            if c.size > _FLUSH:
-                yield c.flush()
-        if c.size:
-            yield c.flush()
+        for bucket, rows in _runs(batches, "bucket"):
+            asks = [(r["chunk"], expand(r["blob"])) for r in rows if r["kind"] == 1]
+            lo, hi = (-(-(x << 24) // ranges) << 40 for x in (bucket, bucket + 1))
+            if build:
+                names, back = np.unique(np.concatenate([x["words"] for _, x in asks]), return_inverse=True)
+                counts = np.zeros(len(names), np.int64)
+                np.add.at(counts, back, np.concatenate([x["counts"].astype(np.int64) for _, x in asks]))
+                names, counts = names[counts > 0], counts[counts > 0]
+                parts = {"counts": _small(counts)} | _named("hash", encode(names - _U64(lo), min(hi, 1 << 64) - lo))
+                yield _rows(0, [bucket], [None], [squeeze(parts)], [len(names)], [int(counts.sum())])
+            else:
+                given = [r for r in rows if r["kind"] == 0]
+                parts = expand(given[0]["blob"]) if given else {"counts": np.zeros(0, np.uint8)} | _named("hash", encode(np.zeros(0, _U64), min(hi, 1 << 64) - lo))
+            if answer:
+                parts = mapped(parts)
+                hashes = EliasFano(_under(parts, "hash"))
+                for chunk, x in asks:
+                    at, ok = hashes.successor(x["words"] - _U64(lo))
+                    place, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                    place[ok] = at[ok] + 1
+                    counts[ok] = parts["counts"][at[ok]]
+                    yield _rows(2, [bucket], [chunk], [squeeze({"place": _small(place), "counts": _small(counts)})])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[list, list]]:
-    own: dict[int, tuple[list, list]] = {}
-    for batch in batches:
-        for b, k, c in zip(*[batch.column(x).to_pylist() for x in ("bucket", "keys", "counts")], strict=True):
-            at = own.setdefault(b, ([], []))
-            at[0].append(np.frombuffer(k, _U64))
-            at[1].append(np.frombuffer(c, np.uint32))
-    return own
+# --- n-grams ----------------------------------------------------------------------------------------
+
 
+@dataclass(frozen=True)
+class Known:
+    """What every task has to know of the first level: ranges, the words before each, all words, all tokens; and shards."""
+
+    ranges: int
+    before: np.ndarray
+    vocabulary: int
+    total: int
+    shards: int
+    order: int
+
+    def spread(self, counts: np.ndarray) -> np.ndarray:
+        """Over how many shards the children of words of these counts are spread: a word's fair share of shards, four times as fine, and one."""
+        return np.minimum(1 + counts * 4 * self.shards // max(self.total, 1), self.shards)
+
+
+class Grams:
+    """The distinct n-grams of a chunk as a trie of its own, in the order in which shards are asked."""
+
+    def __init__(self, x: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, known: Known):
+        """ids and counts: of the chunk's words (-1 and 0: unknown)."""
+        codes, size = x["codes"].astype(np.int64), x["size"].astype(np.int64)
+        within = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        trains = np.repeat(x["train"], size).astype(bool)
+        word = np.where(ids[codes] >= 0, codes, -1)
+        # Roots: pairs of shard and first word; a word that is not spread has one, even if nothing known follows it.
+        spread = known.spread(counts)
+        home = (mix64(x["words"]) >> _U64(32)) * _U64(known.shards) >> _U64(32)
+        at = np.flatnonzero(within >= 1)
+        at = at[word[at - 1] >= 0]
+        ahead = np.unique(word[at - 1])
+        at = at[word[at] >= 0]
+        keys, back = np.unique((word[at - 1].astype(_U64) << _U64(32)) | word[at].astype(_U64), return_inverse=True)
+        u, v = (keys >> _U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
+        shard = ((home[u] + mix64(x["words"][v] + _U64(1)) % spread[u].astype(_U64)) % _U64(known.shards)).astype(np.int64)
+        one = ahead[spread[ahead] == 1]
+        roots = np.unique(np.concatenate([shard << 32 | u, home[one].astype(np.int64) << 32 | one]))
+        self.root_shard, self.root = roots >> 32, roots & 0xFFFFFFFF
+        self.root_of = np.full(len(ids), -1, np.int64)  # of words with one root
+        single = spread[self.root] == 1
+        self.root_of[self.root[single]] = np.flatnonzero(single)
+        parent = np.searchsorted(roots, shard << 32 | u)
+        self.parents, self.words, self.counts, self.gram = [], [], [], []
+        last = word
+        for n in range(2, known.order + 1):
+            if n > 2:
+                at = np.flatnonzero((within >= n - 1) & (word >= 0))
+                at = at[last[at - 1] >= 0]
+                keys, back = np.unique((last[at - 1].astype(_U64) << _U64(32)) | word[at].astype(_U64), return_inverse=True)
+                parent, v = (keys >> _U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
+            else:
+                order = np.argsort(parent, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                parent, v, back = parent[order], v[order], rank[back]
+            last = np.full(len(codes), -1, np.int64)  # the n-gram that ends at each token
+            last[at] = back
+            self.parents.append(parent)
+            self.words.append(v)
+            self.counts.append(np.bincount(back[trains[at]], minlength=len(parent)))
+            self.gram.append(last)
+        self.word, self.within = word, within
+
+    def asks(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """For each shard its part of the trie: roots with their counts, and for each level the numbers of children, their words and counts."""
+        shards, first = np.unique(self.root_shard, return_index=True)
+        cuts = [np.append(first, len(self.root))]
+        for p in self.parents:
+            cuts.append(np.searchsorted(p, cuts[-1]))
+        for i, shard in enumerate(shards.tolist()):
+            own = self.root[cuts[0][i] : cuts[0][i + 1]]
+            out = {"root": _small(ids[own]), "total": _small(counts[own])}
+            for k, (p, w, c) in enumerate(zip(self.parents, self.words, self.counts, strict=True)):
+                (a, b), (e, f) = cuts[k][i : i + 2], cuts[k + 1][i : i + 2]
+                out |= {f"n{k}": _small(np.bincount(p[e:f] - a, minlength=b - a)), f"w{k}": _small(ids[w[e:f]]), f"c{k}": _small(c[e:f])}
+            yield shard, squeeze(out)
+
+
+def _words_of(x: dict[str, np.ndarray], answers: list[dict], known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of a chunk's words from the answers of the ranges, in order."""
+    ids, counts = [], []
+    for r in answers:
+        got = expand(r["blob"])
+        place = got["place"].astype(np.int64)
+        ids.append(np.where(place > 0, place - 1 + known.before[r["bucket"]], -1))
+        counts.append(got["counts"].astype(np.int64))
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def _ask_grams(known: Known):
+    """Over (chunk, its answers of the first level), sorted: the asks to the shards."""
 
-def _word_segments(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (keys, counts) in sorted(_gather(batches).items()):
-            k, c = merge(keys, counts)
-            lo, hi = (-(-(x << 24) // buckets) << 40 for x in (b, b + 1))
-            blob = pack({"span": np.array([lo], _U64), "counts": c.astype(np.uint32 if c.max() < 1 << 32 else np.uint64)} | _named("hash", encode(k - _U64(lo), min(hi, 1 << 64) - lo)))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([blob], pa.binary())], ["segment", "nodes", "total", "blob"])
+        for chunk, rows in _runs(batches, "chunk"):
+            x = expand(rows[0]["blob"])
+            ids, counts = _words_of(x, rows[1:], known)
+            for shard, blob in Grams(x, ids, counts, known).asks(ids, counts):
+                yield _rows(1, [shard], [chunk], [blob])
 
     return run
 
 
-def _child_segments(below: list[Level], least: int, segments: int, parents: int, discount: float, vocabulary: int, last_level: bool):
+def grow(asks: list[dict[str, np.ndarray]], order: int, least: int, discount: float) -> tuple[dict[str, np.ndarray], list[int], list[int], np.ndarray, np.ndarray]:
+    """A shard from the tries of the chunks: its arrays, nodes and sums of counts by level, and its roots with the mass of their children."""
+    roots, first, back = np.unique(np.concatenate([x["root"].astype(np.int64) for x in asks]), return_index=True, return_inverse=True)
+    totals = root_totals = np.concatenate([x["total"].astype(np.int64) for x in asks])[first]
+    vocabulary = np.unique(np.concatenate([np.unique(x[f"w{k}"].astype(np.int64)) for x in asks for k in range(order - 1)] or [roots[:0]]))
+    out = _named("roots", encode(roots, int(roots[-1]) + 1)) | _named("words", encode(vocabulary, int(vocabulary[-1]) + 1 if len(vocabulary) else 1))
+    nodes, sums, mass = [], [], np.zeros(len(roots))
+    up = back  # places of the parents among the kept nodes of the level before; -1: none
+    for k in range(order - 1):
+        parent = np.repeat(up, np.concatenate([x[f"n{k}"] for x in asks]).astype(np.int64))
+        word = np.searchsorted(vocabulary, np.concatenate([x[f"w{k}"] for x in asks]))
+        counts = np.concatenate([x[f"c{k}"] for x in asks])
+        some = np.flatnonzero(parent >= 0)
+        keys, back = np.unique((parent[some].astype(_U64) << _U64(32)) | word[some].astype(_U64), return_inverse=True)
+        c = np.bincount(back, counts[some], len(keys)).astype(np.int64)
+        kept = c >= max(least, 1)
+        place = np.where(kept, np.cumsum(kept) - 1, -1)
+        up = np.full(len(parent), -1, np.int64)
+        up[some] = place[back]
+        keys, c = keys[kept], c[kept]
+        parent, word = (keys >> _U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
+        out |= _named(f"level{k}", level(parent, word, c, totals, discount, len(vocabulary)))
+        if not k:
+            mass = np.bincount(parent, (c - discount) / totals[parent], len(roots))
+        nodes.append(len(keys))
+        sums.append(int(c.sum()))
+        totals = c
+    return out, nodes, sums, np.stack([roots, root_totals]), mass
+
+
+class Shard:
+    """A shard's arrays, mapped, and what it answers."""
+
+    def __init__(self, parts: dict[str, np.ndarray], order: int):
+        self.roots, self.words = EliasFano(_under(parts, "roots")), EliasFano(_under(parts, "words"))
+        self.levels = [Children(_under(parts, f"level{k}")) for k in range(order - 1)]
+
+    def answer(self, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Quantised: the mass for lower orders of each root and n-gram that has a next level, the share of each n-gram."""
+        at, ok = self.roots.successor(x["root"].astype(_U64))
+        node = np.where(ok, at, -1)
+        out = {}
+        for k, own in enumerate(self.levels):
+            out[f"g{k}"] = own.mass(node)
+            parent = np.repeat(node, x[f"n{k}"].astype(np.int64))
+            at, ok = self.words.successor(x[f"w{k}"].astype(_U64))
+            node, out[f"a{k}"] = own.find(parent, np.where(ok, at, -1))
+        return out
+
+
+def _serve_grams(known: Known, least: int, discount: float, build: bool, answer: bool):
+    """The shards, made of the asks or given, and the answers to the asks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = None
-        for seg, (keys, counts) in sorted(_gather(batches).items()):
-            k, c = merge(keys, counts)
-            k, c = k[c >= least], c[c >= least]
-            if not len(k):
-                continue
-            level = level or (Words if len(below) == 1 else Children)(segments_of(below[-1]))
-            lo, hi = -(-seg * parents // segments), -(-(seg + 1) * parents // segments)
-            parent, word = (k >> _U64(32)).astype(np.int64) - lo, (k & _U64(0xFFFFFFFF)).astype(np.int64)
-            total = np.maximum(level.counts(lo, hi), 1).astype(np.float64)
-            share = (c - discount) / total[parent]
-            n = np.bincount(parent, minlength=hi - lo)
-            ptr = np.concatenate([[0], np.cumsum(n)])
-            mass = np.clip(1 - np.bincount(parent, share, hi - lo), 1e-12, 1)
-            last = np.where(n > 0, word[np.maximum(ptr[1:] - 1, 0)] + 1, 0)  # a range's values end below its base plus this
-            base = np.concatenate([[0], np.cumsum(last)])
-            value = base[parent] + word
-            blob = pack({"span": np.array([lo, hi], np.int64), "alpha": quantise(np.log10(share)), "gamma": quantise(np.log10(mass)), "sieve": make_sieve(parent + lo, word)} | ({} if last_level else {"counts": c.astype(np.uint32)}) | _named("ptr", encode(ptr, len(k) + 1)) | _named("child", encode(value, int(base[-1]) + vocabulary + 1)))
-            yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([blob], pa.binary())], ["segment", "nodes", "total", "blob"])
+        for shard, rows in _runs(batches, "bucket"):
+            asks = [(r["chunk"], expand(r["blob"])) for r in rows if r["kind"] == 1]
+            if build:
+                parts, nodes, sums, roots, mass = grow([x for _, x in asks], known.order, least, discount)
+                yield _rows(0, [shard], [None], [squeeze(parts)], nodes, sums)
+                wide = known.spread(roots[1]) > 1
+                if wide.any():
+                    n = int(wide.sum())
+                    yield _rows(3, [shard] * n, [None] * n, [None] * n, None, None, roots[0][wide].tolist(), mass[wide].tolist())
+            else:
+                given = [r for r in rows if r["kind"] == 0]
+                parts = expand(given[0]["blob"]) if given else None
+            if answer:
+                own = Shard(mapped(parts), known.order) if parts else None
+                for chunk, x in asks:
+                    got = own.answer(x) if own else {f"{a}{k}": np.full(len(x["root" if a == "g" and not k else f"w{k - (a == 'g')}"]), NONE) for k in range(known.order - 1) for a in "ga"}
+                    yield _rows(2, [shard], [chunk], [squeeze(got)])
 
     return run
 
 
-_BLOBS, _SEGMENTS = "bucket int, keys binary, counts binary", "segment int, nodes long, total long, blob binary"
+def _finish(known: Known, wide, names: list[str]):
+    """Over (chunk, answers of the first level, answers of the shards), sorted: the scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masses = wide.value
+        for _, rows in _runs(batches, "chunk"):
+            head = pa.ipc.open_stream(rows[0]["head"]).read_all().combine_chunks()
+            x = expand(rows[0]["blob"])
+            ids, counts = _words_of(x, [r for r in rows if r["kind"] == 1], known)
+            grams = Grams(x, ids, counts, known)
+            got = [expand(r["blob"]) for r in rows if r["kind"] == 2]
+            of = lambda name: np.concatenate([g[name] for g in got] or [np.zeros(0, np.uint16)])  # noqa: E731, B023
+            codes, size = x["codes"].astype(np.int64), x["size"].astype(np.int64)
+            prob = ((counts + 0.5) / (known.total + 0.5 * (known.vocabulary + 1)))[codes]
+            p = prob.copy()
+            context, some = np.zeros(len(codes), bool), grams.word >= 0
+            context[1:] = some[:-1]
+            at = np.flatnonzero(context & (grams.within >= 1))
+            root = grams.root_of[grams.word[at - 1]]
+            gamma = np.ones(len(at))
+            if known.order > 1 and len(at):
+                one = root >= 0
+                gamma[one] = restore(of("g0")[root[one]])
+                gamma[~one] = [masses.get(int(i), 1.0) for i in ids[grams.word[at - 1][~one]]]
+                p[at] *= gamma
+            for k, gram in enumerate(grams.gram):
+                alpha = restore(of(f"a{k}"))
+                at = np.flatnonzero(gram >= 0)
+                p[at] += alpha[gram[at]]
+                if k + 1 < len(grams.gram):  # the context of the next level: n-grams that the model has
+                    mass = of(f"g{k + 1}")
+                    at = np.flatnonzero((grams.within >= k + 2) & np.concatenate([[False], gram[:-1] >= 0]))
+                    at = at[mass[gram[at - 1]] != NONE]
+                    p[at] *= restore(mass[gram[at - 1]])
+            start = np.cumsum(size) - size
+            base, score = np.add.reduceat(np.log10(prob), start), np.add.reduceat(np.log10(p), start)
+            n_known = np.add.reduceat(some.astype(np.int64), start)
+            cols = [head.column(c).combine_chunks() if head.num_rows else head.column(c) for c in names]
+            cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(n_known), pa.array(np.full(len(size), known.total, np.int64)), pa.array(base), pa.array(score)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
 
 
-def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> list[Level]:
-    """Levels of the trie over all rows of a one-column frame ``text``. Null texts are their end alone; without rows the levels are empty."""
-    spark = texts.sparkSession
-    parts = shuffle_parts(spark)
-    counted = by_bucket(texts.mapInArrow(_count_words(parts), _BLOBS), parts)
-    levels = [_ship(spark, counted.mapInArrow(_word_segments(parts), _SEGMENTS))]
-    for n in range(2, order + 1):
-        release(spark)
-        parents, vocabulary = levels[-1].nodes, levels[0].nodes
-        if parents >= 1 << 32 or vocabulary >= (1 << 32) - 1:
-            raise ValueError("a level of the trie holds fewer than 2^32 nodes")
-        segments = parts * max(1, -(-levels[0].total // (parts * 20_000_000)))
-        keys = by_bucket(texts.mapInArrow(_count_next(levels, segments, parents), _BLOBS), segments)
-        levels.append(_ship(spark, keys.mapInArrow(_child_segments(levels, min_count, segments, parents, discount, vocabulary, n == order), _SEGMENTS)))
-    release(spark)
-    return levels
+# --- the operator -----------------------------------------------------------------------------------
 
 
-# --- scoring --------------------------------------------------------------------------------------
+@dataclass(frozen=True)
+class Model:
+    """The trie as written tables: ranges of words and shards (rows of kind 0), the masses of spread words, nodes and sums of counts by level."""
 
+    known: Known
+    words: DataFrame
+    shards: DataFrame
+    wide: dict[int, float]
+    nodes: list[int]
+    totals: list[int]
 
-def _scorer(levels: list[Level], names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, above = Words(segments_of(levels[0])), [Children(segments_of(x)) for x in levels[1:]]
-        n, v = levels[0].total, levels[0].nodes
-        for batch, texts in blocks(batches):
-            hashes, codes, size = tokens(texts)
-            known, counts = words.find(hashes)
-            prob = ((counts + 0.5) / (n + 0.5 * (v + 1)))[codes]
-            start = np.cumsum(size) - size
-            base = np.add.reduceat(np.log10(prob), start)
-            ids = known[codes]
-            p = prob.copy()
-            for at, _, alpha, gamma in nodes_along(above, ids, size):
-                p[at] = alpha + gamma * p[at]
-            score = np.add.reduceat(np.log10(p), start)
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(size), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), start)), pa.array(np.full(len(size), n, np.int64)), pa.array(base), pa.array(score)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return run
+def _dealt(rows: DataFrame, parts: int, key: str, *more: str) -> DataFrame:
+    return rows.repartition(parts, key).sortWithinPartitions(key, *more)
 
 
-def score(docs: DataFrame, levels: list[Level], id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _run(chunks: DataFrame, model: Model | None, answer: bool, order: int, least: int, discount: float) -> tuple[Model, DataFrame | None, DataFrame | None]:
+    """Words first, then n-grams: the model (made of the chunks if none is given) and the written answers."""
+    spark, build = chunks.sparkSession, model is None
+    parts = shuffle_parts(spark)
+    ranges = parts if build else model.known.ranges
+    asks = chunks.select("chunk", "data").mapInArrow(_ask_words(ranges), _ROWS)
+    words = written(_dealt(asks if build else asks.unionByName(model.words), ranges, "bucket", "kind", "chunk").mapInArrow(_serve_words(ranges, build, True), _ROWS), "words")
+    if build:
+        sizes = {r[0]: (r[1], r[2]) for r in words.where("kind = 0").select("bucket", F.col("nodes")[0], F.col("totals")[0]).collect()}  # a row a range
+        before = np.concatenate([[0], np.cumsum([sizes.get(i, (0, 0))[0] for i in range(ranges)])]).astype(np.int64)
+        tokens_in = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        known = Known(ranges, before, int(before[-1]), sum(t for _, t in sizes.values()), parts * max(1, -(-tokens_in // (parts * SHARD))), order)
+    else:
+        known = model.known
+    first = words.where("kind = 2").select("chunk", F.lit(1).alias("kind"), "bucket", "blob")
+    told = _dealt(chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("data").alias("blob")).unionByName(first), parts, "chunk", "kind", "bucket")
+    asks = told.mapInArrow(_ask_grams(known), _ROWS)
+    served = written(_dealt(asks if build else asks.unionByName(model.shards), known.shards, "bucket", "kind", "chunk").mapInArrow(_serve_grams(known, least, discount, build, answer), _ROWS), "shards")
+    if build:
+        wide = {r[0]: max(1 - r[1], 1e-12) for r in served.where("kind = 3").groupBy("word").agg(F.sum("mass")).collect()}  # 4 * shards words at most
+        n = served.where("kind = 0").select(*[F.sum(F.coalesce(F.col(c)[k], F.lit(0))) for c in ("nodes", "totals") for k in range(order - 1)]).first()
+        n = [x or 0 for x in n]
+        model = Model(known, words.where("kind = 0"), served.where("kind = 0"), wide, [known.vocabulary, *n[: order - 1]], [known.total, *n[order - 1 :]])
+    return model, words, served
+
+
+def _scores(chunks: DataFrame, kinds: str, model: Model, words: DataFrame, served: DataFrame) -> DataFrame:
+    spark = chunks.sparkSession
+    names = [k.split(" ", 1)[0] for k in kinds.split(", ")]
+    state = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("data").alias("blob"), "head")
+    answers = words.where("kind = 2").withColumn("kind", F.lit(1)).unionByName(served.where("kind = 2"))
+    rows = state.unionByName(answers.select("chunk", "kind", "bucket", "blob", F.lit(None).cast("binary").alias("head")))
+    wide = spark.sparkContext.broadcast(model.wide)  # 4 * shards words at most
+    return _dealt(rows, shuffle_parts(spark), "chunk", "kind", "bucket").mapInArrow(_finish(model.known, wide, names), f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> Model:
+    """The model of all rows of a one-column frame ``text``. Null texts are their end alone; without rows it is empty."""
+    steady(texts.sparkSession)
+    chunks, _ = _chunks(texts.select(F.lit(0).alias("_id"), F.col(texts.columns[0]).alias("text")), "_id", "text", (), F.lit(True))
+    model, _, _ = _run(chunks, None, False, order, min_count, discount)
+    forget(chunks)
+    release(texts.sparkSession)
+    return model
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: id, the carried columns, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text and its end).
 
-    Null and empty texts are their end alone; repeated rows get the same answer; columns not named are not read.
+    ``score`` is that of the interpolated, quantised model. Null and empty texts are their end alone; repeated
+    rows get the same answer; a very long text is a chunk of its own; an empty table has no rows; columns not named are not read.
     """
-    picked = docs.select(F.col(id_col), *carry, F.col(text_col).cast("string").alias("text"))
-    names = picked.columns[:-1]
-    kinds = ", ".join(f"{c} {picked.schema[c].dataType.simpleString()}" for c in names)
-    return picked.mapInArrow(_scorer(levels, names), f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    steady(docs.sparkSession)
+    chunks, kinds = _chunks(docs, id_col, text_col, carry, F.lit(False))
+    _, words, served = _run(chunks, model, True, model.known.order, 1, 0.0)
+    return _scores(chunks, kinds, model, words, served)
+
+
+def train_and_score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> DataFrame:
+    """``train`` on the rows for which ``trains`` holds and ``score`` of all rows, in one pass: every n-gram travels once."""
+    steady(docs.sparkSession)
+    chunks, kinds = _chunks(docs, id_col, text_col, carry, trains)
+    model, words, served = _run(chunks, None, True, order, min_count, discount)
+    release(docs.sparkSession)
+    return _scores(chunks, kinds, model, words, served)
 
 
 def held_out(id_col, folds: int = FOLDS, fold: int = HELD_OUT):

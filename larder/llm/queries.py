@@ -18,8 +18,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", lm.held_out(F.col("doc_id")))
-    levels = lm.train(docs.where(~F.col("held_out")).select("text"))
-    return lm.score(docs, levels, carry=("held_out",))
+    return lm.train_and_score(docs, ~F.col("held_out"), carry=("held_out",))
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_scores_equal_a_plain_model(spark):
                 for i in range(len(w) - n + 1):
                     counts[n][tuple(w[i : i + n])] += 1
     total, kinds = sum(counts[1].values()), len(counts[1])
-    kept = [None, counts[1], {g: c for g, c in counts[2].items() if c > 1}, {g: c for g, c in counts[3].items() if c > 1}]
+    kept = counts
     mass = [None, None, defaultdict(float), defaultdict(float)]
     for n in (2, 3):
         for g, c in kept[n].items():
@@ -117,26 +117,28 @@ def test_language_model_keeps_what_was_seen_once(spark):
         for n in (1, 2, 3):
             for i in range(len(w) - n + 1):
                 counts[n][tuple(w[i : i + n])] += 1
-    levels = lm.train(df.select("text"))
-    assert [x.nodes for x in levels] == [len(c) for c in counts[1:]] and [x.total for x in levels] == [sum(c.values()) for c in counts[1:]]
-    for r in lm.score(df, levels).collect():
+    model = lm.train(df.select("text"))
+    assert model.nodes == [len(c) for c in counts[1:]] and model.totals == [sum(c.values()) for c in counts[1:]]
+    for r in lm.score(df, model).collect():
         w, score = words[r["doc_id"]], 0.0
         for i in range(len(w)):
-            p = (counts[1][w[i],] + 0.5) / (levels[0].total + 0.5 * (levels[0].nodes + 1))
+            p = (counts[1][w[i],] + 0.5) / (model.totals[0] + 0.5 * (model.nodes[0] + 1))
             for n in (2, 3)[:i]:
                 g = tuple(w[i - n + 1 : i + 1])
                 after = [c for x, c in counts[n].items() if x[:-1] == g[:-1]]
                 p = (counts[n][g] - lm.DISCOUNT + max(counts[n - 1][g[:-1]] - sum(after) + lm.DISCOUNT * len(after), 1e-12) * p) / counts[n - 1][g[:-1]]
             score += np.log10(p)
         assert r["score"] == pytest.approx(score, rel=1e-3)
-    assert [x.nodes for x in lm.train(df.select("text"), min_count=2)] == [len(counts[1]), *[sum(c > 1 for c in x.values()) for x in counts[2:]]]
+    assert lm.train(df.select("text"), min_count=2).nodes == [len(counts[1]), *[sum(c > 1 for c in x.values()) for x in counts[2:]]]
 
 
 def test_language_model_on_odd_and_no_texts(spark, odd, odd_frame, none):
-    levels = lm.train(odd_frame.select("text"))
-    got = lm.score(odd_frame, levels).collect()
+    model = lm.train(odd_frame.select("text"))
+    got = lm.score(odd_frame, model).collect()
     assert len(got) == len(odd) and all(r["n_known"] == r["n_tokens"] for r in got)
-    assert lm.score(none, levels).count() == 0
+    both = lm.train_and_score(odd_frame, F.lit(True)).collect()
+    assert sorted(map(tuple, both), key=repr) == sorted(map(tuple, got), key=repr)
+    assert lm.score(none, model).count() == 0 and lm.train_and_score(none, F.lit(True)).count() == 0
     empty = lm.score(odd_frame, lm.train(none.select("text"))).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in empty)
 
