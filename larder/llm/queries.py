@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, jaccard, linededup, lm, packing, quality, substring, toxicity
-from .common import table
+from . import chat, decontaminate, html, jaccard, linededup, lm, packing, passages, quality, substring, toxicity
+from .common import table, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents")
+    # Passages of 50 words may be shorter than the 400 bytes of the other columns.
+    shared = written(passages.shared_passages(docs), "passages").select(F.col("doc").alias("doc_id"), F.lit(True).alias("_shared"))
+    out = substring.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.join(shared, "doc_id", "left").withColumn("shares_passage", F.coalesce("_shared", F.lit(False))).drop("_shared")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larder.llm import chat, common, decontaminate, html, jaccard, linededup, lm, packing, quality, queries, substring, toxicity
+from larder.llm import chat, common, decontaminate, html, jaccard, linededup, lm, packing, passages, quality, queries, substring, toxicity
 
 from . import brute
 
@@ -308,6 +308,28 @@ def test_decontamination_query(spark):
     same(queries.op6_decontaminate(spark, SF).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), brute.decontaminate(texts(spark), items))
 
 
+# --- shared passages ---
+
+
+@pytest.mark.parametrize("flush", [passages._FLUSH, 40])
+def test_shared_passages(spark, odd, odd_frame, none, monkeypatch, flush):
+    monkeypatch.setattr(passages, "_FLUSH", flush)
+
+    def found(rows, n):
+        own = [(i, brute.lower(t or "").encode().split()) for i, t in rows]
+        at = defaultdict(set)
+        for i, w in own:
+            for j in range(len(w) - n + 1):
+                at[tuple(w[j : j + n])].add(i)
+        return set().union(*[d for d in at.values() if len(d) > 1])
+
+    for rows, frame in ((odd, odd_frame), (texts(spark), table(spark, "documents"))):
+        got = {r["doc"] for r in passages.shared_passages(frame).collect()}
+        assert found(rows, passages.WORDS) <= got <= found(rows, passages.WORDS - passages.SLACK)
+        assert {r["doc"] for r in passages.shared_passages(frame, words=12, slack=0).collect()} == found(rows, 12)
+    assert passages.shared_passages(none).count() == 0
+
+
 # --- Jaccard join ---
 
 
@@ -462,4 +484,4 @@ def test_substrings_in_pieces_and_by_shuffle(odd, odd_frame, monkeypatch):
 
 
 def test_substring_query(spark):
-    same(queries.op10_substring_dedup(spark, SF), brute.substrings(texts(spark)))
+    same(queries.op10_substring_dedup(spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.substrings(texts(spark)))
