@@ -382,45 +382,45 @@ def similar(n, m, other_n, other_m, percent: int):
     return (F.lit(100) * F.least(n, other_n) >= F.lit(percent) * F.greatest(n, other_n)) & (F.lit(100 + percent) * F.least(m, other_m) >= F.lit(percent) * (n + other_n))
 
 
-_UNIT = "gid long, qb int, tb int, k binary, n long, m long, label binary, weight long, query boolean, target boolean"
+_UNIT = "gid long, qb int, tb int, k binary, n long, m long, label long, weight long, query boolean, target boolean"
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parity bitmaps of sets, a power of two of at least as many bits as tokens: the bits in which two differ are no more than the tokens that only one set has."""
+    """Parity bitmaps of sets, a power of two of at least half as many bits as tokens: the bits in which two differ are no more than the tokens that only one set has."""
     for batch in batches:
         out = []
         for raw in batch.column("tokens").to_pylist():
             s = np.frombuffer(raw, np.uint64)
-            size = 1 << max(6, (len(s) - 1).bit_length())
+            size = 1 << max(6, (len(s) - 1).bit_length() - 1)
             odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
             out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "bits"])
 
 
-def _units(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of groups with several components, dealt to units of bounded size: gid, qb, tb (the unit), k, n, m, label, weight, query, target.
+def _units(groups: DataFrame, info: DataFrame) -> DataFrame:
+    """Members of groups, dealt to units of bounded size: gid, qb, tb (the unit), k, n, m, label, weight, query, target, bits.
 
-    A member is a query if a heavier component (ties by name) is in its group, so of any two members
-    of different components the lighter one is; every member is a target. A large group's queries
-    and targets are cut into blocks by hash, and every pair of blocks is a unit.
+    A small group is a unit. The queries and targets of a large one (here every member is both) are cut
+    into blocks by hash, and every pair of blocks is a unit.
     """
-    weights = labels.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("weight"))
-    placed = groups.join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label")).join(weights, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    top = placed.groupBy("gid").agg(F.max(F.struct("weight", "label")).alias("top"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid", "top")
-    own = written(placed.join(top, "gid").withColumn("query", F.struct("weight", "label") < F.col("top")).drop("top"), "members")
-    blocks_of = lambda rows, tokens: F.ceil(F.greatest(rows / F.lit(UNIT_ROWS), tokens / F.lit(UNIT_TOKENS))).cast("int")
-    sizes = own.groupBy("gid").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"), F.count_if("query").alias("q_rows"), F.sum(F.when(F.col("query"), F.col("n"))).alias("q_tokens"))
-    sizes = sizes.select("gid", F.greatest(blocks_of(F.col("q_rows"), F.col("q_tokens")), F.lit(1)).alias("qs"), F.greatest(blocks_of(F.col("rows"), F.col("tokens")), F.lit(1)).alias("ts"))
-    place = lambda seed, n: F.pmod(F.xxhash64("k", F.lit(seed)), n.cast("long")).cast("int")
+    size = F.greatest(F.col("rows") / F.lit(UNIT_ROWS), F.col("tokens") / F.lit(UNIT_TOKENS))
+    large = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")).where(size > 1).select("gid", F.ceil(size).cast("int").alias("cuts"))
+    large = written(large, "large")
     unit = lambda qb, tb, query, target: F.struct(qb.alias("qb"), tb.alias("tb"), query.alias("query"), target.alias("target"))
     yes, no = F.lit(True), F.lit(False)
-    at = F.when((F.col("qs") == 1) & (F.col("ts") == 1), F.array(unit(F.lit(0), F.lit(0), F.col("query"), yes))).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda qb: unit(qb, place(2, F.col("ts")), no, yes)),
-            F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("ts") - 1), lambda tb: unit(place(1, F.col("qs")), tb, yes, no))).otherwise(F.array().cast("array<struct<qb:int,tb:int,query:boolean,target:boolean>>")),
-        )
-    )
-    return own.join(sizes, "gid").select("gid", "k", "n", "m", "label", "weight", F.explode(at).alias("at")).select("gid", "at.qb", "at.tb", "k", "n", "m", "label", "weight", "at.query", "at.target")
+    block = F.pmod(F.xxhash64("k"), F.col("cuts").cast("long")).cast("int")
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    at = F.concat(F.transform(every, lambda qb: unit(qb, block, no, yes)), F.transform(every, lambda tb: unit(block, tb, yes, no)))
+    kinds = [F.col("gid"), F.col("at.qb"), F.col("at.tb"), F.col("k"), F.col("n"), F.col("m"), F.col("label"), F.col("weight"), F.col("at.query"), F.col("at.target"), F.col("bits")]
+    whole = groups.join(large, "gid", "left_anti").join(info, "k").withColumn("at", unit(F.lit(0), F.lit(0), yes, yes)).select(*kinds)
+    cut = mixed_only(groups.join(large, "gid").join(info, "k")).withColumn("at", F.explode(at)).select(*kinds)
+    return whole.unionByName(cut)
+
+
+def mixed_only(members: DataFrame) -> DataFrame:
+    """Members of the groups that have several components."""
+    mixed = members.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
+    return members.join(written(mixed, "several"), "gid", "left_semi")
 
 
 def _by_unit(units: DataFrame, parts: int) -> DataFrame:
@@ -454,9 +454,8 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordB
 
 
 def _pairs_of(batch: pa.RecordBatch, start: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query, target) of a unit that components, sizes and shared tokens allow, some at a time."""
-    n, m, weight = (batch.column(c).to_numpy() for c in ("n", "m", "weight"))
-    _, label = np.unique(np.array(batch.column("label").to_pylist(), object), return_inverse=True)
+    """Pairs (query, target) of a unit that components, sizes and shared tokens allow, some at a time; the query is in the lighter component (ties by name)."""
+    n, m, weight, label = (batch.column(c).to_numpy() for c in ("n", "m", "weight", "label"))
     query, target = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("query", "target"))
     end = np.append(start[1:], batch.num_rows)
     unit = np.searchsorted(start, np.arange(batch.num_rows), side="right") - 1
@@ -519,9 +518,9 @@ def _search(percent: int):
     """Links between members of different components of a unit, but for those that earlier links of the task imply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined: dict[bytes, bytes] = {}
+        joined: dict[int, int] = {}
 
-        def root(x: bytes) -> bytes:
+        def root(x: int) -> int:
             while (up := joined.get(x, x)) != x:
                 joined[x] = joined.get(up, up)
                 x = up
@@ -587,24 +586,34 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         left, right = sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a binary, b binary")
 
-    tried = groups.where((F.col("k") > F.col("hub")) & similar(F.col("n"), F.col("m"), F.col("hub_n"), F.col("hub_m"), percent)).select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()
-    tried = written(tried, "pairs")
-    links = written(verified(tried), "links")
-    labels = components(links)
-    groups = groups.select("gid", "k", "n", "m")
+    def linked(pairs: DataFrame) -> DataFrame:
+        tried = written(pairs, "pairs")
+        links = written(verified(tried), "links")
+        forget(tried)
+        return links
+
+    labels = components(linked(groups.where((F.col("k") > F.col("hub")) & similar(F.col("n"), F.col("m"), F.col("hub_n"), F.col("hub_m"), percent)).select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()))
     release(spark)
     for turn in range(1, STAR_ROUNDS + 1):
-        placed = groups.join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label"))
+        placed = groups.select("gid", "k", "n", "m").join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label"))
         mixed = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "m", "label")).alias("hub")).where("x <> y").select("gid", "hub")
-        groups = written(placed.join(mixed, "gid").select("gid", "k", "n", "m", "label", "hub"), "mixed")
+        narrowed = written(placed.join(mixed, "gid").select("gid", "k", "n", "m", "label", "hub"), "mixed")
+        forget(groups)
+        groups = narrowed
+        release(spark)
         new = groups.where((F.col("label") != F.col("hub.label")) & similar(F.col("n"), F.col("m"), F.col("hub.n"), F.col("hub.m"), percent)).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
-        found = written(verified(written(new.distinct(), "pairs")), "links")
-        labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(found))
-        groups = groups.select("gid", "k", "n", "m")
+        labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(linked(new.distinct())))
         release(spark)
+    groups = groups.select("gid", "k", "n", "m")
 
-    bitmaps = sets.mapInArrow(_bitmaps, "k binary, bits binary")
-    active = written(_by_unit(_units(groups, labels).join(bitmaps, "k"), buckets).mapInArrow(_plausible(percent), _UNIT), "active")
+    # In units a component is told by a 64-bit hash of its name.
+    weights = labels.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("weight"))
+    bitmaps = sets.mapInArrow(_bitmaps, "k binary, bits binary").join(labels.join(weights, "label"), "k", "left")
+    info = written(bitmaps.select("k", F.xxhash64(F.coalesce("label", "k")).alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"), "bits"), "info")
+    release(spark)
+    active = written(_by_unit(_units(groups, info), buckets).mapInArrow(_plausible(percent), _UNIT), "active")
+    forget(info)
+    release(spark)
     found = written(_by_unit(active.join(sets, "k"), buckets).mapInArrow(_search(percent), "a binary, b binary"), "links")
     labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(found))
 
