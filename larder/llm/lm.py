@@ -42,7 +42,6 @@ CHUNK, SHARD = 1_500_000, 3_000_000
 _STEP = 4096.0
 NONE = np.uint16(65535)
 _U64 = np.uint64
-_LOW = _U64(0xFFFFFFFF)
 
 
 # --- Elias-Fano sequences ---------------------------------------------------------------------
@@ -165,11 +164,18 @@ def unpack(raw: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def squeeze(parts: dict[str, np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pack(parts))
+    """Packed and compressed, the bytes of each array by their place in its numbers."""
+    planes = {f"{k}|{v.dtype.str}": np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T.ravel() for k, v in parts.items()}
+    return zstandard.ZstdCompressor(level=1).compress(pack(planes))
 
 
 def expand(raw: bytes) -> dict[str, np.ndarray]:
-    return unpack(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8))
+    out = {}
+    for name, v in unpack(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)).items():
+        k, kind = name.split("|", 1)
+        kind = np.dtype(kind)
+        out[k] = np.ascontiguousarray(v.reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return out
 
 
 def _small(a: np.ndarray) -> np.ndarray:
@@ -177,6 +183,95 @@ def _small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
 
 
+def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of numbers that are not negative, and for each pair given its place among them. Pairs and places are sorted as one number where they fit."""
+    n = len(high)
+    if not n:
+        return high.astype(np.int64), low.astype(np.int64), np.zeros(0, np.int64)
+    low_bits, place_bits = int(low.max()).bit_length(), n.bit_length()
+    if int(high.max()).bit_length() + low_bits + place_bits > 64:
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        back = np.empty(n, np.int64)
+        back[order] = np.cumsum(new) - 1
+        return high[new].astype(np.int64), low[new].astype(np.int64), back
+    one = (high.astype(_U64) << _U64(low_bits)) | low.astype(_U64)
+    one = (one << _U64(place_bits)) | np.arange(n, dtype=_U64)
+    one.sort()
+    pair = one >> _U64(place_bits)
+    new = np.concatenate([[True], pair[1:] != pair[:-1]])
+    back = np.empty(n, np.int64)
+    back[(one & _U64((1 << place_bits) - 1)).astype(np.int64)] = np.cumsum(new) - 1
+    pair = pair[new]
+    return (pair >> _U64(low_bits)).astype(np.int64), (pair & _U64((1 << low_bits) - 1)).astype(np.int64), back
+
+
+def _under(parts: dict[str, np.ndarray], name: str) -> dict[str, np.ndarray]:
+    return {k.split(".", 1)[1]: v for k, v in parts.items() if k.startswith(f"{name}.")}
+
+
+def _named(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {f"{name}.{k}": v for k, v in parts.items()}
+
+
+def quantise(share: np.ndarray) -> np.ndarray:
+    """Shares as steps of their logarithm; 0 as NONE."""
+    with np.errstate(divide="ignore"):
+        return np.where(share > 0, np.clip(np.rint(-np.log10(share) * _STEP), 0, int(NONE) - 1), int(NONE)).astype(np.uint16)
+
+
+_RESTORED = np.append(10.0 ** (np.arange(65535) / -_STEP), 0.0)
+
+
+def restore(q: np.ndarray) -> np.ndarray:
+    return _RESTORED[q]
+
+
+def squeeze(parts: dict[str, np.ndarray]) -> bytes:
+    """Packed and compressed, the bytes of each array by their place in its numbers."""
+    planes = {f"{k}|{v.dtype.str}": np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T.ravel() for k, v in parts.items()}
+    return zstandard.ZstdCompressor(level=1).compress(pack(planes))
+
+
+def expand(raw: bytes) -> dict[str, np.ndarray]:
+    out = {}
+    for name, v in unpack(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)).items():
+        k, kind = name.split("|", 1)
+        kind = np.dtype(kind)
+        out[k] = np.ascontiguousarray(v.reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return out
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    """In the smallest unsigned type that holds the values."""
+    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
+
+
+def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of numbers that are not negative, and for each pair given its place among them. Pairs and places are sorted as one number where they fit."""
+    n = len(high)
+    if not n:
+        return high.astype(np.int64), low.astype(np.int64), np.zeros(0, np.int64)
+    low_bits, place_bits = int(low.max()).bit_length(), n.bit_length()
+    if int(high.max()).bit_length() + low_bits + place_bits > 64:
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        back = np.empty(n, np.int64)
+        back[order] = np.cumsum(new) - 1
+        return high[new].astype(np.int64), low[new].astype(np.int64), back
+    one = (high.astype(_U64) << _U64(low_bits)) | low.astype(_U64)
+    one = (one << _U64(place_bits)) | np.arange(n, dtype=_U64)
+    one.sort()
+    pair = one >> _U64(place_bits)
+    new = np.concatenate([[True], pair[1:] != pair[:-1]])
+    back = np.empty(n, np.int64)
+    back[(one & _U64((1 << place_bits) - 1)).astype(np.int64)] = np.cumsum(new) - 1
+    pair = pair[new]
+    return (pair >> _U64(low_bits)).astype(np.int64), (pair & _U64((1 << low_bits) - 1)).astype(np.int64), back
+
+
 def _under(parts: dict[str, np.ndarray], name: str) -> dict[str, np.ndarray]:
     return {k.split(".", 1)[1]: v for k, v in parts.items() if k.startswith(f"{name}.")}
 
@@ -269,14 +364,18 @@ _CHUNK = "n long, head binary, data binary"
 
 
 def _chunked(names: list[str]):
-    """Rows of texts as chunks: their columns as an Arrow stream; distinct words, sorted, the tokens as places among them, sizes, and which texts train."""
+    """Rows of texts as chunks: their columns as an Arrow stream; distinct words, frequent ones first, the tokens as places among them, sizes, and which texts train."""
 
     def chunk(parts) -> pa.RecordBatch:
         head = pa.Table.from_batches([b.select(names) for b, *_ in parts])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, head.schema) as out:
             out.write_table(head)
-        words, codes = np.unique(np.concatenate([t for _, t, *_ in parts]), return_inverse=True)
+        words, codes, n = np.unique(np.concatenate([t for _, t, *_ in parts]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # frequent words get small codes
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, codes = words[order], rank[codes]
         data = squeeze({"words": words, "codes": _small(codes), "size": _small(np.concatenate([z for *_, z, _ in parts])), "train": np.concatenate([x for *_, x in parts])})
         return pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([data], pa.binary())], ["n", "head", "data"])
 
@@ -340,10 +439,12 @@ def _ask_words(ranges: int):
                 x = expand(raw)
                 trains = np.repeat(x["train"], x["size"]).astype(bool)
                 counts = np.bincount(x["codes"][trains], minlength=len(x["words"]))
-                bucket = (x["words"] >> _U64(40)) * _U64(ranges) >> _U64(24)
+                order = np.argsort(x["words"])
+                words, counts = x["words"][order], counts[order]
+                bucket = (words >> _U64(40)) * _U64(ranges) >> _U64(24)
                 cut = np.searchsorted(bucket, np.arange(ranges + 1))
                 some = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-                yield _rows(1, [i for i, _, _ in some], [chunk] * len(some), [squeeze({"words": x["words"][a:b], "counts": _small(counts[a:b])}) for _, a, b in some])
+                yield _rows(1, [i for i, _, _ in some], [chunk] * len(some), [squeeze({"words": words[a:b], "counts": _small(counts[a:b])}) for _, a, b in some])
 
     return run
 
@@ -413,8 +514,7 @@ class Grams:
         at = at[word[at - 1] >= 0]
         ahead = np.unique(word[at - 1])
         at = at[word[at] >= 0]
-        keys, back = np.unique((word[at - 1].astype(_U64) << _U64(32)) | word[at].astype(_U64), return_inverse=True)
-        u, v = (keys >> _U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
+        u, v, back = distinct(word[at - 1], word[at])
         shard = ((home[u] + mix64(x["words"][v] + _U64(1)) % spread[u].astype(_U64)) % _U64(known.shards)).astype(np.int64)
         one = ahead[spread[ahead] == 1]
         roots = np.unique(np.concatenate([shard << 32 | u, home[one].astype(np.int64) << 32 | one]))
@@ -429,8 +529,7 @@ class Grams:
             if n > 2:
                 at = np.flatnonzero((within >= n - 1) & (word >= 0))
                 at = at[last[at - 1] >= 0]
-                keys, back = np.unique((last[at - 1].astype(_U64) << _U64(32)) | word[at].astype(_U64), return_inverse=True)
-                parent, v = (keys >> _U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
+                parent, v, back = distinct(last[at - 1], word[at])
             else:
                 order = np.argsort(parent, kind="stable")
                 rank = np.empty(len(order), np.int64)
@@ -445,29 +544,35 @@ class Grams:
         self.word, self.within = word, within
 
     def asks(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """For each shard its part of the trie: roots with their counts, and for each level the numbers of children, their words and counts."""
+        """For each shard its part of the trie: its words' ids, roots with their counts, and for each level the numbers of children, their words and counts."""
         shards, first = np.unique(self.root_shard, return_index=True)
         cuts = [np.append(first, len(self.root))]
         for p in self.parents:
             cuts.append(np.searchsorted(p, cuts[-1]))
         for i, shard in enumerate(shards.tolist()):
             own = self.root[cuts[0][i] : cuts[0][i + 1]]
-            out = {"root": _small(ids[own]), "total": _small(counts[own])}
-            for k, (p, w, c) in enumerate(zip(self.parents, self.words, self.counts, strict=True)):
+            words = [w[cuts[k + 1][i] : cuts[k + 1][i + 1]] for k, w in enumerate(self.words)]
+            used, code = np.unique(np.concatenate([own, *words]), return_inverse=True)  # frequent words have small codes here too
+            code = np.split(code, np.cumsum([len(own), *map(len, words)])[:-1])
+            out = {"ids": _small(ids[used]), "root": _small(code[0]), "total": _small(counts[own])}
+            for k, (p, c) in enumerate(zip(self.parents, self.counts, strict=True)):
                 (a, b), (e, f) = cuts[k][i : i + 2], cuts[k + 1][i : i + 2]
-                out |= {f"n{k}": _small(np.bincount(p[e:f] - a, minlength=b - a)), f"w{k}": _small(ids[w[e:f]]), f"c{k}": _small(c[e:f])}
+                out |= {f"n{k}": _small(np.bincount(p[e:f] - a, minlength=b - a)), f"w{k}": _small(code[k + 1]), f"c{k}": _small(c[e:f])}
             yield shard, squeeze(out)
 
 
 def _words_of(x: dict[str, np.ndarray], answers: list[dict], known: Known) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of a chunk's words from the answers of the ranges, in order."""
+    """Ids and counts of a chunk's words from the answers of the ranges, which are in the order of the words."""
     ids, counts = [], []
     for r in answers:
         got = expand(r["blob"])
         place = got["place"].astype(np.int64)
         ids.append(np.where(place > 0, place - 1 + known.before[r["bucket"]], -1))
         counts.append(got["counts"].astype(np.int64))
-    return np.concatenate(ids), np.concatenate(counts)
+    order = np.argsort(x["words"])
+    out = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    out[0][order], out[1][order] = np.concatenate(ids), np.concatenate(counts)
+    return out
 
 
 def _ask_grams(known: Known):
@@ -483,54 +588,58 @@ def _ask_grams(known: Known):
     return run
 
 
-def grow(asks: list[dict[str, np.ndarray]], order: int, least: int, discount: float) -> tuple[dict[str, np.ndarray], list[int], list[int], np.ndarray, np.ndarray]:
-    """A shard from the tries of the chunks: its arrays, nodes and sums of counts by level, and its roots with the mass of their children."""
-    roots, first, back = np.unique(np.concatenate([x["root"].astype(np.int64) for x in asks]), return_index=True, return_inverse=True)
-    totals = root_totals = np.concatenate([x["total"].astype(np.int64) for x in asks])[first]
-    vocabulary = np.unique(np.concatenate([np.unique(x[f"w{k}"].astype(np.int64)) for x in asks for k in range(order - 1)] or [roots[:0]]))
-    out = _named("roots", encode(roots, int(roots[-1]) + 1)) | _named("words", encode(vocabulary, int(vocabulary[-1]) + 1 if len(vocabulary) else 1))
-    nodes, sums, mass = [], [], np.zeros(len(roots))
-    up = back  # places of the parents among the kept nodes of the level before; -1: none
-    for k in range(order - 1):
-        parent = np.repeat(up, np.concatenate([x[f"n{k}"] for x in asks]).astype(np.int64))
-        word = np.searchsorted(vocabulary, np.concatenate([x[f"w{k}"] for x in asks]))
-        counts = np.concatenate([x[f"c{k}"] for x in asks])
-        some = np.flatnonzero(parent >= 0)
-        keys, back = np.unique((parent[some].astype(_U64) << _U64(32)) | word[some].astype(_U64), return_inverse=True)
-        c = np.bincount(back, counts[some], len(keys)).astype(np.int64)
-        kept = c >= max(least, 1)
-        place = np.where(kept, np.cumsum(kept) - 1, -1)
-        up = np.full(len(parent), -1, np.int64)
-        up[some] = place[back]
-        keys, c = keys[kept], c[kept]
-        parent, word = (keys >> _U64(32)).astype(np.int64), (keys & _LOW).astype(np.int64)
-        out |= _named(f"level{k}", level(parent, word, c, totals, discount, len(vocabulary)))
-        if not k:
-            mass = np.bincount(parent, (c - discount) / totals[parent], len(roots))
-        nodes.append(len(keys))
-        sums.append(int(c.sum()))
-        totals = c
-    return out, nodes, sums, np.stack([roots, root_totals]), mass
-
-
-class Shard:
-    """A shard's arrays, mapped, and what it answers."""
-
-    def __init__(self, parts: dict[str, np.ndarray], order: int):
-        self.roots, self.words = EliasFano(_under(parts, "roots")), EliasFano(_under(parts, "words"))
-        self.levels = [Children(_under(parts, f"level{k}")) for k in range(order - 1)]
-
-    def answer(self, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        """Quantised: the mass for lower orders of each root and n-gram that has a next level, the share of each n-gram."""
-        at, ok = self.roots.successor(x["root"].astype(_U64))
+class Asked:
+    """The asks of a shard together: their distinct words, roots and n-grams, and where each ask's are among them."""
+
+    def __init__(self, asks: list[dict[str, np.ndarray]], order: int):
+        self.words, place = np.unique(np.concatenate([x["ids"].astype(np.int64) for x in asks]), return_inverse=True)
+        start = np.cumsum([0] + [len(x["ids"]) for x in asks])
+        code = lambda name: np.concatenate([place[a + x[name].astype(np.int64)] for a, x in zip(start, asks, strict=False)])
+        self.root, first, up = np.unique(code("root"), return_index=True, return_inverse=True)  # as places among the words
+        self.total = np.concatenate([x["total"].astype(np.int64) for x in asks])[first]
+        self.back, self.parent, self.word, self.counts = [up], [], [], []
+        self.sizes = [np.array([len(x["root"]) for x in asks])]
+        for k in range(order - 1):
+            parent, word, back = distinct(np.repeat(up, np.concatenate([x[f"n{k}"] for x in asks]).astype(np.int64)), code(f"w{k}"))
+            counts = np.bincount(back, np.concatenate([x[f"c{k}"] for x in asks]), len(parent)).astype(np.int64)
+            self.parent.append(parent)
+            self.word.append(word)
+            self.counts.append(counts)
+            self.back.append(back)
+            self.sizes.append(np.array([len(x[f"w{k}"]) for x in asks]))
+            up = back
+
+    def grow(self, least: int, discount: float) -> tuple[dict[str, np.ndarray], list[int], list[int], np.ndarray]:
+        """The shard: its arrays, nodes and sums of counts by level, and the mass of each root's children."""
+        roots = self.words[self.root]
+        out = _named("roots", encode(roots, int(roots[-1]) + 1)) | _named("words", encode(self.words, int(self.words[-1]) + 1))
+        nodes, sums, mass, totals = [], [], np.zeros(len(roots)), self.total
+        node = np.arange(len(roots))  # of the level before, kept ones numbered
+        for k, (parent, word, counts) in enumerate(zip(self.parent, self.word, self.counts, strict=True)):
+            kept = (counts >= max(least, 1)) & (node[parent] >= 0)
+            parent, word, c = node[parent[kept]], word[kept], counts[kept]
+            out |= _named(f"level{k}", level(parent, word, c, totals, discount, len(self.words)))
+            if not k:
+                mass = np.bincount(parent, (c - discount) / totals[parent], len(roots))
+            nodes.append(len(c))
+            sums.append(int(c.sum()))
+            node, totals = np.where(kept, np.cumsum(kept) - 1, -1), c
+        return out, nodes, sums, mass
+
+    def answers(self, parts: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        """For each ask, in order, quantised: the mass for lower orders of each root and n-gram that has a next level, the share of each n-gram. All distinct ones are looked up in the shard's arrays at once."""
+        at, ok = EliasFano(_under(parts, "words")).successor(self.words.astype(_U64))
+        code = np.where(ok, at, -1)
+        at, ok = EliasFano(_under(parts, "roots")).successor(self.words[self.root].astype(_U64))
         node = np.where(ok, at, -1)
         out = {}
-        for k, own in enumerate(self.levels):
-            out[f"g{k}"] = own.mass(node)
-            parent = np.repeat(node, x[f"n{k}"].astype(np.int64))
-            at, ok = self.words.successor(x[f"w{k}"].astype(_U64))
-            node, out[f"a{k}"] = own.find(parent, np.where(ok, at, -1))
-        return out
+        for k, (parent, word) in enumerate(zip(self.parent, self.word, strict=True)):
+            own = Children(_under(parts, f"level{k}"))
+            out[f"g{k}"] = np.split(own.mass(node)[self.back[k]], np.cumsum(self.sizes[k])[:-1])
+            node, alpha = own.find(node[parent], code[word])
+            out[f"a{k}"] = np.split(alpha[self.back[k + 1]], np.cumsum(self.sizes[k + 1])[:-1])
+        for i in range(len(self.sizes[0])):
+            yield {k: v[i] for k, v in out.items()}
 
 
 def _serve_grams(known: Known, least: int, discount: float, build: bool, answer: bool):
@@ -538,21 +647,23 @@ def _serve_grams(known: Known, least: int, discount: float, build: bool, answer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _runs(batches, "bucket"):
-            asks = [(r["chunk"], expand(r["blob"])) for r in rows if r["kind"] == 1]
+            chunks = [r["chunk"] for r in rows if r["kind"] == 1]
+            if not chunks:
+                continue
+            asked = Asked([expand(r["blob"]) for r in rows if r["kind"] == 1], known.order)
             if build:
-                parts, nodes, sums, roots, mass = grow([x for _, x in asks], known.order, least, discount)
+                parts, nodes, sums, mass = asked.grow(least, discount)
                 yield _rows(0, [shard], [None], [squeeze(parts)], nodes, sums)
-                wide = known.spread(roots[1]) > 1
+                wide = known.spread(asked.total) > 1
                 if wide.any():
                     n = int(wide.sum())
-                    yield _rows(3, [shard] * n, [None] * n, [None] * n, None, None, roots[0][wide].tolist(), mass[wide].tolist())
+                    yield _rows(3, [shard] * n, [None] * n, [None] * n, None, None, asked.words[asked.root[wide]].tolist(), mass[wide].tolist())
             else:
                 given = [r for r in rows if r["kind"] == 0]
                 parts = expand(given[0]["blob"]) if given else None
             if answer:
-                own = Shard(mapped(parts), known.order) if parts else None
-                for chunk, x in asks:
-                    got = own.answer(x) if own else {f"{a}{k}": np.full(len(x["root" if a == "g" and not k else f"w{k - (a == 'g')}"]), NONE) for k in range(known.order - 1) for a in "ga"}
+                none = lambda: ({f"g{k}": np.full(asked.sizes[k][i], NONE) for k in range(known.order - 1)} | {f"a{k}": np.full(asked.sizes[k + 1][i], NONE) for k in range(known.order - 1)} for i in range(len(chunks)))  # noqa: B023, E731
+                for chunk, got in zip(chunks, asked.answers(mapped(parts)) if parts else none(), strict=True):
                     yield _rows(2, [shard], [chunk], [squeeze(got)])
 
     return run
@@ -627,6 +738,7 @@ def _run(chunks: DataFrame, model: Model | None, answer: bool, order: int, least
     parts = shuffle_parts(spark)
     ranges = parts if build else model.known.ranges
     asks = chunks.select("chunk", "data").mapInArrow(_ask_words(ranges), _ROWS)
+    release(spark)
     words = written(_dealt(asks if build else asks.unionByName(model.words), ranges, "bucket", "kind", "chunk").mapInArrow(_serve_words(ranges, build, True), _ROWS), "words")
     if build:
         sizes = {r[0]: (r[1], r[2]) for r in words.where("kind = 0").select("bucket", F.col("nodes")[0], F.col("totals")[0]).collect()}  # a row a range
@@ -635,6 +747,7 @@ def _run(chunks: DataFrame, model: Model | None, answer: bool, order: int, least
         known = Known(ranges, before, int(before[-1]), sum(t for _, t in sizes.values()), parts * max(1, -(-tokens_in // (parts * SHARD))), order)
     else:
         known = model.known
+    release(spark)
     first = words.where("kind = 2").select("chunk", F.lit(1).alias("kind"), "bucket", "blob")
     told = _dealt(chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("data").alias("blob")).unionByName(first), parts, "chunk", "kind", "bucket")
     asks = told.mapInArrow(_ask_grams(known), _ROWS)
