@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,6 +89,23 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
                 at, got = i + 1, 0
 
 
+#: What a null document id counts as where ids are compared; the largest number, so a real id of that value is the same document.
+LAST = (1 << 63) - 1
+
+
+def number(df: DataFrame, column: str):
+    """An id column as a long. Ids are compared as numbers, so other types are refused before anything runs."""
+    kind = df.select(F.col(column)).schema[0].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{column} must be an integer column, it is {kind.simpleString()}")
+    return F.col(column).cast("long")
+
+
+def document(df: DataFrame, column: str):
+    """A document id as a long, null last."""
+    return F.coalesce(number(df, column), F.lit(LAST))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, written
+from .common import blocks, number, written
 
 WINDOW = 13
 #: A block of benchmark items holds at most this many bytes of text and items; more items take more passes over the documents.
@@ -168,7 +168,7 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
     """Benchmark items in blocks of bounded size, streamed partition by partition."""
     block: list[tuple[int, bytes]] = []
     size = 0
-    for r in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull()).toLocalIterator():
+    for r in benchmark.select(number(benchmark, item_col), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull()).toLocalIterator():
         t = (r[1] or "").encode()
         if block and (size + len(t) > BLOCK_BYTES or len(block) >= BLOCK_ITEMS):
             yield block
@@ -181,8 +181,9 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document row: id, n_words, hits (merged word spans), n_hit, items (ascending ids of items with occurring windows).
 
-    Null and empty texts have no words; null item ids are ignored; a repeated document row gets a row
-    of its own; without benchmark items every document is clean. Columns other than the named ones
+    Null and empty texts have no words; null item ids are ignored, item ids are integers; a repeated document
+    row gets a row of its own; without benchmark items every document is clean, without documents there are no rows;
+    very long texts are searched whole. Columns other than the named ones
     are not read. One block of items (the usual case) is one narrow pass over the documents; further
     blocks of a large benchmark take a pass each and are merged by row.
     """

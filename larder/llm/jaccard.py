@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_bucket, forget, mix64, release, shuffle_parts, steady, written
+from .common import LAST, blocks, by_bucket, document, forget, mix64, release, shuffle_parts, steady, written
 from .prints import word_prints
 
 WORDS = 5
@@ -38,7 +38,6 @@ BROADCAST_ROWS = 300_000
 STAR_ROUNDS = 1
 #: Queries and targets of a unit of that search, and their tokens, about.
 UNIT_ROWS, UNIT_TOKENS = 2048, 1 << 20
-_LAST = (1 << 63) - 1
 _FLUSH = 1_000_000
 #: Index entries of a bucket that are looked at together, and pairs.
 _PASS, _PAIRS = 500_000, 200_000
@@ -550,14 +549,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     Two documents link if the intersection of their shingle sets is ``percent`` or more of the union.
     Null and empty texts and texts without words have empty sets and link with nothing, not with
-    each other. A null id counts as the largest number and a null component as such. Repeated rows
+    each other. Ids are integers; very long texts are sets like others; an empty table has no rows. A null id counts as the largest number and a null component as such. Repeated rows
     are members of one class; columns other than the two named are not read.
     """
     spark = docs.sparkSession
     steady(spark)
     parts = shuffle_parts(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    keyed = docs.select(document(docs, id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
     members = written(keyed.mapInArrow(_members(words), "doc long, mark long, k binary, n long"), "members")
     classes = written(members.where("n > 0").groupBy("k").agg(F.min(F.struct("doc", "mark")).alias("one"), F.first("n").alias("n")), "classes")
     copies = members.join(classes.select("one.doc", "one.mark"), ["doc", "mark"], "left_anti").select("doc", "mark").distinct()
@@ -620,5 +619,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))
     firsts = written(placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first")), "firsts")  # a table, so that a hot label can be split
     out = placed.join(firsts, "label", "left")
-    real = lambda c: F.when(c != _LAST, c)
+    real = lambda c: F.when(c != LAST, c)
     return out.select(real(F.col("doc")).alias(docs.select(id_col).columns[0]), F.col("n").alias("n_shingles"), real(F.coalesce("first", "doc")).alias("component_id"), F.col("k").alias("class_key"))

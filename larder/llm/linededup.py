@@ -17,12 +17,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import blocks, meet, shuffle_parts, steady, written
+from .common import blocks, document, meet, shuffle_parts, steady, written
 
 MIN_CHARS = 10
 _SPACE = b" \t\n\v\f\r"
-_LAST = (1 << 63) - 1
 
 
 def key_of(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -92,31 +92,30 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(out, pa.binary()), pa.array(n, pa.int64())], ["doc", "mark", "keep", "n_dropped"])
 
 
-def _apply(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "_text"):
-            kept, lines, gone = [], [], []
-            for t, zipped in zip(texts, batch.column("_keep").to_pylist(), strict=True):
-                if zipped is None:
-                    kept.append(t)
-                    lines.append(t.count(b"\n") + 1)
-                    gone.append(0)
-                    continue
-                own = t.split(b"\n")
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(zipped), np.uint8), bitorder="little")
-                stay = [x for i, x in enumerate(own) if i >= len(bits) or bits[i]]
-                kept.append(b"\n".join(stay))
-                lines.append(len(own))
-                gone.append(len(own) - len(stay))
-            out = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], out, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept_text", "n_lines", "n_dropped"])
-
-    return run
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in blocks(batches, "text"):
+        kept, lines, gone = [], [], []
+        for t, zipped in zip(texts, batch.column("keep").to_pylist(), strict=True):
+            if zipped is None:
+                kept.append(t)
+                lines.append(t.count(b"\n") + 1)
+                gone.append(0)
+                continue
+            own = t.split(b"\n")
+            bits = np.unpackbits(np.frombuffer(zlib.decompress(zipped), np.uint8), bitorder="little")
+            stay = [x for i, x in enumerate(own) if i >= len(bits) or bits[i]]
+            kept.append(b"\n".join(stay))
+            lines.append(len(own))
+            gone.append(len(own) - len(stay))
+        out = pa.array(kept, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), out, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Key and text of each row; its id and what is carried in one column, so that no names can clash."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col), *carry, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate((id_col, *carry))])
+    return docs.select(document(docs, id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"), row.alias("row"))
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -127,7 +126,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     steady(spark)
     n = shuffle_parts(spark)
-    lines = _keyed(docs, id_col, text_col).select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), F.col("_text").alias("text")).mapInArrow(_hasher(min_chars), "h1 long, h2 long, doc long, mark long, pos int")
+    lines = _keyed(docs, id_col, text_col).select("doc", "mark", "text").mapInArrow(_hasher(min_chars), "h1 long, h2 long, doc long, mark long, pos int")
     dealt = lines.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     marks = written(dealt.mapInArrow(_stream, "h1 long, h2 long, doc long, mark long, pos int, first long, edge boolean"), "linededup")
     firsts = marks.where("edge").groupBy("h1", "h2").agg(F.min("first").alias("true_first"))  # two rows a partition at most
@@ -136,16 +135,22 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return drops.groupBy("doc", "mark").agg(F.collect_set("pos").alias("drops")).mapInArrow(_bitmaps, "doc long, mark long, keep binary, n_dropped long")
 
 
+def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """As ``dedup_lines``, with the id and the carried columns as the fields c0, c1 and so on of one column ``row``."""
+    maps = written(keep_bitmaps(docs, id_col, text_col, min_chars).select("doc", "mark", "keep"), "bitmaps")
+    joined = meet(_keyed(docs, id_col, text_col, carry), maps, ["doc", "mark"], "left").select("row", "text", "keep")
+    kinds = StructType([joined.schema["row"], StructField("kept_text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
+    return joined.mapInArrow(_apply, kinds)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: id, the carried columns, kept_text, n_lines (before), n_dropped. Columns not named are not read.
 
     Lines whose key has ``min_chars`` code points or more and occurs in two documents or more stay
-    only in the smallest document id that holds it (in all its rows, if the id repeats). Null text: one empty line.
+    only in the smallest document id that holds it (in all its rows, if the id repeats). Ids are integers, null
+    counts as the largest. Null text: one empty line. Very long texts are handled whole, an empty table has no
+    rows, and a carried column may have any name (of an output too: then the columns are told by their place).
     """
-    maps = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("keep").alias("_keep"))
-    maps = written(maps, "bitmaps")
-    keyed = _keyed(docs, id_col, text_col, carry)
-    names = keyed.columns[: 1 + len(carry)]
-    joined = meet(keyed, maps, ["_doc", "_mark"], "left").select(*names, "_text", "_keep")
-    kinds = ", ".join(f"{c} {keyed.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(_apply(names), f"{kinds}, kept_text string, n_lines long, n_dropped long")
+    out = dedup_rows(docs, id_col, text_col, min_chars, carry)
+    names = docs.select(F.col(id_col), *carry).columns
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], "kept_text", "n_lines", "n_dropped")

@@ -15,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_bucket, mix64, shuffle_parts
+from .common import blocks, by_bucket, document, mix64, shuffle_parts
 from .prints import Prints, word_prints
 
 #: A shared passage of so many words is always found, one of fewer than WORDS - SLACK never.
 WORDS, SLACK = 50, 5
 _FLUSH = 1_000_000
-_LAST = (1 << 63) - 1
 
 
 def window_names(words: np.ndarray, n: int) -> np.ndarray:
@@ -121,7 +120,7 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     parts = shuffle_parts(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"))
+    keyed = docs.select(document(docs, id_col).alias("doc"), text.alias("text"))
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = parts * max(1, -(-size // (parts * 100_000_000)))
     rows = by_bucket(keyed.mapInArrow(_fingerprints(words, slack, buckets), "bucket int, names binary, docs binary"), buckets)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, forget, meet, mix64, release, steady, written
+from .common import blocks, document, forget, meet, mix64, release, steady, written
 from .prints import Prints
 
 LENGTH = 400
@@ -27,7 +27,6 @@ LENGTH = 400
 BLOCK = 1 << 20
 #: Windows in a unit.
 UNIT = 32
-_LAST = (1 << 63) - 1
 
 
 def _sliding_least(keys: np.ndarray, w: int) -> np.ndarray:
@@ -204,13 +203,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document row: id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (remaining bytes).
 
     A byte goes if any string of ``length`` bytes over it also starts elsewhere, in any document.
-    Null counts as empty; repeated rows are repeats of each other; shorter texts lose nothing;
+    Null counts as empty; repeated rows are repeats of each other; shorter texts lose nothing; very long ones are
+    handled in pieces; an empty table has no rows; ids are integers;
     columns other than the two named are not read.
     """
     spark = docs.sparkSession
     steady(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    keyed = docs.select(F.col(id_col), document(docs, id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
     id_name = keyed.columns[0]
     found = written(keyed.select("doc", "mark", "text").mapInArrow(_find(length), "doc long, mark long, a int, p0 int, p1 int, n0 long, n1 long, n2 long, c1 long, c2 long"), "anchors")
     live = written(found.join(_repeated(found.select("n0"), "n0"), "n0", "left_semi"), "rank0")

@@ -181,11 +181,12 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Chain:
-    """Train on at most ``rows`` labels and their documents. Rows without id or label are left out; without any the chain calls nothing toxic."""
+    """Train on at most ``rows`` labels and their documents. Rows without id or label are left out, of an id that repeats one text is taken; without any row, or without documents, the chain calls nothing toxic."""
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id IS NOT NULL AND toxic IS NOT NULL")
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(picked), "_id").select("toxic", "text")  # the broadcast side has at most ``rows`` rows of two numbers
+    found = texts.join(F.broadcast(picked), "_id")  # the broadcast side has at most ``rows`` rows of two numbers
+    found = found.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")  # one text of an id that repeats, so no more than ``rows``
     # The sample is bounded, so one task can hold its features and train; the driver gets the short models alone.
     made = found.mapInArrow(_featurise, "toxic int, features binary, marks array<boolean>").repartition(1).mapInArrow(_train_task, "chain binary").first()
     if made is None:
@@ -253,7 +254,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     """One row per document row: id, a probability p_<category> for each category, rejected (the last one's reaches the threshold).
 
     Null and empty texts have no words and get the models' bias; repeated rows get the same answer;
-    columns other than the two named are not read. The models are bounded: MAX_WORDS words each.
+    very long texts are read whole; an empty table has no rows; columns other than the two named are not read. The models are bounded: MAX_WORDS words each.
     """
     picked = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     id_name = picked.columns[0]

@@ -206,6 +206,23 @@ def test_toxicity_chain(spark, odd_frame, odd, none):
     assert toxicity.score(odd_frame, chain).count() == len(odd) and toxicity.score(none, chain).count() == 0
     blank = toxicity.fit(docs, labels.where("false"))
     assert toxicity.score(docs, blank).where("rejected").count() == 0
+    twice = toxicity.fit(docs.unionByName(docs).unionByName(docs.select("doc_id", F.lit("zzz").alias("text"))), labels.unionByName(labels))
+    assert all((a.names == b.names).all() and np.allclose(a.weights, b.weights) for a, b in zip(twice.models, chain.models, strict=True))
+
+
+def test_toxicity_on_labels_held_out(spark):
+    """Recall and precision on labelled documents that were not trained on."""
+    at = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    trains = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)) == 0
+    chain = toxicity.fit(docs, labels.where(trains))
+    seen = docs.join(labels.where(trains), "doc_id", "left_semi").select("text").distinct()
+    own = docs.join(seen, "text", "left_anti").join(labels.where(~trains), "doc_id")  # nor copies of what was
+    got = toxicity.score(own, chain).join(labels, "doc_id").groupBy("toxic", "rejected").count().collect()
+    n = {(r["toxic"], r["rejected"]): r["count"] for r in got}
+    caught, missed, wrong = n.get((1, True), 0), n.get((1, False), 0), n.get((0, True), 0)
+    print("held out", caught, missed, wrong)
+    assert caught + missed > 100 and caught >= 0.9 * (caught + missed) and caught >= 0.9 * (caught + wrong)
 
 
 # --- packing ---
@@ -440,6 +457,23 @@ def test_lines(spark, odd, odd_frame, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_carried_columns_of_any_name(spark):
+    names = ["doc", "mark", "text_", "keep", "row", "kept_text", "n_lines", "n_dropped", "_text", "c0", "a b"]
+    df = spark.createDataFrame([(i, "a line of text", *[f"{i}{n}" for n in names]) for i in range(3)], ["doc_id", "text", *names])
+    out = linededup.dedup_lines(df, carry=tuple(f"`{n}`" for n in names))
+    assert out.columns == ["doc_id", *names, "kept_text", "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in out.collect()) == [(i, *[f"{i}{n}" for n in names], "a line of text" if i == 0 else "", 1, int(i > 0)) for i in range(3)]
+
+
+def test_ids_are_integers(spark):
+    df = spark.createDataFrame([("x", "text")], "doc_id string, text string")
+    for f in (jaccard.join, linededup.dedup_lines, substring.remove_repeats, passages.shared_passages):
+        with pytest.raises(TypeError, match="doc_id must be an integer column"):
+            f(df)
+    with pytest.raises(TypeError, match="item_id"):
+        decontaminate.find_contamination(df, df.withColumnRenamed("doc_id", "item_id"))
+
+
 def test_lines_by_shuffle(odd, odd_frame, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     same(linededup.dedup_lines(odd_frame).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256)), brute.linededup(odd))

@@ -7,7 +7,21 @@ from .test_operators import SF, check_pieces
 
 
 def test_pipeline_against_plain_stages(spark):
-    docs = table(spark, SF, "documents")
+    check_stages(spark, table(spark, SF, "documents"))
+
+
+def test_pipeline_on_odd_documents(spark, odd):
+    """Nulls, empties, ties, repeated texts and columns named like those that the stages use inside."""
+    clash = ["doc", "mark", "row", "keep", "kept_text", "n_lines", "k", "bucket", "_text", "n_words", "start", "label"]
+    rows = [(i, t, "en", "src", len(t or ""), *["x"] * len(clash)) for i, (_, t) in enumerate(odd)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)
+    check_stages(spark, spark.createDataFrame(rows, kinds).repartition(3))
+    none = spark.createDataFrame([], kinds)
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, none, SF).count() == 0
+
+
+def check_stages(spark, docs):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     rejected = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, table(spark, SF, "labels"))).where("rejected").collect()}
     rows = {d: t for d, t in rows.items() if d not in rejected}
@@ -15,6 +29,7 @@ def test_pipeline_against_plain_stages(spark):
     name, f = corpus_pipeline.STAGES[0]
     stage = f(spark, stage, SF)
     assert stage.columns == docs.columns and {r["doc_id"] for r in stage.collect()} == set(rows)
+    rows = {d: t or "" for d, t in rows.items()}
 
     first = {}
     key = lambda x: brute.lower(k) if len(k := x.strip(" \t\n\v\f\r")) >= 10 else None
