@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines seen in an earlier document go; documents stay, even those left empty, and n_chars follows the text."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = linededup.dedup_lines(docs, carry=rest)
-    return out.select(*[F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = linededup.dedup_rows(docs, carry=tuple(docs.columns))
+    now = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[now.get(c, F.col(f"row.c{i + 1}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
