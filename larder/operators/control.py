@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import scalars as S
+from .ordering import row_numbers
 
 
 def claim(files: DataFrame, shard: Column, per_shard: int, holder: Column, now: Column, where: str | None = None, shards: list[int] | None = None, pending: str = "pending", claimed: str = "claimed", id_col: str = "id") -> DataFrame:
@@ -87,12 +88,18 @@ def release_expired(locks: DataFrame, now: Column) -> DataFrame:
 
 
 def insert_containers(containers: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Records for (shard_id, day, s3_key) in state ``writing``, numbered after the largest id. New records number at most a day's shards, so one task numbers them."""
+    """Records for (shard_id, day, s3_key) in state ``writing``, numbered after the largest id by day, shard and key; each day is numbered by itself."""
     top = containers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    rows = new.withColumn("_n", F.row_number().over(Window.orderBy("day", "shard_id", "s3_key"))).join(F.broadcast(top))
+    rows = row_numbers(new, ["day", "shard_id", "s3_key"], F.col("day"), "_n").join(F.broadcast(top))
     return rows.select((F.col("_top") + F.col("_n")).cast("long").alias("id"), "shard_id", "day", F.lit("writing").alias("status"), "s3_key", F.lit(0).cast("long").alias("file_count"), F.lit(0).cast("long").alias("data_bytes"), now.alias("created_at"))
 
 
+def progress(containers: DataFrame, reached: DataFrame) -> DataFrame:
+    """Container records with what their last checkpoint tells (reached: id, file_count, data_bytes, a row a checkpoint); finished containers stay as they are."""
+    last = reached.groupBy("id").agg(F.max_by(F.struct("file_count", "data_bytes"), "file_count").alias("_x")).select("id", "_x.file_count", "_x.data_bytes")
+    return update_containers(containers, last.join(containers.where("status = 'writing'").select("id"), "id", "left_semi"))
+
+
 def update_containers(containers: DataFrame, changes: DataFrame) -> DataFrame:
     """Columns that a change gives (not null) replace those of the record with its id."""
     cols = [c for c in changes.columns if c != "id"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ordering import paced_slots, row_numbers
 
 
 def healthy_now(endpoints: DataFrame, now: Column, timeout_seconds: int = 30) -> DataFrame:
@@ -29,9 +30,13 @@ def route(requests: DataFrame, endpoints: DataFrame, byte: Column) -> DataFrame:
     return out.withColumn("fallback_ids", F.transform(F.filter("_up", lambda x: x["id"] != F.col("target_id")), lambda x: x["id"])).drop("_e", "_up")
 
 
-def round_robin(requests: DataFrame, order: list[str], healthy: int, key: list[str] | None = None) -> DataFrame:
-    """Turn of each request. A global turn needs one order of all requests; give a key (a router) to number each router's own."""
-    return requests.withColumn("turn", F.pmod(F.row_number().over(Window.partitionBy(*(key or [])).orderBy(*order)) - 1, F.lit(healthy)))
+def round_robin(requests: DataFrame, order: list[str], healthy: int, key: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
+    """Turn of each request: among its key's (a router's) requests, or among all in one order, numbered by buckets that do not decrease along it."""
+    if key:
+        return requests.withColumn("turn", F.pmod(F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1, F.lit(healthy)))
+    if bucket is None:
+        raise ValueError("one order over all requests needs a bucket that follows it")
+    return row_numbers(requests, order, bucket, "turn").withColumn("turn", F.pmod(F.col("turn") - 1, F.lit(healthy)))
 
 
 def failure_runs(calls: DataFrame, key: list[str], order: list[str], failed: Column) -> DataFrame:
@@ -90,13 +95,11 @@ def locate(requests: DataFrame, prefix: str, bits: int, name: str = "name") -> D
 
 
 def assign(rows: DataFrame, prefix: str, ts: str, node: int, key: list[str], order: list[str], bits: int, wrap_bits: int = 32) -> DataFrame:
-    """Names for rows: a sequence within each millisecond of a node, spilling into the next one after 256; with shard and day."""
+    """Names for rows, no two alike within a key (a generator): each row takes the first of the 256 places of a millisecond that is free at or after its time; with shard and day. A row without a time gets no name."""
     from ..functions.predicates import valid_naming
 
     valid_naming(prefix, node, wrap_bits)
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    n = F.row_number().over(Window.partitionBy(*key, "_ms").orderBy(*order)) - 1
-    out = rows.withColumn("_ms", ms).withColumn("_n", n)
-    f = S.f48(F.col("_ms") + F.expr(f"_n div {S.PER_MILLISECOND}"), node, F.pmod(F.col("_n"), F.lit(S.PER_MILLISECOND)), wrap_bits)
+    out = paced_slots(rows, F.unix_millis(F.col(ts).cast("timestamp")), order, S.PER_MILLISECOND, "_slot", key)
+    f = S.f48(F.expr(f"_slot div {S.PER_MILLISECOND}"), node, F.pmod(F.col("_slot"), F.lit(S.PER_MILLISECOND)), wrap_bits)
     out = out.withColumns({"day": F.to_date(ts), "name": S.snowflake_name(prefix, F.to_date(ts), f)})
-    return out.withColumn("shard_id", S.shard_id(F.col("name"), bits)).drop("_ms", "_n")
+    return out.withColumn("shard_id", S.shard_id(F.col("name"), bits)).drop("_slot")

@@ -15,6 +15,8 @@ from .registry import query
 c, lit = F.col, F.lit
 NOW = "1998-09-01 00:00:00"
 EVENTS_NOW = "2024-01-20 00:00:00"
+#: A time at which some of the last locks have expired.
+LOCKS_NOW = "2024-01-31 12:00:00"
 
 
 def ntz(text: str):
@@ -39,8 +41,15 @@ def q_shard_count_distinct(spark, d):
     return D.files(spark, d).agg(F.count_distinct(S.shard_id(c("key"), 8)).alias("shards"), F.count(lit(1)).alias("n"))
 
 
-_F48 = "((epoch_us(ts) // 1000 + n // 256) & 4294967295) * 65536 + 7 * 256 + n % 256"
-_NAMED = f"(SELECT *, upper(lpad(to_hex(f), 12, '0')) AS h FROM (SELECT event_id, ts, {_F48} AS f FROM (SELECT *, row_number() OVER (PARTITION BY epoch_us(ts) // 1000 ORDER BY event_id) - 1 AS n FROM events)))"
+_F48 = "((slot // 256) & 4294967295) * 65536 + 7 * 256 + slot % 256"
+
+
+def _sql_named(events: str) -> str:
+    """Events with the 48-bit value of their name: rows in order, each at the first place free at or after 256 times its millisecond."""
+    return f"(SELECT *, upper(lpad(to_hex(f), 12, '0')) AS h FROM (SELECT event_id, ts, {_F48} AS f FROM (SELECT *, n + max(256 * (epoch_us(ts) // 1000) - n) OVER (ORDER BY n) AS slot FROM (SELECT *, row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM {events}))))"
+
+
+_NAMED = _sql_named("events")
 _CHECK = "((f & 255) + ((f >> 8) & 255) + ((f >> 16) & 255) + ((f >> 24) & 255) + ((f >> 32) & 255) + ((f >> 40) & 255)) % 256"
 _NAME = f"('EV_' || strftime(ts, '%Y%m%d') || '_(' || h || '_' || upper(lpad(to_hex({_CHECK}), 2, '0')) || ')')"
 
@@ -54,6 +63,17 @@ def q_snowflake_names(spark, d):
     return _named(spark, d).select("event_id", "name")
 
 
+_BURST = "(SELECT event_id, date_trunc('day', ts) + INTERVAL 1 MILLISECOND * (event_id % 3) AS ts FROM events)"
+
+
+@query("q_snowflake_burst", f"SELECT event_id, {_NAME} AS name FROM {_sql_named(_BURST)}")
+def q_snowflake_burst(spark, d):
+    """A day's events within three milliseconds: names spill into those that follow, and no two are alike."""
+    e = D.table(spark, d, "events")
+    rows = e.select("event_id", (F.date_trunc("day", "ts").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, CAST(event_id % 3 AS DECIMAL(18, 6)) / 1000)")).alias("ts"))
+    return routing.assign(rows, "EV", "ts", 7, [], ["event_id"], 8).select("event_id", "name")
+
+
 @query("q_name_checksum", f"SELECT event_id, CAST({_CHECK} AS BIGINT) AS checksum FROM {_NAMED}")
 def q_name_checksum(spark, d):
     f = F.conv(F.regexp_extract("name", "_\\(([0-9A-F]{12})_", 1), 16, 10).cast("long")
@@ -85,7 +105,13 @@ def q_pod_shards(spark, d):
     return spark.range(64).groupBy(S.worker_of(c("id"), 3).cast("int").alias("pod")).agg(F.count(lit(1)).alias("shards"), F.sum("id").alias("total"))
 
 
-@query("q_crc_layout")
+# CRC-32 of the key in SQL: a list with each byte and seven marks, folded bit by bit.
+_CRC_BITS = "list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, strlen(key) + 1), lambda i: [ord(substr(key, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1])))"
+_CRC_STEP = "CASE WHEN x >= 0 THEN xor(c, x) ELSE c END"
+_CRC = f"(xor(list_reduce({_CRC_BITS}, lambda c, x: xor(({_CRC_STEP}) >> 1, 3988292384 * (({_CRC_STEP}) & 1))), 4294967295) & 255)"
+
+
+@query("q_crc_layout", f"SELECT id, {_CRC} AS shard_id, upper(to_hex({_CRC})) AS label FROM {D.FILES}")
 def q_crc_layout(spark, d):
     return D.files(spark, d).select("id", S.crc_layout(c("key"), 8).alias("shard_id"), F.upper(F.hex(S.crc_layout(c("key"), 8))).alias("label"))
 
@@ -268,9 +294,9 @@ def q_lock_release(spark, d):
     return control.release(D.locks(spark, d), D.requests(spark, d))
 
 
-@query("q_expired_locks", f"SELECT shard_id, holder_id, expires_at FROM {D.LOCKS} WHERE expires_at < TIMESTAMP '{EVENTS_NOW}'")
+@query("q_expired_locks", f"SELECT shard_id, holder_id, expires_at FROM {D.LOCKS} WHERE expires_at < TIMESTAMP '{LOCKS_NOW}'")
 def q_expired_locks(spark, d):
-    return D.locks(spark, d).where(P.expired_lock(c("expires_at"), ntz(EVENTS_NOW)))
+    return D.locks(spark, d).where(P.expired_lock(c("expires_at"), ntz(LOCKS_NOW)))
 
 
 @query("q_lock_health", f"SELECT count(*) FILTER (expires_at > TIMESTAMP '{EVENTS_NOW}') AS held, count(*) FILTER (expires_at <= TIMESTAMP '{EVENTS_NOW}') AS expired FROM {D.LOCKS}")
@@ -280,20 +306,22 @@ def q_lock_health(spark, d):
 
 # --- layout and ranges --------------------------------------------------------------------------------
 
-_LAID = f"(SELECT id, key, day, size, CAST(16 + coalesce(sum(size) OVER (PARTITION BY day ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS data_offset FROM {D.FILES})"
+# A container is a day's shard.
+_LAID = f"(SELECT id, key, day, shard_id, size, CAST(16 + coalesce(sum(size) OVER (PARTITION BY day, shard_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS data_offset FROM (SELECT *, {D.sha_bits('key', 2)} AS shard_id FROM {D.FILES}))"
 
 
-def _laid(spark, d):
-    return layout.offsets(D.files(spark, d).withColumnRenamed("size", "data_length"), ["day"], ["id"])
+def _laid(spark, d, payload: bool = False):
+    files = D.files(spark, d, payload).withColumn("shard_id", S.shard_id(c("key"), 2)).withColumnRenamed("size", "data_length")
+    return layout.offsets(files, ["day", "shard_id"], ["id"])
 
 
-@query("q_archive_layout", f"SELECT id, day, size AS data_length, data_offset FROM {_LAID}")
+@query("q_archive_layout", f"SELECT id, day, shard_id, size AS data_length, data_offset FROM {_LAID}")
 def q_archive_layout(spark, d):
-    return _laid(spark, d).select("id", "day", "data_length", "data_offset")
+    return _laid(spark, d).select("id", "day", "shard_id", "data_length", "data_offset")
 
 
-_RANGED = f"(SELECT *, sum(new) OVER (PARTITION BY day ORDER BY data_offset, size, key) AS range_id FROM (SELECT *, CASE WHEN before IS NULL OR data_offset - before > 4096 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(data_offset + size) OVER (PARTITION BY day ORDER BY data_offset, size, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_LAID} WHERE id IN (SELECT doc_id FROM labels))))"
-_MERGED = f"(SELECT day, CAST(range_id AS BIGINT) AS range_id, min(data_offset) AS range_start, max(data_offset + size) AS range_end, count(*) AS members, CAST(sum(size) AS BIGINT) AS wanted_bytes FROM {_RANGED} GROUP BY day, range_id)"
+_RANGED = f"(SELECT *, sum(new) OVER (PARTITION BY day, shard_id ORDER BY data_offset, size, key) AS range_id FROM (SELECT *, CASE WHEN before IS NULL OR data_offset - before > 4096 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(data_offset + size) OVER (PARTITION BY day, shard_id ORDER BY data_offset, size, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_LAID} WHERE id IN (SELECT doc_id FROM labels))))"
+_MERGED = f"(SELECT day, shard_id, CAST(range_id AS BIGINT) AS range_id, min(data_offset) AS range_start, max(data_offset + size) AS range_end, count(*) AS members, CAST(sum(size) AS BIGINT) AS wanted_bytes FROM {_RANGED} GROUP BY day, shard_id, range_id)"
 
 
 def _requested(spark, d):
@@ -307,29 +335,31 @@ def _wanted(spark, d):
 
 @query("q_range_merge", f"SELECT * FROM {_MERGED}")
 def q_range_merge(spark, d):
-    return layout.merge_ranges(_wanted(spark, d), ["day"], tie="key", max_gap=4096)
+    return layout.merge_ranges(_wanted(spark, d), ["day", "shard_id"], tie="key", max_gap=4096)
 
 
-@query("q_range_members", f"SELECT id, CAST(range_id AS BIGINT) AS range_id, CAST(data_offset - min(data_offset) OVER (PARTITION BY day, range_id) AS BIGINT) AS offset_in_range FROM {_RANGED}")
+@query("q_range_members", f"SELECT id, CAST(range_id AS BIGINT) AS range_id, CAST(data_offset - min(data_offset) OVER (PARTITION BY day, shard_id, range_id) AS BIGINT) AS offset_in_range FROM {_RANGED}")
 def q_range_members(spark, d):
-    own = layout.grouped_ranges(_wanted(spark, d), ["day"], tie="key", max_gap=4096)
-    return own.select("id", "range_id", (c("data_offset") - F.min("data_offset").over(Window.partitionBy("day", "range_id"))).alias("offset_in_range"))
+    own = layout.grouped_ranges(_wanted(spark, d), ["day", "shard_id"], tie="key", max_gap=4096)
+    return own.select("id", "range_id", (c("data_offset") - F.min("data_offset").over(Window.partitionBy("day", "shard_id", "range_id"))).alias("offset_in_range"))
 
 
 @query("q_range_amplification", f"SELECT day, count(*) AS ranges, CAST(sum(range_end - range_start) AS BIGINT) AS read_bytes, CAST(sum(wanted_bytes) AS BIGINT) AS wanted_bytes, round(CAST(sum(range_end - range_start) AS DOUBLE) / CAST(sum(wanted_bytes) AS DOUBLE), 6) AS amplification FROM {_MERGED} GROUP BY day")
 def q_range_amplification(spark, d):
-    m = layout.merge_ranges(_wanted(spark, d), ["day"], tie="key", max_gap=4096)
+    m = layout.merge_ranges(_wanted(spark, d), ["day", "shard_id"], tie="key", max_gap=4096)
     return m.groupBy("day").agg(F.count(lit(1)).alias("ranges"), F.sum(c("range_end") - c("range_start")).alias("read_bytes"), F.sum("wanted_bytes").alias("wanted_bytes")).withColumn("amplification", F.round(c("read_bytes").cast("double") / c("wanted_bytes"), 6))
 
 
 @query("q_range_slices", f"SELECT id, sha256(text) AS digest FROM {D.FILES} WHERE id IN (SELECT doc_id FROM labels)")
 def q_range_slices(spark, d):
-    """Cut every requested member out of the bytes of its range: here a range's buffer is its own members laid end to end."""
-    own = D.files(spark, d, payload=True).join(_requested(spark, d), "id", "left_semi").withColumn("data_length", F.octet_length("text"))
-    laid = layout.offsets(own.select("id", "day", "data_length", "text"), ["day"], ["id"])
-    grouped = laid.withColumn("range_id", F.expr("data_offset div 65536"))
-    buffers = grouped.groupBy("day", "range_id").agg(F.min("data_offset").alias("range_start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("data_offset", "text"))), lambda x: x["text"]), "").cast("binary").alias("buffer"))
-    return layout.slice_members(buffers, grouped.select("day", "range_id", "id", "data_offset", "data_length"), ["day", "range_id"]).select("id", F.sha2("data", 256).alias("digest"))
+    """Cut every requested member out of the bytes of its merged range, gaps and the members in them included."""
+    at = ["day", "shard_id"]
+    laid = _laid(spark, d, payload=True)
+    own = layout.grouped_ranges(_wanted(spark, d), at, tie="key", max_gap=4096)
+    ranges = layout.merge_ranges(_wanted(spark, d), at, tie="key", max_gap=4096).select(*at, "range_id", "range_start", "range_end")
+    inside = laid.alias("m").join(ranges.alias("r"), [c("m.day") == c("r.day"), c("m.shard_id") == c("r.shard_id"), c("m.data_offset") >= c("r.range_start"), c("m.data_offset") + c("m.data_length") <= c("r.range_end")])
+    buffers = inside.groupBy("r.day", "r.shard_id", "range_id", "range_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("data_offset", "data_length", "id", "text"))), lambda x: x["text"]), "").cast("binary").alias("buffer"))
+    return layout.slice_members(buffers, own.select(*at, "range_id", "id", "data_offset", "data_length"), [*at, "range_id"]).select("id", F.sha2("data", 256).alias("digest"))
 
 
 _STATS = f"(SELECT container, count(*) AS total_files, count(*) FILTER (flags = 0) AS internal_files, count(*) FILTER (flags = 1) AS external_files, CAST(coalesce(sum(data_length) FILTER (flags = 0), 0) AS BIGINT) AS internal_size_bytes, CAST(coalesce(sum(data_length) FILTER (flags = 1), 0) AS BIGINT) AS external_size_bytes FROM {D.MEMBERS} GROUP BY container)"
@@ -679,6 +709,12 @@ def q_round_robin(spark, d):
     return routing.round_robin(e, ["ts", "event_id"], 3, ["router"]).select("event_id", c("turn").cast("int").alias("turn"))
 
 
+@query("q_round_robin_global", "SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 3 AS INTEGER) AS turn FROM events")
+def q_round_robin_global(spark, d):
+    e = D.table(spark, d, "events").select("event_id", "ts")
+    return routing.round_robin(e, ["ts", "event_id"], 3, bucket=F.to_date("ts")).select("event_id", c("turn").cast("int").alias("turn"))
+
+
 @query("q_breaker_runs", "SELECT user_id, count(*) AS run_length, min(ts) AS first_ts, min(event_id) AS first_event_id FROM (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) WHERE event_type = 'error' GROUP BY user_id, island HAVING count(*) >= 2")
 def q_breaker_runs(spark, d):
     e = D.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
@@ -790,7 +826,7 @@ def q_archive_index(spark, d):
 
 @query("q_archive_point_lookup", f"SELECT name, sha256(text) AS digest FROM {_STORED} WHERE doc_id = 77")
 def q_archive_point_lookup(spark, d):
-    return store.read_store(spark, _store(spark, d), payload=True).where(c("name") == "DOC77_20240101_x.txt").select("name", F.sha2("data", 256).alias("digest"))
+    return store.read_store(spark, _store(spark, d), payload=True, bits="2").where(c("name") == "DOC77_20240101_x.txt").select("name", F.sha2("data", 256).alias("digest"))
 
 
 @query("q_archive_batch_read", f"SELECT name, sha256(text) AS digest, 200 AS status FROM {_STORED} WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT 'DOC' || doc_id || '_20231231_x.txt', NULL, 404 FROM labels")

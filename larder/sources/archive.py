@@ -11,11 +11,15 @@ read, neighbours merged across gaps of up to ``maxGap`` bytes.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
+import re
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -55,6 +59,39 @@ def read_directory(f, size: int) -> tuple[codec.Footer, list[codec.Entry]]:
     return footer, list(codec.parse_index(f.read_at(footer.index_length, footer.index_start), footer.file_count))
 
 
+def home_of(name: str, bits: int) -> str | None:
+    """Where a daily store keeps a member: ``day/shard_NN.des``; None without a day in the name."""
+    m = re.search("_([0-9]{8})_", name)
+    try:
+        day = datetime.strptime(m[1], "%Y%m%d").date() if m else None
+    except ValueError:
+        day = None
+    return f"{day}/shard_{int.from_bytes(hashlib.sha256(name.encode()).digest(), 'big') >> (256 - bits):02d}.des" if day else None
+
+
+class Directories:
+    """Directories of archives that this process has read, by path and size (an archive is never changed), within a number of entries; the least recently used go first."""
+
+    def __init__(self, limit: int = 1_000_000):
+        self.limit, self.kept, self.entries, self.hits, self.misses = limit, OrderedDict(), 0, 0, 0
+
+    def get(self, f, path: str, size: int) -> tuple[codec.Footer, list[codec.Entry]]:
+        have = self.kept.pop((path, size), None)
+        if have is None:
+            self.misses += 1
+            have = read_directory(f, size)
+            self.entries += len(have[1])
+        else:
+            self.hits += 1
+        self.kept[path, size] = have
+        while self.entries > self.limit and len(self.kept) > 1:
+            self.entries -= len(self.kept.popitem(last=False)[1][1])
+        return have
+
+
+directories = Directories()
+
+
 @dataclass
 class Container(InputPartition):
     path: str
@@ -74,6 +111,7 @@ class ArchiveReader(DataSourceReader):
         self.all = options.get("duplicates", "false").lower() == "true"
         self.broken = options.get("mode", "FAILFAST").upper()
         self.day = options.get("day")
+        self.bits = int(options["bits"]) if "bits" in options else None
         self.names: set[str] | None = None
 
     def pushFilters(self, filters):  # noqa: N802  the API's name
@@ -87,13 +125,18 @@ class ArchiveReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [Container(p, s) for p, s in containers_under(self.path, self.day)]
+        """The archives that can hold what is asked for: with ``bits`` (of a daily store), names tell their day and shard."""
+        found = containers_under(self.path, self.day)
+        if self.bits is not None and self.names is not None:
+            wanted = {at for at in (home_of(n, self.bits) for n in self.names) if at}
+            found = [(p, s) for p, s in found if "/".join(p.split("/")[-2:]) in wanted]
+        return [Container(p, s) for p, s in found]
 
     def read(self, part: Container) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.path)
         with fs.open_input_file(part.path) as f:
             try:
-                _, entries = read_directory(f, part.size)
+                _, entries = directories.get(f, part.path, part.size)
             except codec.ArchiveError:
                 if self.broken == "DROPMALFORMED":
                     return

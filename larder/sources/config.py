@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import quote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 DIALECTS = ("postgres", "mysql", "mariadb", "mssql", "oracle")
+# Class names of the public JDBC drivers.
+DRIVERS = {"postgres": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "mariadb": "org.mariadb.jdbc.Driver", "mssql": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "oracle": "oracle.jdbc.OracleDriver"}
 
 
 def _between(name: str, value: int, low: int, high: int) -> None:
@@ -85,12 +88,31 @@ class Source:
     def shard_count(self) -> int:
         return 1 << self.shard_bits
 
-    def read(self, spark: SparkSession, low: int | None = None, high: int | None = None, parts: int = 16) -> DataFrame:
-        """The table over JDBC; with bounds of its id it is read in parts at the same time. Status and age filters are pushed into the database."""
-        r = spark.read.format("jdbc").option("url", self.connection.url()).option("dbtable", self.full_table).option("user", self.connection.username).option("password", self.connection.password)
+    def query(self, status: str | None = None, before: str | None = None, limit: int | None = None) -> str:
+        """The rows to read as a subquery, so that the database filters them: the source's own condition, a status, created before a time (ISO), the first by id."""
+        m = self.mapping
+        quoted = lambda text: "'" + text.replace("'", "''") + "'"
+        tests = [f"({self.where})"] if self.where else []
+        if status is not None and m.status:
+            tests.append(f"{m.status} = {quoted(status)}")
+        if before is not None and m.created_at:
+            tests.append(f"{m.created_at} <= {quoted(before)}")
+        text = f"SELECT * FROM {self.full_table}" + (f" WHERE {' AND '.join(tests)}" if tests else "")
+        if limit is not None:
+            text += f" ORDER BY {m.id} OFFSET 0 ROWS FETCH NEXT {int(limit)} ROWS ONLY" if self.connection.type in ("mssql", "oracle") else f" ORDER BY {m.id} LIMIT {int(limit)}"
+        return f"({text}) source_rows"
+
+    def options(self, status: str | None = None, before: str | None = None, limit: int | None = None, low: int | None = None, high: int | None = None, parts: int = 16, driver: str | None = None) -> dict[str, str]:
+        """The options of Spark's JDBC reader."""
+        at = self.connection
+        out = {"url": at.url(), "dbtable": self.query(status, before, limit), "user": at.username, "password": at.password, "driver": driver or DRIVERS[at.type], "fetchsize": str(self.batch_size)}
         if low is not None and high is not None:
-            r = r.option("partitionColumn", self.mapping.id).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
-        return r.load()
+            out |= {"partitionColumn": self.mapping.id, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(min(parts, at.pool_size))}
+        return out
+
+    def read(self, spark: SparkSession, pending_only: bool = True, **options) -> DataFrame:
+        """The table over JDBC (``options`` as above); with bounds of its id it is read in parts at the same time, no more than the pool has connections."""
+        return spark.read.format("jdbc").options(**self.options(self.pending if pending_only else None, **options)).load()
 
 
 def project(rows: DataFrame, source: Source) -> DataFrame:
@@ -140,6 +162,22 @@ class Sources:
     def enabled(self) -> list[Source]:
         return [s for s in self.sources if s.enabled]
 
+    def read_all(self, read: Callable[[Source], DataFrame]) -> tuple[DataFrame | None, dict[str, str]]:
+        """The enabled sources' files in one frame, with source_rank and source_name, and the errors of those that could not be read; one failing source does not stop the others."""
+        from pyspark.sql import functions as F
+
+        out, errors = None, {}
+        for rank, source in enumerate(self.enabled()):
+            try:
+                rows = project(read(source), source)
+                rows.limit(1).collect()  # a source that cannot be reached fails here
+            except Exception as e:  # noqa: BLE001  whatever it is, it is this source's alone
+                errors[source.name] = str(e)
+                continue
+            one = rows.select(F.lit(rank).alias("source_rank"), F.lit(source.name).alias("source_name"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out, errors
+
     def by_name(self, name: str) -> Source | None:
         return next((s for s in self.sources if s.name == name), None)
 

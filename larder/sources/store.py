@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions import scalars as S
-from .archive import containers_under, file_system, prepare, register
+from .archive import INDEX_DDL, ArchiveReader, containers_under, directories, file_system, prepare, register
 from .codec import EXTERNAL
 
 
@@ -33,17 +36,59 @@ def day_archives(path: str, day: str) -> list[str]:
     return [p for p, _ in containers_under(path, day)]
 
 
-def lookup(spark: SparkSession, names: DataFrame, path: str, bits: int, payload: bool = True) -> DataFrame:
+def _batches_of(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The folders that may hold a day's folders: those of stream batches, newest first, and the store itself."""
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return [*sorted((f.path for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("batch-")), reverse=True), root]
+
+
+def lookup(spark: SparkSession, names: DataFrame, path: str, bits: int, payload: bool = True, spread: int = 4, gap: int = 1 << 20) -> DataFrame:
     """Named members with a status: 400 without a day in the name, 404 where nothing is found, 200.
 
-    The day and shard of a name say which archive it is in; sizes come from the index, so asking
-    whether a member exists (``payload=False``) reads no data.
+    The day and shard of a name say which archive it is in. Names are dealt by archive (an archive's
+    to ``spread`` tasks, so that a hot one is not one task's) and sorted; a task opens the archives of its
+    names alone, and of these reads the directory and, with ``payload``, the merged ranges of the
+    members asked for. Of a member that several stream batches hold, the newest is taken.
     """
-    located = names.select("name", S.parse_day(F.col("name")).alias("day"), S.shard_id(F.col("name"), bits).alias("shard_id"))
-    where = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("/shard_"), F.format_string("%02d", F.col("shard_id")), F.lit(".des"))
-    have = read_store(spark, path, payload=payload).withColumn("_at", F.regexp_extract("container", "([0-9]{4}-[0-9]{2}-[0-9]{2}/[^/]+)$", 1)).drop("container")
-    out = located.withColumn("_at", where).join(have, ["_at", "name"], "left").drop("_at")
-    return out.withColumn("status", F.when(F.col("day").isNull(), 400).when(F.col("data_length").isNull(), 404).otherwise(200))
+    out = f"name string, day date, shard_id long, {INDEX_DDL.replace('container string, ', '').replace('name string, ', '')}" + (", meta string, data binary" if payload else "")
+    fields = [f.split(" ")[0] for f in out.split(", ")]
+    kinds = {"name": pa.string(), "day": pa.date32(), "ordinal": pa.int32(), "meta": pa.string(), "data": pa.binary()}
+
+    def run(batches):
+        fs, root = file_system(path)
+        folders = _batches_of(fs, root)
+        reader = ArchiveReader({"path": path, "payload": str(payload), "maxGap": gap})
+        seen: tuple[str, list] = ("", [])
+
+        def archives(home: str) -> list:
+            infos = fs.get_file_info([f"{folder}/{home}" for folder in folders])
+            return [(i.path, i.size) for i in infos if i.type == pafs.FileType.File]
+
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+            rows = [dict.fromkeys(fields) | r for r in part.to_pylist()]
+            for home, group in groupby(rows, lambda r: r["home"]):
+                if home is None:
+                    continue
+                if seen[0] != home:
+                    seen = (home, archives(home))
+                missing = {}
+                for r in group:
+                    missing.setdefault(r["name"], []).append(r)
+                for archive_path, size in seen[1]:
+                    if not missing:
+                        break
+                    with fs.open_input_file(archive_path) as f:
+                        last = {e.name: (i, e) for i, e in enumerate(directories.get(f, archive_path, size)[1])}
+                        own = [last[n] for n in missing if n in last]
+                        for got in reader.batch(f, archive_path, own).to_pylist() if own else ():
+                            for r in missing.pop(got["name"]):
+                                r |= {k: v for k, v in got.items() if k != "container"}
+            yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], kinds.get(f, pa.int64())) for f in fields], fields)
+
+    located = names.select("name", S.parse_day(F.col("name")).alias("day"), S.shard_id(F.col("name"), bits).cast("long").alias("shard_id"))
+    home = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit("/shard_"), F.format_string("%02d", F.col("shard_id")), F.lit(".des"))
+    dealt = located.withColumn("home", home).repartition(F.col("home"), F.pmod(F.xxhash64("name"), F.lit(spread))).sortWithinPartitions("home", "name")
+    return dealt.mapInArrow(run, out).withColumn("status", F.when(F.col("day").isNull(), 400).when(F.col("data_length").isNull(), 404).otherwise(200))
 
 
 def from_folder(spark: SparkSession, folder: str, day: Column) -> DataFrame:
@@ -58,9 +103,32 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_objects(rows: DataFrame, spark: SparkSession, folder: str, key: str = "s3_key") -> DataFrame:
-    """Rows with the bytes of the objects their keys name; rows without an object are left out."""
-    objects = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.col("content").alias("data"))
-    return rows.withColumn("_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.col(key))).join(objects, "_path").drop("_path")
+    """Rows with the bytes (``data``) of the objects their keys name; rows without an object are left out. Only those objects are opened, in tasks."""
+    names = rows.columns
+
+    def run(batches):
+        fs, root = file_system(folder)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, data, keep = batch.slice(at, 64), [], []
+                for k in part.column(key).to_pylist():
+                    try:
+                        with fs.open_input_file(f"{root}/{k}") as f:
+                            data.append(f.read())
+                            keep.append(True)
+                    except (FileNotFoundError, IsADirectoryError):
+                        data.append(None)
+                        keep.append(False)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], [*names, "data"]).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("data", BinaryType())]))
+
+
+def clear(path: str) -> None:
+    """Remove a store's folder, if there is one."""
+    fs, root = file_system(path)
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
 
 
 def with_external(members: DataFrame, folder: str) -> DataFrame:

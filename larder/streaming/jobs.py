@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import scalars as S
-from ..operators import catalog
-from ..sources.store import write_store
+from ..operators import catalog, control
+from ..sources.store import clear, write_store
 
 
 def run_marker(entries: DataFrame, marked_path: str, dead_path: str, checkpoint: str, max_retries: int = 3, error: Callable | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -33,11 +33,13 @@ def run_marker(entries: DataFrame, marked_path: str, dead_path: str, checkpoint:
 
 
 def run_packer(rows: DataFrame, store: str, bits: int, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Pack arriving (name, day, data) rows: each batch adds archives of its own beside those of the days before it."""
+    """Pack arriving (name, day, data) rows: each batch adds archives of its own beside those of the days before it. A repeated batch replaces what its earlier attempt left."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        own = f"{store}/batch-{batch_id:09d}"
+        clear(own)
         if not df.isEmpty():
-            write_store(df, f"{store}/batch-{batch_id:09d}", bits)
+            write_store(df, own, bits)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -61,6 +63,18 @@ def track_locks(requests: DataFrame, ttl_seconds: int) -> DataFrame:
     return requests.groupBy("shard_id").applyInPandasWithState(decide, "shard_id long, holder_id string, ts timestamp, acquired boolean", "holder_id string, expires long", "append", "NoTimeout")
 
 
+def run_heartbeat(spark: SparkSession, read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], holders: DataFrame, ttl_seconds: int, every: str, checkpoint: str) -> StreamingQuery:
+    """Renew the holders' locks on a timer: ``read`` gives the lock table, ``write`` takes it renewed (with ``renewed`` and ``lost``) and the beat's number."""
+
+    def beat(ticks: DataFrame, batch_id: int) -> None:
+        now = ticks.agg(F.max("timestamp").cast("timestamp_ntz").alias("now")).first()["now"]
+        if now is not None:
+            write(control.renew(read(), holders, F.lit(now).cast("timestamp_ntz"), ttl_seconds), batch_id)
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(beat).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def daily_counts(events: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Members per day of event time, closed by a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "n")

@@ -148,6 +148,37 @@ def test_daily_store_and_lookup(spark, tmp_path):
     assert "data" not in sizes.columns
 
 
+def test_lookups_open_only_the_archives_of_their_names(spark, tmp_path):
+    df = spark.createDataFrame([(f"N_2025010{1 + i % 2}_{i}.txt", f"2025-01-0{1 + i % 2}", bytearray(b"%d" % i)) for i in range(40)], "name string, day string, data binary").withColumn("day", F.to_date("day"))
+    store.write_store(df, str(tmp_path), 3)
+    home = archive.home_of("N_20250101_0.txt", 3)
+    for p in tmp_path.rglob("*.des"):
+        if not str(p).endswith(home):
+            p.write_bytes(b"broken" * 100)
+    asked = spark.createDataFrame([("N_20250101_0.txt",), ("N_20250101_0.txt",), (None,)], "name string")
+    assert sorted((r["status"], r["data"] and bytes(r["data"])) for r in store.lookup(spark, asked, str(tmp_path), 3).collect()) == [(200, b"0"), (200, b"0"), (400, None)]
+    one = store.read_store(spark, str(tmp_path), payload=True, bits="3").where("name = 'N_20250101_0.txt'")
+    assert [bytes(r["data"]) for r in one.collect()] == [b"0"]
+    assert archive.home_of("x_20251399_", 3) is None
+
+
+def test_newest_batch_is_looked_up(spark, tmp_path):
+    for batch, data in (("batch-000000000", b"old"), ("batch-000000001", b"new")):
+        df = spark.createDataFrame([("N_20250101_0", bytearray(data))], "name string, data binary").withColumn("day", F.to_date(F.lit("2025-01-01")))
+        store.write_store(df, str(tmp_path / batch), 2)
+    got = store.lookup(spark, spark.createDataFrame([("N_20250101_0",)], "name string"), str(tmp_path), 2).collect()
+    assert [bytes(r["data"]) for r in got] == [b"new"]
+
+
+def test_directories_are_kept_within_their_limit(tmp_path):
+    paths = [save(tmp_path, name, [(f"f{i}", b"x", None) for i in range(6)]) for name in ("a.des", "b.des")]
+    kept = archive.Directories(limit=10)
+    for p in (paths[0], paths[0], paths[1], paths[0]):
+        with archive.file_system(str(p))[0].open_input_file(str(p)) as f:
+            assert len(kept.get(f, str(p), p.stat().st_size)[1]) == 6
+    assert (kept.hits, kept.misses, kept.entries) == (1, 3, 6)
+
+
 def test_buffer_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):

@@ -159,3 +159,53 @@ def test_writer_numbers_and_requeue(spark):
     c = spark.createDataFrame([(1, "failed", 3), (2, "failed", 3)], "id int, des_status string, retry_count int")
     letters = spark.createDataFrame([(1, False), (2, True)], "catalog_entry_id int, resolved boolean")
     assert {r["id"]: (r["des_status"], r["retry_count"]) for r in catalog.requeue(c, letters).collect()} == {1: ("retry", 0), 2: ("failed", 3)}
+
+
+def test_database_reads_are_filtered_there():
+    c = Connection("postgres", "h", 5432, "d", "u", "p", pool_size=3)
+    s = Source("a", c, "t", Mapping("id", "b", "k", "n", status="st", created_at="at"), schema="x", where="kind = 'y' OR z", batch_size=200)
+    o = s.options("pen'ding", before="2025-01-01", limit=5, low=1, high=9)
+    assert o["dbtable"] == "(SELECT * FROM x.t WHERE (kind = 'y' OR z) AND st = 'pen''ding' AND at <= '2025-01-01' ORDER BY id LIMIT 5) source_rows"
+    assert (o["driver"], o["fetchsize"], o["numPartitions"], o["partitionColumn"]) == ("org.postgresql.Driver", "200", "3", "id")
+    assert "FETCH NEXT 5 ROWS ONLY" in Source("a", Connection("oracle", "h", 1, "d", "u"), "t", Mapping("id", "b", "k", "n")).query(limit=5)
+
+
+def test_a_failing_source_leaves_the_others(spark):
+    c = Connection("postgres", "h", 5432, "d", "u")
+    m = Mapping("id", "bucket", "key", "size")
+    own = Sources(tuple(Source(n, c, "t", m) for n in ("bad", "good", "late")))
+    rows = spark.createDataFrame([(1, "b", "k", 3)], "id long, bucket string, key string, size long")
+
+    def read(source):
+        if source.name == "bad":
+            raise ConnectionError("no route")
+        return rows if source.name == "good" else rows.withColumn("size", F.raise_error(F.lit("broken row")).cast("long"))
+
+    out, errors = own.read_all(read)
+    assert [(r["source_rank"], r["source_name"], r["id"]) for r in out.collect()] == [(1, "good", 1)]
+    assert errors["bad"] == "no route" and "broken row" in errors["late"]
+
+
+def test_only_transient_failures_are_tried_again():
+    from larder.sources.retry import call
+
+    waits, tries = [], []
+
+    def action(message, until):
+        tries.append(message)
+        if len(tries) < until:
+            raise OSError(message)
+        return "done"
+
+    assert call(lambda: action("Connection timeout", 3), attempts=3, jitter=0, sleep=waits.append) == "done" and waits == [2.0, 4.0]
+    for message, attempts, made in (("no such table", 5, 1), ("timeout", 2, 2), ("timeout", 0, 1)):
+        tries.clear()
+        with pytest.raises(OSError, match=message):
+            call(lambda: action(message, 9), attempts=attempts, sleep=waits.append)  # noqa: B023
+        assert len(tries) == made
+
+
+def test_progress_reaches_container_records(spark):
+    k = spark.createDataFrame([(1, "writing", 0, 0), (2, "uploaded", 9, 90), (3, "writing", 1, 10)], "id long, status string, file_count long, data_bytes long")
+    reached = spark.createDataFrame([(1, 2, 20), (1, 4, 40), (2, 3, 30)], "id long, file_count long, data_bytes long")
+    assert {r["id"]: (r["file_count"], r["data_bytes"]) for r in control.progress(k, reached).collect()} == {1: (4, 40), 2: (9, 90), 3: (1, 10)}

@@ -43,6 +43,33 @@ def test_names_fit_their_format_and_spill(spark):
     assert names[0].endswith(f"_{sum(f.to_bytes(6, 'big')) % 256:02X})")
 
 
+def test_names_of_crowded_milliseconds_differ(spark):
+    from larder.operators.routing import assign
+
+    at = lambda n, expr: spark.range(n).select("id", F.expr(f"TIMESTAMP '2025-01-01 12:00:00' + {expr}").alias("ts"))
+    ms = "make_dt_interval(0, 0, 0, CAST({} AS DECIMAL(18, 6)))"
+    rows = at(300, ms.format("0")).unionByName(at(10, ms.format("0.001"))).unionByName(at(700, ms.format("65.6"))).unionByName(at(5, ms.format("200"))).withColumn("id", F.monotonically_increasing_id())
+    rows = rows.unionByName(spark.createDataFrame([(-1, None)], "id long, ts timestamp"))
+    for key in ([], ["k"]):
+        got = assign(rows.withColumn("k", F.lit(None).cast("string")), "T", "ts", 1, key, ["id"], 8).orderBy("ts", "id").collect()
+        names = [r["name"] for r in got if r["ts"] is not None]
+        assert len(got) == 1016 and len(set(names)) == len(names) == 1015 and names == sorted(names)
+        place = lambda name: int(name.split("(")[1].split("_")[0], 16)
+        first = place(names[0]) >> 16
+        assert [(place(n) >> 16) - first for n in (names[255], names[256], names[299], names[300])] == [0, 1, 1, 1]
+
+
+def test_numbers_along_an_order(spark):
+    from larder.operators.ordering import row_numbers
+    from larder.operators.routing import round_robin
+
+    rows = spark.range(100).select((F.col("id") * 37 % 100).alias("x"))
+    assert all(r["n"] == r["x"] + 1 for r in row_numbers(rows, ["x"], F.expr("x div 10"), "n").collect())
+    assert all(r["turn"] == r["x"] % 3 for r in round_robin(rows, ["x"], 3, bucket=F.expr("x div 7")).collect())
+    with pytest.raises(ValueError):
+        round_robin(rows, ["x"], 3)
+
+
 @pytest.mark.parametrize("prefix,node,wrap", [("", 0, 32), ("a-b", 0, 32), ("ok", 256, 32), ("ok", 0, 33), ("ok", 0, 0)])
 def test_bad_naming(prefix, node, wrap):
     with pytest.raises(ValueError):

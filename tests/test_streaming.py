@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -26,6 +27,22 @@ def test_packer_job(spark, tmp_path):
     rows = spark.readStream.schema("name string, data binary, day date").parquet(src)
     jobs.run_packer(rows, str(tmp_path / "store"), 2, str(tmp_path / "cp")).awaitTermination()
     assert read_store(spark, str(tmp_path / "store"), payload=True).count() == 9
+    # The same batch once more, as after a failure between its commit and the checkpoint's.
+    jobs.run_packer(spark.readStream.schema("name string, data binary, day date").parquet(src), str(tmp_path / "store"), 2, str(tmp_path / "cp2")).awaitTermination()
+    assert read_store(spark, str(tmp_path / "store"), payload=True).count() == 9
+
+
+def test_heartbeat_renews_locks(spark, tmp_path):
+    far = datetime(2100, 1, 1)
+    locks = spark.createDataFrame([(1, "a", far), (2, "b", T)], "shard_id long, holder_id string, expires_at timestamp_ntz")
+    holders = spark.createDataFrame([(1, "a"), (2, "b")], "shard_id long, holder_id string")
+    beats = []
+    q = jobs.run_heartbeat(spark, lambda: locks, lambda df, n: beats.append({r["shard_id"]: (r["renewed"], r["lost"]) for r in df.collect()}), holders, 30, "1 second", str(tmp_path / "cp"))
+    end = time.time() + 60
+    while not beats and time.time() < end and q.isActive:
+        time.sleep(0.2)
+    q.stop()
+    assert beats[0] == {1: (True, False), 2: (False, True)}
 
 
 def test_lock_tracking(spark, tmp_path):
