@@ -7,8 +7,8 @@ one. If all shared tokens are frequent, k of them fall into k - 1 bins, so two f
 frequent tokens are indexed as pairs within bins. Whatever shares an index key is verified on the
 whole sets, first against one member of its group, then, for groups whose members are not yet in one
 component, against another; last, such groups are cut into units of bounded size, in which members of
-lighter components are compared with members of heavier ones, first by parity bitmaps, which can only
-rule pairs out, and then on the whole sets of those that have a partner left. So groups of near copies
+lighter components are compared with members of heavier ones by parity bitmaps, which can only rule
+pairs out: first each with the nearest one, then, as whole sets, all that have a partner left. So groups of near copies
 cost a row a member and unit, pairs are never laid out as rows, and no link between different
 components is left unseen.
 """
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST, blocks, by_bucket, document, forget, mix64, release, shuffle_parts, steady, written
@@ -385,12 +385,12 @@ _UNIT = "gid long, qb int, tb int, k binary, n long, m long, label long, weight
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parity bitmaps of sets, a power of two of at least half as many bits as tokens: the bits in which two differ are no more than the tokens that only one set has."""
+    """Parity bitmaps of sets, a power of two of at least twice as many bits as tokens: the bits in which two differ are no more than the tokens that only one set has."""
     for batch in batches:
         out = []
         for raw in batch.column("tokens").to_pylist():
             s = np.frombuffer(raw, np.uint64)
-            size = 1 << max(6, (len(s) - 1).bit_length() - 1)
+            size = 1 << max(6, (len(s) - 1).bit_length() + 1)
             odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
             out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "bits"])
@@ -412,14 +412,18 @@ def _units(groups: DataFrame, info: DataFrame) -> DataFrame:
     at = F.concat(F.transform(every, lambda qb: unit(qb, block, no, yes)), F.transform(every, lambda tb: unit(block, tb, yes, no)))
     kinds = [F.col("gid"), F.col("at.qb"), F.col("at.tb"), F.col("k"), F.col("n"), F.col("m"), F.col("label"), F.col("weight"), F.col("at.query"), F.col("at.target"), F.col("bits")]
     whole = groups.join(large, "gid", "left_anti").join(info, "k").withColumn("at", unit(F.lit(0), F.lit(0), yes, yes)).select(*kinds)
-    cut = mixed_only(groups.join(large, "gid").join(info, "k")).withColumn("at", F.explode(at)).select(*kinds)
+    cut = groups.join(large, "gid").join(info, "k").withColumn("at", F.explode(at)).select(*kinds)
     return whole.unionByName(cut)
 
 
-def mixed_only(members: DataFrame) -> DataFrame:
-    """Members of the groups that have several components."""
-    mixed = members.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gid")
-    return members.join(written(mixed, "several"), "gid", "left_semi")
+def _mixed(groups: DataFrame, labels: DataFrame, *hub: Column) -> DataFrame:
+    """Members (gid, k, n, m, label) of the groups that have several components, written; and what an aggregate says of each group."""
+    placed = groups.select("gid", "k", "n", "m").join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label"))
+    several = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), *hub).where("x <> y").drop("x", "y")
+    out = written(placed.join(several, "gid"), "mixed")
+    forget(groups)
+    release(groups.sparkSession)
+    return out
 
 
 def _by_unit(units: DataFrame, parts: int) -> DataFrame:
@@ -478,36 +482,58 @@ def _folded(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
+def _compared(batch: pa.RecordBatch, start: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (query, target) that the bitmaps allow, and the bits in which they differ as a share of their tokens."""
+    n = batch.column("n").to_numpy()
+    raw = batch.column("bits").to_pylist()
+    length = np.array([len(x) for x in raw])
+    table: dict[int, np.ndarray] = {}
+    place = np.zeros(batch.num_rows, np.int64)
+    for size in np.unique(length).tolist():
+        own = np.flatnonzero(length == size)
+        place[own] = np.arange(len(own))
+        table[size] = np.frombuffer(b"".join(raw[i] for i in own), np.uint8).reshape(len(own), size)
+    for a, b in _pairs_of(batch, start, percent):
+        for la, lb in zip(*np.unique(np.stack([length[a], length[b]]), axis=1).tolist(), strict=True) if len(a) else ():
+            own = np.flatnonzero((length[a] == la) & (length[b] == lb))
+            small, step = min(la, lb), max(1, (8 << 20) // max(la, lb))
+            for at in range(0, len(own), step):
+                i, j = a[own[at : at + step]], b[own[at : at + step]]
+                differ = np.bitwise_count((_folded(table[la][place[i]], small) ^ _folded(table[lb][place[j]], small)).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                both = n[i] + n[j]
+                ok = differ <= both - 2 * -(-percent * both // (100 + percent))
+                yield i[ok], j[ok], differ[ok] / both[ok]
+
+
+def _nearest(percent: int):
+    """For each query of a unit the target that the bitmaps find nearest, if they allow any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, start in _whole_units(batches):
+            least, target = np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int64)
+            for i, j, differ in _compared(batch, start, percent):
+                order = np.lexsort((differ, i))
+                i, j, differ = i[order], j[order], differ[order]
+                first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+                i, j, differ = i[first], j[first], differ[first]
+                better = differ < least[i]
+                least[i[better]], target[i[better]] = differ[better], j[better]
+            own = np.flatnonzero(np.isfinite(least))
+            k = batch.column("k")
+            yield pa.RecordBatch.from_arrays([k.take(pa.array(own)), k.take(pa.array(target[own]))], ["a", "b"])
+
+    return run
+
+
 def _plausible(percent: int):
     """Rows of units with a partner that the bitmaps allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, start in _whole_units(batches):
-            n = batch.column("n").to_numpy()
-            raw = batch.column("bits").to_pylist()
-            length = np.array([len(x) for x in raw])
             active = np.zeros(batch.num_rows, bool)
-            table: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-            place = np.zeros(batch.num_rows, np.int64)
-            for size in np.unique(length):
-                own = np.flatnonzero(length == size)
-                place[own] = np.arange(len(own))
-                table[size] = np.frombuffer(b"".join(raw[i] for i in own), np.uint8).reshape(len(own), size)
-            for a, b in _pairs_of(batch, start, percent):
-                for la, lb in {(x, y) for x, y in zip(*np.unique(np.stack([length[a], length[b]]), axis=1).tolist(), strict=True)} if len(a) else ():
-                    own = np.flatnonzero((length[a] == la) & (length[b] == lb))
-                    both = n[a[own]] + n[b[own]]
-                    least = -(-percent * both // (100 + percent))
-                    small = min(la, lb)
-                    step = max(1, (16 << 20) // max(la, lb))
-                    for at in range(0, len(own), step):
-                        s = slice(at, at + step)
-                        i, j = a[own[s]], b[own[s]]
-                        x, y = _folded(table[la][place[i]], small), _folded(table[lb][place[j]], small)
-                        differ = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                        ok = differ <= both[s] - 2 * least[s]
-                        active[i[ok]] = True
-                        active[j[ok]] = True
+            for i, j, _ in _compared(batch, start, percent):
+                active[i] = True
+                active[j] = True
             yield batch.filter(pa.array(active)).select(_UNIT.replace(",", "").split()[::2])
 
     return run
@@ -593,28 +619,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     labels = components(linked(groups.where((F.col("k") > F.col("hub")) & similar(F.col("n"), F.col("m"), F.col("hub_n"), F.col("hub_m"), percent)).select(F.col("hub").alias("a"), F.col("k").alias("b")).distinct()))
     release(spark)
-    for turn in range(1, STAR_ROUNDS + 1):
-        placed = groups.select("gid", "k", "n", "m").join(labels, "k", "left").select("gid", "k", "n", "m", F.coalesce("label", "k").alias("label"))
-        mixed = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "m", "label")).alias("hub")).where("x <> y").select("gid", "hub")
-        narrowed = written(placed.join(mixed, "gid").select("gid", "k", "n", "m", "label", "hub"), "mixed")
-        forget(groups)
-        groups = narrowed
+    def joined(new: DataFrame) -> DataFrame:
+        out = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(new))
         release(spark)
+        return out
+
+    for turn in range(1, STAR_ROUNDS + 1):
+        groups = _mixed(groups, labels, F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "m", "label")).alias("hub"))
         new = groups.where((F.col("label") != F.col("hub.label")) & similar(F.col("n"), F.col("m"), F.col("hub.n"), F.col("hub.m"), percent)).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
-        labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(linked(new.distinct())))
-        release(spark)
-    groups = groups.select("gid", "k", "n", "m")
+        labels = joined(linked(new.distinct()))
 
-    # In units a component is told by a 64-bit hash of its name.
-    weights = labels.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("weight"))
-    bitmaps = sets.mapInArrow(_bitmaps, "k binary, bits binary").join(labels.join(weights, "label"), "k", "left")
-    info = written(bitmaps.select("k", F.xxhash64(F.coalesce("label", "k")).alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"), "bits"), "info")
-    release(spark)
-    active = written(_by_unit(_units(groups, info), buckets).mapInArrow(_plausible(percent), _UNIT), "active")
-    forget(info)
+    bits = written(sets.mapInArrow(_bitmaps, "k binary, bits binary"), "bitmaps")
+
+    def units() -> DataFrame:
+        # Here a component is told by a 64-bit hash of its name.
+        weights = labels.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("weight"))
+        info = bits.join(labels.join(weights, "label"), "k", "left").select("k", F.xxhash64(F.coalesce("label", "k")).alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"), "bits")
+        return _by_unit(_units(groups.select("gid", "k", "n", "m"), written(info, "info")), buckets)
+
+    groups = _mixed(groups, labels)
+    near = units().mapInArrow(_nearest(percent), "a binary, b binary")
+    labels = joined(linked(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+    groups = _mixed(groups, labels)
+    active = written(units().mapInArrow(_plausible(percent), _UNIT), "active")
     release(spark)
-    found = written(_by_unit(active.join(sets, "k"), buckets).mapInArrow(_search(percent), "a binary, b binary"), "links")
-    labels = components(labels.select(F.col("k").alias("a"), F.col("label").alias("b")).unionByName(found))
+    labels = joined(written(_by_unit(active.join(sets, "k"), buckets).mapInArrow(_search(percent), "a binary, b binary"), "links"))
 
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))
     firsts = written(placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first")), "firsts")  # a table, so that a hot label can be split
