@@ -360,11 +360,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, words + 1
 
 
-_CHUNK = "n long, head binary, data binary"
+_CHUNK = "n long, head binary, words binary, data binary"
 
 
 def _chunked(names: list[str]):
-    """Rows of texts as chunks: their columns as an Arrow stream; distinct words, frequent ones first, the tokens as places among them, sizes, and which texts train."""
+    """Rows of texts as chunks: their columns as an Arrow stream; distinct words, sorted, and how often they occur in texts that train; the tokens, frequent words having small codes, which word each code is, sizes, and which texts train."""
 
     def chunk(parts) -> pa.RecordBatch:
         head = pa.Table.from_batches([b.select(names) for b, *_ in parts])
@@ -372,12 +372,14 @@ def _chunked(names: list[str]):
         with pa.ipc.new_stream(sink, head.schema) as out:
             out.write_table(head)
         words, codes, n = np.unique(np.concatenate([t for _, t, *_ in parts]), return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")  # frequent words get small codes
+        size, train = np.concatenate([z for *_, z, _ in parts]), np.concatenate([x for *_, x in parts])
+        counts = np.bincount(codes[np.repeat(train, size).astype(bool)], minlength=len(words))
+        order = np.argsort(-n, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        words, codes = words[order], rank[codes]
-        data = squeeze({"words": words, "codes": _small(codes), "size": _small(np.concatenate([z for *_, z, _ in parts])), "train": np.concatenate([x for *_, x in parts])})
-        return pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([data], pa.binary())], ["n", "head", "data"])
+        own = squeeze({"step": np.diff(words, prepend=_U64(0)), "counts": _small(counts)})
+        data = squeeze({"codes": _small(rank[codes]), "order": _small(order), "size": _small(size), "train": train})
+        return pa.RecordBatch.from_arrays([pa.array([len(codes)], pa.int64()), *[pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), own, data)]], ["n", "head", "words", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, got = [], 0
@@ -435,46 +437,51 @@ def _ask_words(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 x = expand(raw)
-                trains = np.repeat(x["train"], x["size"]).astype(bool)
-                counts = np.bincount(x["codes"][trains], minlength=len(x["words"]))
-                order = np.argsort(x["words"])
-                words, counts = x["words"][order], counts[order]
+                words = np.cumsum(x["step"], dtype=_U64)
                 bucket = (words >> _U64(40)) * _U64(ranges) >> _U64(24)
                 cut = np.searchsorted(bucket, np.arange(ranges + 1))
                 some = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
-                yield _rows(1, [i for i, _, _ in some], [chunk] * len(some), [squeeze({"words": words[a:b], "counts": _small(counts[a:b])}) for _, a, b in some])
+                yield _rows(1, [i for i, _, _ in some], [chunk] * len(some), [squeeze({"step": np.diff(words[a:b], prepend=_U64(0)), "counts": _small(x["counts"][a:b])}) for _, a, b in some])
 
     return run
 
 
-def _serve_words(ranges: int, build: bool, answer: bool):
-    """The first level of each range, made of the asks or given, and for each ask the words' places in the range (0: unknown, else from 1) and counts."""
+def _class(counts: np.ndarray) -> np.ndarray:
+    """Bits of the counts; ids go from frequent classes to rare ones."""
+    return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+
+
+def _serve_words(ranges: int, build: bool):
+    """The first level of each range, made of the asks or given, and for each ask the words' counts (0: unknown) and places in their class within the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _runs(batches, "bucket"):
             asks = [(r["chunk"], expand(r["blob"])) for r in rows if r["kind"] == 1]
             lo, hi = (-(-(x << 24) // ranges) << 40 for x in (bucket, bucket + 1))
+            given = [r["blob"] for r in rows if r["kind"] == 0]
             if build:
-                names, back = np.unique(np.concatenate([x["words"] for _, x in asks]), return_inverse=True)
-                counts = np.zeros(len(names), np.int64)
-                np.add.at(counts, back, np.concatenate([x["counts"].astype(np.int64) for _, x in asks]))
+                names, back = np.unique(np.concatenate([np.cumsum(x["step"], dtype=_U64) for _, x in asks]), return_inverse=True)
+                counts = np.bincount(back, np.concatenate([x["counts"] for _, x in asks]), len(names)).astype(np.int64)
                 names, counts = names[counts > 0], counts[counts > 0]
-                parts = {"counts": _small(counts)} | _named("hash", encode(names - _U64(lo), min(hi, 1 << 64) - lo))
-                yield _rows(0, [bucket], [None], [squeeze(parts)], [len(names)], [int(counts.sum())])
+                kind = _class(counts)
+                order, sizes = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=64)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                parts = {"counts": _small(counts), "place": _small(place)} | _named("hash", encode(names - _U64(lo), min(hi, 1 << 64) - lo))
+                yield _rows(0, [bucket], [None], [squeeze(parts)], sizes.tolist(), [int(counts.sum())])
+            elif given:
+                parts = expand(given[0])
             else:
-                given = [r for r in rows if r["kind"] == 0]
-                parts = expand(given[0]["blob"]) if given else {"counts": np.zeros(0, np.uint8)} | _named("hash", encode(np.zeros(0, _U64), min(hi, 1 << 64) - lo))
-            if answer:
-                parts = mapped(parts)
-                hashes = EliasFano(_under(parts, "hash"))
-                for chunk, x in asks:
-                    at, ok = hashes.successor(x["words"] - _U64(lo))
-                    place, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                    place[ok] = at[ok] + 1
-                    counts[ok] = parts["counts"][at[ok]]
-                    yield _rows(2, [bucket], [chunk], [squeeze({"place": _small(place), "counts": _small(counts)})])
+                parts = {"counts": np.zeros(0, np.uint8), "place": np.zeros(0, np.uint8)} | _named("hash", encode(np.zeros(0, _U64), min(hi, 1 << 64) - lo))
+            parts = mapped(parts)
+            hashes = EliasFano(_under(parts, "hash"))
+            for chunk, x in asks:
+                at, ok = hashes.successor(np.cumsum(x["step"], dtype=_U64) - _U64(lo))
+                place, counts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                place[ok], counts[ok] = parts["place"][at[ok]], parts["counts"][at[ok]]
+                yield _rows(2, [bucket], [chunk], [squeeze({"place": _small(place), "counts": _small(counts)})])
 
     return run
 
@@ -484,7 +491,7 @@ def _serve_words(ranges: int, build: bool, answer: bool):
 
 @dataclass(frozen=True)
 class Known:
-    """What every task has to know of the first level: ranges, the words before each, all words, all tokens; and shards."""
+    """What every task has to know of the first level: ranges, the ids before each class and range, all words, all tokens; and shards."""
 
     ranges: int
     before: np.ndarray
@@ -502,20 +509,20 @@ class Grams:
     """The distinct n-grams of a chunk as a trie of its own, in the order in which shards are asked."""
 
     def __init__(self, x: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, known: Known):
-        """ids and counts: of the chunk's words (-1 and 0: unknown)."""
+        """ids and counts: of the chunk's words by code (-1 and 0: unknown)."""
         codes, size = x["codes"].astype(np.int64), x["size"].astype(np.int64)
         within = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
         trains = np.repeat(x["train"], size).astype(bool)
         word = np.where(ids[codes] >= 0, codes, -1)
         # Roots: pairs of shard and first word; a word that is not spread has one, even if nothing known follows it.
         spread = known.spread(counts)
-        home = (mix64(x["words"]) >> _U64(32)) * _U64(known.shards) >> _U64(32)
+        home = (mix64(ids.astype(_U64)) >> _U64(32)) * _U64(known.shards) >> _U64(32)
         at = np.flatnonzero(within >= 1)
         at = at[word[at - 1] >= 0]
         ahead = np.unique(word[at - 1])
         at = at[word[at] >= 0]
         u, v, back = distinct(word[at - 1], word[at])
-        shard = ((home[u] + mix64(x["words"][v] + _U64(1)) % spread[u].astype(_U64)) % _U64(known.shards)).astype(np.int64)
+        shard = ((home[u] + mix64(ids[v].astype(_U64) + _U64(1)) % spread[u].astype(_U64)) % _U64(known.shards)).astype(np.int64)
         one = ahead[spread[ahead] == 1]
         roots = np.unique(np.concatenate([shard << 32 | u, home[one].astype(np.int64) << 32 | one]))
         self.root_shard, self.root = roots >> 32, roots & 0xFFFFFFFF
@@ -552,9 +559,9 @@ class Grams:
         for i, shard in enumerate(shards.tolist()):
             own = self.root[cuts[0][i] : cuts[0][i + 1]]
             words = [w[cuts[k + 1][i] : cuts[k + 1][i + 1]] for k, w in enumerate(self.words)]
-            used, code = np.unique(np.concatenate([own, *words]), return_inverse=True)  # frequent words have small codes here too
+            used, code = np.unique(ids[np.concatenate([own, *words])], return_inverse=True)  # frequent words have small codes here too
             code = np.split(code, np.cumsum([len(own), *map(len, words)])[:-1])
-            out = {"ids": _small(ids[used]), "root": _small(code[0]), "total": _small(counts[own])}
+            out = {"step": _small(np.diff(used, prepend=0)), "root": _small(code[0]), "total": _small(counts[own])}
             for k, (p, c) in enumerate(zip(self.parents, self.counts, strict=True)):
                 (a, b), (e, f) = cuts[k][i : i + 2], cuts[k + 1][i : i + 2]
                 out |= {f"n{k}": _small(np.bincount(p[e:f] - a, minlength=b - a)), f"w{k}": _small(code[k + 1]), f"c{k}": _small(c[e:f])}
@@ -562,17 +569,14 @@ class Grams:
 
 
 def _words_of(x: dict[str, np.ndarray], answers: list[dict], known: Known) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of a chunk's words from the answers of the ranges, which are in the order of the words."""
+    """Ids and counts of a chunk's words, by code, from the answers of the ranges, which are in the order of the words."""
     ids, counts = [], []
     for r in answers:
         got = expand(r["blob"])
-        place = got["place"].astype(np.int64)
-        ids.append(np.where(place > 0, place - 1 + known.before[r["bucket"]], -1))
         counts.append(got["counts"].astype(np.int64))
-    order = np.argsort(x["words"])
-    out = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    out[0][order], out[1][order] = np.concatenate(ids), np.concatenate(counts)
-    return out
+        ids.append(np.where(counts[-1] > 0, known.before[_class(counts[-1]), r["bucket"]] + got["place"].astype(np.int64), -1))
+    order = x["order"].astype(np.int64)
+    return np.concatenate(ids)[order], np.concatenate(counts)[order]
 
 
 def _ask_grams(known: Known):
@@ -592,8 +596,8 @@ class Asked:
     """The asks of a shard together: their distinct words, roots and n-grams, and where each ask's are among them."""
 
     def __init__(self, asks: list[dict[str, np.ndarray]], order: int):
-        self.words, place = np.unique(np.concatenate([x["ids"].astype(np.int64) for x in asks]), return_inverse=True)
-        start = np.cumsum([0] + [len(x["ids"]) for x in asks])
+        self.words, place = np.unique(np.concatenate([np.cumsum(x["step"], dtype=np.int64) for x in asks]), return_inverse=True)
+        start = np.cumsum([0] + [len(x["step"]) for x in asks])
         code = lambda name: np.concatenate([place[a + x[name].astype(np.int64)] for a, x in zip(start, asks, strict=False)])
         self.root, first, up = np.unique(code("root"), return_index=True, return_inverse=True)  # as places among the words
         self.total = np.concatenate([x["total"].astype(np.int64) for x in asks])[first]
@@ -642,8 +646,8 @@ class Asked:
             yield {k: v[i] for k, v in out.items()}
 
 
-def _serve_grams(known: Known, least: int, discount: float, build: bool, answer: bool):
-    """The shards, made of the asks or given, and the answers to the asks."""
+def _serve_grams(known: Known, least: int, discount: float, build: bool, keep: bool, answer: bool):
+    """The shards, made of the asks (and given out, if they are to be kept) or given, and the answers to the asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _runs(batches, "bucket"):
@@ -653,7 +657,7 @@ def _serve_grams(known: Known, least: int, discount: float, build: bool, answer:
             asked = Asked([expand(r["blob"]) for r in rows if r["kind"] == 1], known.order)
             if build:
                 parts, nodes, sums, mass = asked.grow(least, discount)
-                yield _rows(0, [shard], [None], [squeeze(parts)], nodes, sums)
+                yield _rows(0, [shard], [None], [squeeze(parts) if keep else None], nodes, sums)
                 wide = known.spread(asked.total) > 1
                 if wide.any():
                     n = int(wide.sum())
@@ -732,30 +736,36 @@ def _dealt(rows: DataFrame, parts: int, key: str, *more: str) -> DataFrame:
     return rows.repartition(parts, key).sortWithinPartitions(key, *more)
 
 
-def _run(chunks: DataFrame, model: Model | None, answer: bool, order: int, least: int, discount: float) -> tuple[Model, DataFrame | None, DataFrame | None]:
-    """Words first, then n-grams: the model (made of the chunks if none is given) and the written answers."""
+def _run(chunks: DataFrame, model: Model | None, keep: bool, answer: bool, order: int, least: int, discount: float) -> tuple[Model, DataFrame, DataFrame]:
+    """Words first, then n-grams: the model (made of the chunks if none is given; its shards only if they are to be kept) and the written answers."""
     spark, build = chunks.sparkSession, model is None
     parts = shuffle_parts(spark)
     ranges = parts if build else model.known.ranges
-    asks = chunks.select("chunk", "data").mapInArrow(_ask_words(ranges), _ROWS)
+    asks = chunks.select("chunk", "words").mapInArrow(_ask_words(ranges), _ROWS)
+    words = written(_dealt(asks if build else asks.unionByName(model.words), ranges, "bucket", "kind", "chunk").mapInArrow(_serve_words(ranges, build), _ROWS), "words")
+    del asks
     release(spark)
-    words = written(_dealt(asks if build else asks.unionByName(model.words), ranges, "bucket", "kind", "chunk").mapInArrow(_serve_words(ranges, build, True), _ROWS), "words")
     if build:
-        sizes = {r[0]: (r[1], r[2]) for r in words.where("kind = 0").select("bucket", F.col("nodes")[0], F.col("totals")[0]).collect()}  # a row a range
-        before = np.concatenate([[0], np.cumsum([sizes.get(i, (0, 0))[0] for i in range(ranges)])]).astype(np.int64)
+        sizes = np.zeros((64, ranges), np.int64)
+        total = 0
+        for r in words.where("kind = 0").select("bucket", "nodes", "totals").collect():  # a row a range
+            sizes[:, r[0]] = r[1]
+            total += r[2][0]
+        along = sizes[::-1].ravel()  # frequent classes first
+        before = (np.cumsum(along) - along).reshape(sizes.shape)[::-1]
         tokens_in = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        known = Known(ranges, before, int(before[-1]), sum(t for _, t in sizes.values()), parts * max(1, -(-tokens_in // (parts * SHARD))), order)
+        known = Known(ranges, before, int(sizes.sum()), total, parts * max(1, -(-tokens_in // (parts * SHARD))), order)
     else:
         known = model.known
-    release(spark)
     first = words.where("kind = 2").select("chunk", F.lit(1).alias("kind"), "bucket", "blob")
     told = _dealt(chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("data").alias("blob")).unionByName(first), parts, "chunk", "kind", "bucket")
     asks = told.mapInArrow(_ask_grams(known), _ROWS)
-    served = written(_dealt(asks if build else asks.unionByName(model.shards), known.shards, "bucket", "kind", "chunk").mapInArrow(_serve_grams(known, least, discount, build, answer), _ROWS), "shards")
+    served = written(_dealt(asks if build else asks.unionByName(model.shards), known.shards, "bucket", "kind", "chunk").mapInArrow(_serve_grams(known, least, discount, build, keep, answer), _ROWS), "shards")
+    del asks, told
+    release(spark)
     if build:
         wide = {r[0]: max(1 - r[1], 1e-12) for r in served.where("kind = 3").groupBy("word").agg(F.sum("mass")).collect()}  # 4 * shards words at most
-        n = served.where("kind = 0").select(*[F.sum(F.coalesce(F.col(c)[k], F.lit(0))) for c in ("nodes", "totals") for k in range(order - 1)]).first()
-        n = [x or 0 for x in n]
+        n = [x or 0 for x in served.where("kind = 0").select(*[F.sum(F.coalesce(F.col(c)[k], F.lit(0))) for c in ("nodes", "totals") for k in range(order - 1)]).first()]
         model = Model(known, words.where("kind = 0"), served.where("kind = 0"), wide, [known.vocabulary, *n[: order - 1]], [known.total, *n[order - 1 :]])
     return model, words, served
 
@@ -774,7 +784,7 @@ def train(texts: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, disc
     """The model of all rows of a one-column frame ``text``. Null texts are their end alone; without rows it is empty."""
     steady(texts.sparkSession)
     chunks, _ = _chunks(texts.select(F.lit(0).alias("_id"), F.col(texts.columns[0]).alias("text")), "_id", "text", (), F.lit(True))
-    model, _, _ = _run(chunks, None, False, order, min_count, discount)
+    model, _, _ = _run(chunks, None, True, False, order, min_count, discount)
     forget(chunks)
     release(texts.sparkSession)
     return model
@@ -788,7 +798,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     steady(docs.sparkSession)
     chunks, kinds = _chunks(docs, id_col, text_col, carry, F.lit(False))
-    _, words, served = _run(chunks, model, True, model.known.order, 1, 0.0)
+    _, words, served = _run(chunks, model, False, True, model.known.order, 1, 0.0)
     return _scores(chunks, kinds, model, words, served)
 
 
@@ -796,8 +806,7 @@ def train_and_score(docs: DataFrame, trains: Column, id_col: str = "doc_id", tex
     """``train`` on the rows for which ``trains`` holds and ``score`` of all rows, in one pass: every n-gram travels once."""
     steady(docs.sparkSession)
     chunks, kinds = _chunks(docs, id_col, text_col, carry, trains)
-    model, words, served = _run(chunks, None, True, order, min_count, discount)
-    release(docs.sparkSession)
+    model, words, served = _run(chunks, None, False, True, order, min_count, discount)
     return _scores(chunks, kinds, model, words, served)
 
 
