@@ -71,7 +71,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     loss_mask is one boolean for each turn of ``formatted``: whether its body is under the loss.
     Turns are in order of turn, then role, then body (ties and repeated rows all stay). A null role
     is empty, null parts are none, a null turn comes first, a null conversation id is a conversation.
-    Columns other than the named ones are not read.
+    Very long texts stay whole, an empty table has no rows. Columns other than the named ones are not read.
     """
     parts = F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART_TYPE}>"))
     body, found = visit(parts)

@@ -231,7 +231,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 250, ridge:
 
 # --- labelled pages -------------------------------------------------------------------------------
 
-# Class words as pages use them, by the part they name.
+# Class words that the generator uses, by the part they name: a choice of its own.
 _MARK_WORDS = {
     "menu": "nav menu navbar navigation breadcrumb topbar links tabs pagination pager skip".split(),
     "header": "header masthead banner top site branding logo".split(),
@@ -321,6 +321,11 @@ def training_pages(count: int = 500, seed: int = 7) -> list[tuple[list[Block], l
             else:
                 body.append(noise(r.choice(("advert", "share", "sidebar", "form", "notice"))))
         tag = r.choice(("article", "article", "article", "main", "div", "section"))
+        if r.random() < 0.12:  # laid out as a table
+            side = lambda: f"<td{mark(r.choice(('menu', 'sidebar', 'advert')), 1)}>{r.choice((listing(r.randint(2, 6)), '<p>' + sentence() + '</p>'))}</td>"
+            cells = [f"<td{mark('content', 0.5)}>{''.join(body)}</td>", *[side() for _ in range(r.randint(1, 2))]]
+            r.shuffle(cells)
+            return f"<table{mark('content', 0.2)}>{r.choice(('', '<tbody>'))}<tr>{''.join(cells)}</tr></table>"
         inner = f"<{tag}{mark('content', 0.5 if tag in ('article', 'main') else 0.95)}>{''.join(body)}</{tag}>"
         return f"<main{mark('content', 0.3)}>{inner}</main>" if r.random() < 0.3 and tag != "main" else inner
 
@@ -363,7 +368,8 @@ def _extractor(carried, id_name: str, url_name: str):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", field: Field | None = None) -> DataFrame:
     """One row per page row: id, url, text (content blocks joined by blank lines; empty if none), n_chars.
 
-    A null page is empty; repeated rows each get their row; columns other than the three named are not read.
+    A null page is empty; repeated rows each get their row; very long and deeply nested pages are read whole; an
+    empty table has no rows; columns other than the three named are not read, whatever their names.
     """
     picked = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).cast("string").alias("html"))
     id_name, url_name = picked.columns[:2]

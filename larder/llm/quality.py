@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent function words of the four languages.
+#: Frequent function words of the four languages, a choice of the rule table's.
 STOP_WORDS = {
     "en": "the of and to in is that for a it with as was on are be this by an or from at not have".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o".split(),
@@ -68,8 +68,6 @@ def repeat_words(words: Column, window: int = 5) -> Column:
     each adding what the one before it does not cover.
     """
     size = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(0), size - window), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)]))
-
     def covered(hashed: Column) -> Column:
         order = F.array_sort(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
@@ -80,7 +78,10 @@ def repeat_words(words: Column, window: int = 5) -> Column:
         places = _let(order, twins)
         return _let(places, lambda p: F.aggregate(F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.lit(window), F.coalesce(b - a, F.lit(window)))), F.lit(0), lambda s, x: s + x))
 
-    counted = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    def hashes(h: Column) -> Column:  # from the words' own hashes, which are taken once
+        return F.transform(F.sequence(F.lit(0), size - window), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
+
+    counted = _let(_let(F.transform(words, lambda x: F.xxhash64(x)), hashes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
     return F.when(size < window + 1, F.lit(0)).otherwise(counted).cast("long")
 
 
@@ -95,7 +96,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id_name = d.columns[0]
     d = d.select(id_name, "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE}]")).alias("_l"))
     w, ln = F.col("_w"), F.col("_l")
-    stops = F.array(*[F.lit(x) for x in sorted({x for v in STOP_WORDS.values() for x in v})])
+    stops = sorted({x for v in STOP_WORDS.values() for x in v})
     text = F.col("_t")
     return d.select(
         id_name,
@@ -105,7 +106,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size(ln) - F.size(F.array_distinct(ln))).cast("long").alias("n_dup_lines"),
         repeat_words(w).alias("n_repeat_words"),
         F.size(ln).cast("long").alias("n_lines"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted({x for v in STOP_WORDS.values() for x in v})))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(*stops))).cast("long").alias("n_stop_words"),
         F.size(F.filter(ln, lambda x: x.rlike(f"^[{SPACE}]*[-*•‣▪][{SPACE}]"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter(ln, lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))).cast("long").alias("n_ellipsis_lines"),
         F.size(F.filter(w, lambda x: x.rlike("\\p{L}"))).cast("long").alias("n_alpha_words"),
@@ -115,8 +116,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measures, base_failed, broken (names of the rules a document breaks, in table order) and kept.
 
-    Null and empty texts have no words and fail the base rules; repeated rows each get their row;
-    columns other than the two named are not read.
+    Null and empty texts have no words and fail the base rules; repeated rows each get their row; very long texts
+    are measured whole; an empty table has no rows; columns other than the two named are not read.
     """
     m = measure(docs, id_col, text_col)
     m = m.select(

@@ -199,6 +199,48 @@ def _lists(todo: DataFrame) -> DataFrame:
     return todo.groupBy("doc", "mark").agg(F.collect_list(F.struct("a", "p0", "p1")).alias("todo"))
 
 
+def _positions(step: int):
+    """Every position of the texts with the name of the ``step`` bytes from there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, size=BLOCK):
+            for row, shift, pieces in _pieces(texts, step):
+                raw, bounds = _layout(pieces)
+                start = np.arange(max(len(raw) - step + 1, 0))
+                doc = np.searchsorted(bounds, start, side="right") - 1
+                start, doc = start[start + step <= bounds[doc + 1]], doc[start + step <= bounds[doc + 1]]
+                idx = pa.array(row[doc])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").take(idx), batch.column("mark").take(idx), batch.column("times").take(idx), pa.array((start - bounds[doc] + shift[doc]).astype(np.int32)), _signed(Prints(raw).of(start, step))], ["doc", "mark", "times", "pos", "rank"])
+
+    return run
+
+
+def repeated_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, rounds: int = 4) -> DataFrame:
+    """Where strings of ``length`` bytes begin that also begin elsewhere: doc, mark, pos; by prefix doubling over every position.
+
+    The first ranks name length / 2^rounds bytes. In each round the pairs of ranks at a position and at the
+    offset are sorted into classes, classes of one position are dropped, and the others numbered anew.
+    A row a byte is shuffled several times, so this is for tables that are small against the cluster; ``remove_repeats``
+    finds the same by far fewer rows.
+    """
+    step = length >> rounds
+    if step << rounds != length:
+        raise ValueError("length must be a multiple of 2^rounds")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select(document(docs, id_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text")).groupBy("doc", "mark", "text").agg(F.count(F.lit(1)).alias("times"))
+    live = written(keyed.mapInArrow(_positions(step), "doc long, mark long, times long, pos int, rank long"), "ranks")
+    while step < length:
+        at = live.select("doc", "mark", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        pairs = written(live.join(at, ["doc", "mark", "pos"]), "pairs")
+        classes = written(pairs.groupBy("rank", "next").agg(F.sum("times").alias("n")).where("n > 1").select("rank", "next", F.monotonically_increasing_id().alias("again")), "classes")
+        ranked = written(pairs.join(classes, ["rank", "next"]).select("doc", "mark", "times", "pos", F.col("again").alias("rank")), "ranks")
+        for done in (live, pairs, classes):
+            forget(done)
+        release(docs.sparkSession)
+        live, step = ranked, 2 * step
+    return live.select("doc", "mark", "pos")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, unit: int = UNIT) -> DataFrame:
     """One row per document row: id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (remaining bytes).
 

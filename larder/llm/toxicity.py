@@ -32,7 +32,7 @@ MAX_WORDS = 256
 RIDGE = 0.005
 #: Beginnings of words of these lengths (bytes) are features beside the words, so that inflected forms count together.
 STEMS = (4, 5, 6)
-#: Words that tell the categories of a toxic document apart. They label categories of the training rows; the models decide from the words they find.
+#: Words that tell the categories of a toxic document apart, a choice of ours as no table labels them. They label categories of the training rows; the models decide from the words they find.
 CATEGORY_WORDS = {
     "insult": ("idiot", "moron", "loser", "clown", "fool", "jerk"),
     "contempt": ("stupid", "pathetic", "worthless", "dumb", "useless", "ridiculous"),

@@ -178,6 +178,18 @@ def test_html_pages(spark):
         assert r["text"] == "\n\n".join(b.text for b in html.leaf_blocks(inner)) and r["n_chars"] == len(r["text"])
 
 
+def test_html_tables_depth_and_length(spark):
+    cells = "<html><body><table><tr><td class='menu'><ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul></td><td>{}</td></tr></table></body></html>"
+    prose = [f"Paragraph {i} of the article goes on for a while, with enough words to be one." for i in range(4)]
+    deep = "<div>" * 3000 + "".join(f"<p>{x}</p>" for x in prose) + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>{x}</p>" for x in prose * 5000) + "</article>"
+    rows = [(0, cells.format("".join(f"<p>{x}</p>" for x in prose))), (1, f"<article>{deep}</article>"), (2, long)]
+    df = spark.createDataFrame([(i, "u", h, "x", "x") for i, h in rows], "page_id long, url string, html string, text string, n_chars string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert got == {0: "\n\n".join(prose), 1: "\n\n".join(prose), 2: "\n\n".join(prose * 5000)}
+    assert html.extract(df.where("false")).count() == 0
+
+
 def test_html_nulls_and_clutter(spark):
     clutter = "<nav><a href=x>home</a></nav><div class='cookie notice'>We use cookies.</div><article><h1>Title words</h1><p>First paragraph of the text, long enough.</p><p>Second one.</p></article><section id=comments><div class=comment><p>Nice post!</p></div></section><form><label>Name</label><input></form><footer>© us</footer>"
     df = spark.createDataFrame([(1, None, None), (2, "u", clutter), (2, "u", clutter)], "page_id long, url string, html string")
@@ -517,5 +529,16 @@ def test_substrings_in_pieces_and_by_shuffle(odd, odd_frame, monkeypatch):
     same(substring.remove_repeats(odd_frame).select(*cols), brute.substrings(odd))
 
 
+def test_doubling_over_every_position(odd, odd_frame, none):
+    starts = substring.repeated_positions(odd_frame.where("doc_id < 60"), length=48, rounds=4).select("doc", "pos").collect()
+    rows = [(i, (t or "").encode()) for i, t in odd if i < 60]
+    at = defaultdict(list)
+    for i, t in rows:
+        for j in range(len(t) - 47):
+            at[t[j : j + 48]].append((i, j))
+    assert sorted({tuple(r) for r in starts}) == sorted({x for own in at.values() if len(own) > 1 for x in own})
+    assert substring.repeated_positions(none).count() == 0
+
+
 def test_substring_query(spark):
     same(queries.op10_substring_dedup(spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.substrings(texts(spark)))
