@@ -20,12 +20,13 @@ from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
-from . import codec
+from . import codec, retry
 
 INDEX_DDL = "container string, ordinal int, name string, data_offset long, data_length long, meta_offset long, meta_length long, flags long"
 _TYPES = [("container", pa.string()), ("ordinal", pa.int32()), ("name", pa.string()), ("data_offset", pa.int64()), ("data_length", pa.int64()), ("meta_offset", pa.int64()), ("meta_length", pa.int64()), ("flags", pa.int64())]
@@ -45,9 +46,18 @@ def containers_under(path: str, day: str | None = None) -> list[tuple[str, int]]
         return [(at, info.size)]
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = fs.get_file_info(pafs.FileSelector(at, recursive=True))
-    keep = [(f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.endswith(".des") and "/." not in f.path[len(at) :]]
-    return sorted(x for x in keep if day is None or f"/{day}/" in x[0])
+    if day is None:
+        found = fs.get_file_info(pafs.FileSelector(at, recursive=True))
+    else:  # only the day's folders are listed: the store's and those of its stream batches
+        folders = [f"{folder}/{day}" for folder in batches_of(fs, at)]
+        found = [f for folder in folders for f in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True, recursive=True))]
+    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.endswith(".des") and "/." not in f.path[len(at) :])
+
+
+def batches_of(fs: pafs.FileSystem, root: str) -> list[str]:
+    """The folders that may hold a day's folders: those of stream batches, newest first, and the store itself."""
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return [*sorted((f.path for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("batch-")), reverse=True), root]
 
 
 def read_directory(f, size: int) -> tuple[codec.Footer, list[codec.Entry]]:
@@ -245,8 +255,7 @@ class ArchiveWriter(DataSourceWriter):
         temporary = set()
         for m in messages:
             for part, final in m.moves if m else ():
-                fs.create_dir(os.path.dirname(final), recursive=True)
-                fs.move(part, final)
+                retry.call(partial(_move, fs, part, final))
                 temporary.add(root + "/" + part[len(root) + 1 :].split("/")[0])
         for t in temporary:
             fs.delete_dir(t)
@@ -258,6 +267,14 @@ class ArchiveWriter(DataSourceWriter):
                 fs.delete_dir(t)
 
 
+def _move(fs: pafs.FileSystem, part: str, final: str) -> None:
+    """A rename that may be repeated: where only the target is left, an earlier attempt has done it."""
+    if fs.get_file_info(part).type == pafs.FileType.NotFound and fs.get_file_info(final).type == pafs.FileType.File:
+        return
+    fs.create_dir(os.path.dirname(final), recursive=True)
+    fs.move(part, final)
+
+
 class ArchiveSource(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 from itertools import groupby
 
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions import scalars as S
-from .archive import INDEX_DDL, ArchiveReader, containers_under, directories, file_system, prepare, register
+from . import retry
+from .archive import INDEX_DDL, ArchiveReader, batches_of, containers_under, directories, file_system, prepare, register
 from .codec import EXTERNAL
 
 
@@ -36,12 +38,6 @@ def day_archives(path: str, day: str) -> list[str]:
     return [p for p, _ in containers_under(path, day)]
 
 
-def _batches_of(fs: pafs.FileSystem, root: str) -> list[str]:
-    """The folders that may hold a day's folders: those of stream batches, newest first, and the store itself."""
-    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    return [*sorted((f.path for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("batch-")), reverse=True), root]
-
-
 def lookup(spark: SparkSession, names: DataFrame, path: str, bits: int, payload: bool = True, spread: int = 4, gap: int = 1 << 20) -> DataFrame:
     """Named members with a status: 400 without a day in the name, 404 where nothing is found, 200.
 
@@ -56,7 +52,7 @@ def lookup(spark: SparkSession, names: DataFrame, path: str, bits: int, payload:
 
     def run(batches):
         fs, root = file_system(path)
-        folders = _batches_of(fs, root)
+        folders = batches_of(fs, root)
         reader = ArchiveReader({"path": path, "payload": str(payload), "maxGap": gap})
         seen: tuple[str, list] = ("", [])
 
@@ -102,6 +98,11 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("key"), F.col("length").alias("size"), "modificationTime")
 
 
+def _read(fs: pafs.FileSystem, path: str) -> bytes:
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
 def with_objects(rows: DataFrame, spark: SparkSession, folder: str, key: str = "s3_key") -> DataFrame:
     """Rows with the bytes (``data``) of the objects their keys name; rows without an object are left out. Only those objects are opened, in tasks."""
     names = rows.columns
@@ -113,9 +114,8 @@ def with_objects(rows: DataFrame, spark: SparkSession, folder: str, key: str = "
                 part, data, keep = batch.slice(at, 64), [], []
                 for k in part.column(key).to_pylist():
                     try:
-                        with fs.open_input_file(f"{root}/{k}") as f:
-                            data.append(f.read())
-                            keep.append(True)
+                        data.append(retry.call(partial(_read, fs, f"{root}/{k}")))
+                        keep.append(True)
                     except (FileNotFoundError, IsADirectoryError):
                         data.append(None)
                         keep.append(False)
