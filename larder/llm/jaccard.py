@@ -8,9 +8,9 @@ frequent tokens are indexed as pairs within bins. Whatever shares an index key i
 whole sets, first against one member of its group, then, for groups whose members are not yet in one
 component, against another; last, such groups are cut into units of bounded size, in which members of
 lighter components are compared with members of heavier ones by parity bitmaps, which can only rule
-pairs out: first each with the nearest one, then, as whole sets, all that have a partner left. So groups of near copies
-cost a row a member and unit, pairs are never laid out as rows, and no link between different
-components is left unseen.
+pairs out: first each with the nearest one; then finer bitmaps and last the whole sets go to the members
+that have a partner left. So groups of near copies cost a row a member and unit, pairs are never laid
+out as rows, and no link between different components is left unseen.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ BROADCAST_ROWS = 300_000
 STAR_ROUNDS = 1
 #: Queries and targets of a unit of that search, and their tokens, about.
 UNIT_ROWS, UNIT_TOKENS = 2048, 1 << 20
+#: Bits a token of the bitmaps that all members get, and of those for members that still have a partner.
+COARSE, FINE = 2, 8
 _FLUSH = 1_000_000
 #: Index entries of a bucket that are looked at together, and pairs.
 _PASS, _PAIRS = 500_000, 200_000
@@ -384,16 +386,20 @@ def similar(n, m, other_n, other_m, percent: int):
 _UNIT = "gid long, qb int, tb int, k binary, n long, m long, label long, weight long, query boolean, target boolean"
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parity bitmaps of sets, a power of two of at least twice as many bits as tokens: the bits in which two differ are no more than the tokens that only one set has."""
-    for batch in batches:
-        out = []
-        for raw in batch.column("tokens").to_pylist():
-            s = np.frombuffer(raw, np.uint64)
-            size = 1 << max(6, (len(s) - 1).bit_length() + 1)
-            odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-            out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "bits"])
+def _bitmaps(times: int):
+    """Parity bitmaps of sets, a power of two of at least ``times`` as many bits as tokens: the bits in which two differ are no more than the tokens that only one set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in batch.column("tokens").to_pylist():
+                s = np.frombuffer(raw, np.uint64)
+                size = 1 << max(6, (times * len(s) - 1).bit_length())
+                odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+                out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "bits"])
+
+    return run
 
 
 def _units(groups: DataFrame, info: DataFrame) -> DataFrame:
@@ -629,7 +635,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         new = groups.where((F.col("label") != F.col("hub.label")) & similar(F.col("n"), F.col("m"), F.col("hub.n"), F.col("hub.m"), percent)).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
         labels = joined(linked(new.distinct()))
 
-    bits = written(sets.mapInArrow(_bitmaps, "k binary, bits binary"), "bitmaps")
+    bits = written(sets.mapInArrow(_bitmaps(COARSE), "k binary, bits binary"), "bitmaps")
 
     def units() -> DataFrame:
         # Here a component is told by a 64-bit hash of its name.
@@ -643,6 +649,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     groups = _mixed(groups, labels)
     active = written(units().mapInArrow(_plausible(percent), _UNIT), "active")
     release(spark)
+    fine = written(sets.join(active.select("k").distinct(), "k", "left_semi").mapInArrow(_bitmaps(FINE), "k binary, bits binary"), "bitmaps")
+    active = written(_by_unit(active.join(fine, "k"), buckets).mapInArrow(_plausible(percent), _UNIT), "active")
+    release(spark)
     labels = joined(written(_by_unit(active.join(sets, "k"), buckets).mapInArrow(_search(percent), "a binary, b binary"), "links"))
 
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))

@@ -388,7 +388,7 @@ def test_bitmaps_only_rule_out():
         y = np.unique(np.concatenate([x[: int(n * 0.9)], r.integers(0, 1 << 63, n // 5).astype(np.uint64)]))
         x = np.unique(x)
         batch = pa.RecordBatch.from_pydict({"k": [b"x", b"y"], "tokens": [x.tobytes(), y.tobytes()]})
-        a, b = (np.frombuffer(v, np.uint8)[None] for v in next(iter(jaccard._bitmaps([batch]))).column("bits").to_pylist())
+        a, b = (np.frombuffer(v, np.uint8)[None] for v in next(iter(jaccard._bitmaps(2)([batch]))).column("bits").to_pylist())
         size = min(a.shape[1], b.shape[1])
         differ = np.bitwise_count(jaccard._folded(a, size) ^ jaccard._folded(b, size)).sum()
         assert differ <= len(np.setxor1d(x, y))
