@@ -196,8 +196,11 @@ def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         back = np.empty(n, np.int64)
         back[order] = np.cumsum(new) - 1
         return high[new].astype(np.int64), low[new].astype(np.int64), back
-    one = (high.astype(_U64) << _U64(low_bits)) | low.astype(_U64)
-    one = (one << _U64(place_bits)) | np.arange(n, dtype=_U64)
+    one = high.astype(_U64)
+    one <<= _U64(low_bits)
+    one |= low.astype(_U64)
+    one <<= _U64(place_bits)
+    one |= np.arange(n, dtype=_U64)
     one.sort()
     pair = one >> _U64(place_bits)
     new = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -228,68 +231,6 @@ def restore(q: np.ndarray) -> np.ndarray:
     return _RESTORED[q]
 
 
-def squeeze(parts: dict[str, np.ndarray]) -> bytes:
-    """Packed and compressed, the bytes of each array by their place in its numbers."""
-    planes = {f"{k}|{v.dtype.str}": np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T.ravel() for k, v in parts.items()}
-    return zstandard.ZstdCompressor(level=1).compress(pack(planes))
-
-
-def expand(raw: bytes) -> dict[str, np.ndarray]:
-    out = {}
-    for name, v in unpack(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)).items():
-        k, kind = name.split("|", 1)
-        kind = np.dtype(kind)
-        out[k] = np.ascontiguousarray(v.reshape(kind.itemsize, -1).T).view(kind).ravel()
-    return out
-
-
-def _small(a: np.ndarray) -> np.ndarray:
-    """In the smallest unsigned type that holds the values."""
-    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
-
-
-def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs of numbers that are not negative, and for each pair given its place among them. Pairs and places are sorted as one number where they fit."""
-    n = len(high)
-    if not n:
-        return high.astype(np.int64), low.astype(np.int64), np.zeros(0, np.int64)
-    low_bits, place_bits = int(low.max()).bit_length(), n.bit_length()
-    if int(high.max()).bit_length() + low_bits + place_bits > 64:
-        order = np.lexsort((low, high))
-        high, low = high[order], low[order]
-        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-        back = np.empty(n, np.int64)
-        back[order] = np.cumsum(new) - 1
-        return high[new].astype(np.int64), low[new].astype(np.int64), back
-    one = (high.astype(_U64) << _U64(low_bits)) | low.astype(_U64)
-    one = (one << _U64(place_bits)) | np.arange(n, dtype=_U64)
-    one.sort()
-    pair = one >> _U64(place_bits)
-    new = np.concatenate([[True], pair[1:] != pair[:-1]])
-    back = np.empty(n, np.int64)
-    back[(one & _U64((1 << place_bits) - 1)).astype(np.int64)] = np.cumsum(new) - 1
-    pair = pair[new]
-    return (pair >> _U64(low_bits)).astype(np.int64), (pair & _U64((1 << low_bits) - 1)).astype(np.int64), back
-
-
-def _under(parts: dict[str, np.ndarray], name: str) -> dict[str, np.ndarray]:
-    return {k.split(".", 1)[1]: v for k, v in parts.items() if k.startswith(f"{name}.")}
-
-
-def _named(name: str, parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    return {f"{name}.{k}": v for k, v in parts.items()}
-
-
-def quantise(share: np.ndarray) -> np.ndarray:
-    """Shares as steps of their logarithm; 0 as NONE."""
-    with np.errstate(divide="ignore"):
-        return np.where(share > 0, np.clip(np.rint(-np.log10(share) * _STEP), 0, int(NONE) - 1), int(NONE)).astype(np.uint16)
-
-
-def restore(q: np.ndarray) -> np.ndarray:
-    return np.where(q == NONE, 0.0, 10.0 ** (q.astype(np.float64) / -_STEP))
-
-
 class Children:
     """A level above the first: pointers of the parents, their children, the children's shares and the parents' mass for lower orders."""
 
@@ -654,7 +595,11 @@ def _serve_grams(known: Known, least: int, discount: float, build: bool, keep: b
             chunks = [r["chunk"] for r in rows if r["kind"] == 1]
             if not chunks:
                 continue
-            asked = Asked([expand(r["blob"]) for r in rows if r["kind"] == 1], known.order)
+            given = [r["blob"] for r in rows if r["kind"] == 0]
+            asks = [r["blob"] for r in rows if r["kind"] == 1]
+            rows.clear()
+            asked = Asked([expand(x) for x in asks], known.order)
+            del asks
             if build:
                 parts, nodes, sums, mass = asked.grow(least, discount)
                 yield _rows(0, [shard], [None], [squeeze(parts) if keep else None], nodes, sums)
@@ -663,8 +608,7 @@ def _serve_grams(known: Known, least: int, discount: float, build: bool, keep: b
                     n = int(wide.sum())
                     yield _rows(3, [shard] * n, [None] * n, [None] * n, None, None, asked.words[asked.root[wide]].tolist(), mass[wide].tolist())
             else:
-                given = [r for r in rows if r["kind"] == 0]
-                parts = expand(given[0]["blob"]) if given else None
+                parts = expand(given[0]) if given else None
             if answer:
                 none = lambda: ({f"g{k}": np.full(asked.sizes[k][i], NONE) for k in range(known.order - 1)} | {f"a{k}": np.full(asked.sizes[k + 1][i], NONE) for k in range(known.order - 1)} for i in range(len(chunks)))  # noqa: B023, E731
                 for chunk, got in zip(chunks, asked.answers(mapped(parts)) if parts else none(), strict=True):
@@ -777,6 +721,7 @@ def _scores(chunks: DataFrame, kinds: str, model: Model, words: DataFrame, serve
     answers = words.where("kind = 2").withColumn("kind", F.lit(1)).unionByName(served.where("kind = 2"))
     rows = state.unionByName(answers.select("chunk", "kind", "bucket", "blob", F.lit(None).cast("binary").alias("head")))
     wide = spark.sparkContext.broadcast(model.wide)  # 4 * shards words at most
+    release(spark)  # now that later queries have run, the shuffles of the asks go
     return _dealt(rows, shuffle_parts(spark), "chunk", "kind", "bucket").mapInArrow(_finish(model.known, wide, names), f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

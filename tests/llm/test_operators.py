@@ -73,6 +73,20 @@ def test_elias_fano(values, probe):
     assert (found == np.isin(x, v)).all() and (at[found] == want[found]).all()
 
 
+@pytest.mark.parametrize("top", [5, 1 << 20, 1 << 40])
+def test_distinct_pairs(top):
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, top, 400), r.integers(0, 7, 400)
+    a[200:], b[200:] = a[:200], b[:200]
+    high, low, back = lm.distinct(a, b)
+    assert sorted(set(zip(a.tolist(), b.tolist(), strict=True))) == list(zip(high.tolist(), low.tolist(), strict=True))
+    assert (high[back] == a).all() and (low[back] == b).all()
+    wide = lm.distinct(a << 20, b.astype(np.int64) << 30)
+    assert (wide[0] >> 20 == high).all() and (wide[1] >> 30 == low).all() and (wide[2] == back).all()
+    x = {"a": a, "b": b.astype(np.uint8), "c": np.zeros(0, np.uint32)}
+    assert all((v == x[k]).all() and v.dtype == x[k].dtype for k, v in lm.expand(lm.squeeze(x)).items())
+
+
 def test_scores_equal_a_plain_model(spark):
     docs = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
     got = {r["doc_id"]: r for r in queries.op2_lm_score(spark, SF).collect()}
