@@ -8,8 +8,9 @@ frequent tokens are indexed as pairs within bins. Whatever shares an index key i
 whole sets, first against one member of its group, then, for groups whose members are not yet in one
 component, against another; last, such groups are cut into units of bounded size, in which members of
 lighter components are compared with members of heavier ones by parity bitmaps, which can only rule
-pairs out: first each with the nearest one; then finer bitmaps and last the whole sets go to the members
-that have a partner left. So groups of near copies cost a row a member and unit, pairs are never laid
+pairs out: first each with the nearest one. What the bitmaps still allow is regrouped by pairs of
+components, so that a member comes once for each of them, and compared by finer bitmaps and last as whole
+sets. So groups of near copies cost a row a member and unit, pairs are never laid
 out as rows, and no link between different components is left unseen.
 """
 
@@ -383,7 +384,9 @@ def similar(n, m, other_n, other_m, percent: int):
     return (F.lit(100) * F.least(n, other_n) >= F.lit(percent) * F.greatest(n, other_n)) & (F.lit(100 + percent) * F.least(m, other_m) >= F.lit(percent) * (n + other_n))
 
 
-_UNIT = "gid long, qb int, tb int, k binary, n long, m long, label long, weight long, query boolean, target boolean"
+#: More shared tokens than any set has: no bound.
+_WHOLE = 1 << 40
+_GROUP = "gid long, k binary, n long, m long"
 
 
 def _bitmaps(times: int):
@@ -532,15 +535,32 @@ def _nearest(percent: int):
 
 
 def _plausible(percent: int):
-    """Rows of units with a partner that the bitmaps allow."""
+    """Members with a partner that the bitmaps allow, in a new group for the two components: whatever groups the pair was found in, a member comes once for each other component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, start in _whole_units(batches):
-            active = np.zeros(batch.num_rows, bool)
+            label, n = batch.column("label").to_numpy(), batch.column("n").to_numpy()
+            raw = np.frombuffer(b"".join(batch.column("k").to_pylist()), ">u8").reshape(-1, 2)
+            _, same = np.unique(raw, axis=0, return_inverse=True)  # a member of several units is one
+            first = np.zeros(int(same.max()) + 1 if len(same) else 0, np.int64)
+            first[same[::-1]] = np.arange(len(same))[::-1]
+            found: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j, _ in _compared(batch, start, percent):
-                active[i] = True
-                active[j] = True
-            yield batch.filter(pa.array(active)).select(_UNIT.replace(",", "").split()[::2])
+                with np.errstate(over="ignore"):
+                    pair = mix64(label[i].view(np.uint64)) * np.uint64(3) + mix64(label[j].view(np.uint64))  # the lighter one first
+                gid = mix64(pair).view(np.int64)
+                found.append(distinct(np.concatenate([gid, gid]), np.concatenate([first[same[i]], first[same[j]]])))
+            if found:
+                gid, row = distinct(*[np.concatenate(x) for x in zip(*found, strict=True)])
+                own = n[row]
+                yield pa.RecordBatch.from_arrays([pa.array(gid), batch.column("k").take(pa.array(row)), pa.array(own), pa.array(np.full(len(row), _WHOLE))], ["gid", "k", "n", "m"])
+
+    def distinct(gid: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((row, gid))
+        gid, row = gid[order], row[order]
+        new = np.ones(len(gid), bool)
+        new[1:] = (gid[1:] != gid[:-1]) | (row[1:] != row[:-1])
+        return gid[new], row[new]
 
     return run
 
@@ -637,22 +657,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
     bits = written(sets.mapInArrow(_bitmaps(COARSE), "k binary, bits binary"), "bitmaps")
 
-    def units() -> DataFrame:
+    def units(bits: DataFrame) -> DataFrame:
         # Here a component is told by a 64-bit hash of its name.
         weights = labels.groupBy("label").agg((F.count(F.lit(1)) + 1).alias("weight"))
         info = bits.join(labels.join(weights, "label"), "k", "left").select("k", F.xxhash64(F.coalesce("label", "k")).alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"), "bits")
-        return _by_unit(_units(groups.select("gid", "k", "n", "m"), written(info, "info")), buckets)
+        return _units(groups.select("gid", "k", "n", "m"), written(info, "info"))
+
+    def paired(bits: DataFrame) -> DataFrame:
+        out = written(_by_unit(units(bits), buckets).mapInArrow(_plausible(percent), _GROUP).dropDuplicates(["gid", "k"]), "paired")
+        release(spark)
+        return out
 
     groups = _mixed(groups, labels)
-    near = units().mapInArrow(_nearest(percent), "a binary, b binary")
+    near = _by_unit(units(bits), buckets).mapInArrow(_nearest(percent), "a binary, b binary")
     labels = joined(linked(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
     groups = _mixed(groups, labels)
-    active = written(units().mapInArrow(_plausible(percent), _UNIT), "active")
-    release(spark)
-    fine = written(sets.join(active.select("k").distinct(), "k", "left_semi").mapInArrow(_bitmaps(FINE), "k binary, bits binary"), "bitmaps")
-    active = written(_by_unit(active.join(fine, "k"), buckets).mapInArrow(_plausible(percent), _UNIT), "active")
-    release(spark)
-    labels = joined(written(_by_unit(active.join(sets, "k"), buckets).mapInArrow(_search(percent), "a binary, b binary"), "links"))
+    groups = paired(bits)
+    fine = written(sets.join(groups.select("k").distinct(), "k", "left_semi").mapInArrow(_bitmaps(FINE), "k binary, bits binary"), "bitmaps")
+    groups = paired(fine)
+    left = units(fine).drop("bits").join(sets, "k")
+    labels = joined(written(_by_unit(left, buckets).mapInArrow(_search(percent), "a binary, b binary"), "links"))
 
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))
     firsts = written(placed.where("n > 0").groupBy("label").agg(F.min("doc").alias("first")), "firsts")  # a table, so that a hot label can be split
