@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -54,6 +56,12 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give what a worker has freed back to the system, where its C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steady(spark: SparkSession) -> None:
     """Unions of differently adapted inputs are to be planned without zipping their partitions, which fails when their numbers differ."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")

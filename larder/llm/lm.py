@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, forget, mix64, release, shuffle_parts, steady, written
+from .common import blocks, crc_mod, forget, mix64, release, shuffle_parts, steady, trim, written
 from .prints import word_prints
 
 ORDER = 3
@@ -166,7 +166,7 @@ def unpack(raw: np.ndarray) -> dict[str, np.ndarray]:
 def squeeze(parts: dict[str, np.ndarray]) -> bytes:
     """Packed and compressed, the bytes of each array by their place in its numbers."""
     planes = {f"{k}|{v.dtype.str}": np.ascontiguousarray(v).view(np.uint8).reshape(-1, v.itemsize).T.ravel() for k, v in parts.items()}
-    return zstandard.ZstdCompressor(level=1).compress(pack(planes))
+    return zstandard.ZstdCompressor(level=3).compress(pack(planes))
 
 
 def expand(raw: bytes) -> dict[str, np.ndarray]:
@@ -331,6 +331,7 @@ def _chunked(names: list[str]):
             if got >= CHUNK:
                 yield chunk(parts)
                 parts, got = [], 0
+                trim()
         if parts:
             yield chunk(parts)
 
@@ -529,6 +530,8 @@ def _ask_grams(known: Known):
             ids, counts = _words_of(x, rows[1:], known)
             for shard, blob in Grams(x, ids, counts, known).asks(ids, counts):
                 yield _rows(1, [shard], [chunk], [blob])
+            del x, ids, counts, rows
+            trim()
 
     return run
 
@@ -613,6 +616,8 @@ def _serve_grams(known: Known, least: int, discount: float, build: bool, keep: b
                 none = lambda: ({f"g{k}": np.full(asked.sizes[k][i], NONE) for k in range(known.order - 1)} | {f"a{k}": np.full(asked.sizes[k + 1][i], NONE) for k in range(known.order - 1)} for i in range(len(chunks)))  # noqa: B023, E731
                 for chunk, got in zip(chunks, asked.answers(mapped(parts)) if parts else none(), strict=True):
                     yield _rows(2, [shard], [chunk], [squeeze(got)])
+            del asked, parts
+            trim()
 
     return run
 
@@ -628,6 +633,7 @@ def _finish(known: Known, wide, names: list[str]):
             ids, counts = _words_of(x, [r for r in rows if r["kind"] == 1], known)
             grams = Grams(x, ids, counts, known)
             got = [expand(r["blob"]) for r in rows if r["kind"] == 2]
+            rows.clear()
             of = lambda name: np.concatenate([g[name] for g in got] or [np.zeros(0, np.uint16)])  # noqa: E731, B023
             codes, size = x["codes"].astype(np.int64), x["size"].astype(np.int64)
             prob = ((counts + 0.5) / (known.total + 0.5 * (known.vocabulary + 1)))[codes]
@@ -656,6 +662,8 @@ def _finish(known: Known, wide, names: list[str]):
             n_known = np.add.reduceat(some.astype(np.int64), start)
             cols = [head.column(c).combine_chunks() if head.num_rows else head.column(c) for c in names]
             cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+            del grams, got, x, p, prob, codes
+            trim()
             yield pa.RecordBatch.from_arrays([*cols, pa.array(size), pa.array(n_known), pa.array(np.full(len(size), known.total, np.int64)), pa.array(base), pa.array(score)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
