@@ -38,6 +38,8 @@ DISCOUNT = 0.75
 FOLDS, HELD_OUT = 5, 1
 #: Tokens of a chunk, and of a shard, about.
 CHUNK, SHARD = 1_500_000, 3_000_000
+#: N-grams of a shard that are sorted, laid out or looked up together; their temporary arrays are several times as large.
+_BLOCK = 1 << 19
 #: Quantised log10 values are steps of 2^-12 below zero; NONE stands for no probability at all.
 _STEP = 4096.0
 NONE = np.uint16(65535)
@@ -54,20 +56,21 @@ def _bits_of(n: int, universe: int) -> int:
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """A monotone sequence below ``universe``: low bits packed, high bits in unary, ones counted by word."""
     n, low_bits = len(values), _bits_of(len(values), universe)
-    v = values.astype(_U64)
-    i = np.arange(n, dtype=_U64)
     low = np.zeros(n * low_bits // 64 + 2, _U64)
-    if low_bits and n:
-        part = v & ((_U64(1) << _U64(low_bits)) - _U64(1))
-        at = i * _U64(low_bits)
-        word, shift = (at >> _U64(6)).astype(np.int64), at & _U64(63)
-        np.bitwise_or.at(low, word, part << shift)
-        over = shift + _U64(low_bits) > 64
-        np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U64(64) - shift[over]))
     size = n + ((universe - 1) >> low_bits if universe else 0) + 2
     high = np.zeros(size // 64 + 1, _U64)
-    one = (v >> _U64(low_bits)) + i
-    np.bitwise_or.at(high, (one >> _U64(6)).astype(np.int64), _U64(1) << (one & _U64(63)))
+    for begin in range(0, n, _BLOCK):
+        v = values[begin : begin + _BLOCK].astype(_U64)
+        i = np.arange(begin, begin + len(v), dtype=_U64)
+        if low_bits:
+            part = v & ((_U64(1) << _U64(low_bits)) - _U64(1))
+            at = i * _U64(low_bits)
+            word, shift = (at >> _U64(6)).astype(np.int64), at & _U64(63)
+            np.bitwise_or.at(low, word, part << shift)
+            over = shift + _U64(low_bits) > 64
+            np.bitwise_or.at(low, word[over] + 1, part[over] >> (_U64(64) - shift[over]))
+        one = (v >> _U64(low_bits)) + i
+        np.bitwise_or.at(high, (one >> _U64(6)).astype(np.int64), _U64(1) << (one & _U64(63)))
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
     return {"meta": np.array([n, low_bits], np.int64), "low": low, "high": high, "ones": ones.astype(np.uint32 if n < 1 << 32 else np.uint64)}
 
@@ -144,17 +147,21 @@ class EliasFano:
 # --- segments, written as bytes and mapped ------------------------------------------------------
 
 
-def pack(parts: dict[str, np.ndarray]) -> bytes:
-    head, body, at = {}, [], 0
+def _pieces(parts: dict[str, np.ndarray]) -> Iterator[bytes]:
+    head, at = {}, 0
     for k, a in parts.items():
-        raw = np.ascontiguousarray(a).tobytes()
         head[k] = [a.dtype.str, at, len(a)]
-        raw += b"\0" * (-len(raw) % 8)
-        body.append(raw)
-        at += len(raw)
+        at += -(-a.nbytes // 8) * 8
     h = json.dumps(head).encode()
     h += b" " * (-len(h) % 8)
-    return len(h).to_bytes(8, "little") + h + b"".join(body)
+    yield len(h).to_bytes(8, "little") + h
+    for a in parts.values():
+        yield np.ascontiguousarray(a).tobytes()
+        yield b"\0" * (-a.nbytes % 8)
+
+
+def pack(parts: dict[str, np.ndarray]) -> bytes:
+    return b"".join(_pieces(parts))
 
 
 def unpack(raw: np.ndarray) -> dict[str, np.ndarray]:
@@ -187,7 +194,7 @@ def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Sorted distinct pairs of numbers that are not negative, and for each pair given its place among them. Pairs and places are sorted as one number where they fit."""
     n = len(high)
     if not n:
-        return high.astype(np.int64), low.astype(np.int64), np.zeros(0, np.int64)
+        return high.astype(np.int64), low.astype(np.int64), np.zeros(0, np.int32)
     low_bits, place_bits = int(low.max()).bit_length(), n.bit_length()
     if int(high.max()).bit_length() + low_bits + place_bits > 64:
         order = np.lexsort((low, high))
@@ -198,16 +205,21 @@ def distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         return high[new].astype(np.int64), low[new].astype(np.int64), back
     one = high.astype(_U64)
     one <<= _U64(low_bits)
-    one |= low.astype(_U64)
+    one |= low.astype(np.uint32 if low_bits <= 32 else _U64)
     one <<= _U64(place_bits)
-    one |= np.arange(n, dtype=_U64)
+    one |= np.arange(n, dtype=np.uint32 if place_bits <= 32 else _U64)
     one.sort()
-    pair = one >> _U64(place_bits)
-    new = np.concatenate([[True], pair[1:] != pair[:-1]])
-    back = np.empty(n, np.int64)
-    back[(one & _U64((1 << place_bits) - 1)).astype(np.int64)] = np.cumsum(new) - 1
-    pair = pair[new]
-    return (pair >> _U64(low_bits)).astype(np.int64), (pair & _U64((1 << low_bits) - 1)).astype(np.int64), back
+    place = one & _U64((1 << place_bits) - 1)
+    one >>= _U64(place_bits)  # now the pairs
+    new = np.ones(n, bool)
+    np.not_equal(one[1:], one[:-1], out=new[1:])
+    rank = np.cumsum(new, dtype=np.int32 if place_bits < 32 else np.int64)
+    rank -= 1
+    back = np.empty(n, rank.dtype)
+    back[place.view(np.int64)] = rank
+    del place, rank
+    one = one[new]
+    return (one >> _U64(low_bits)).astype(np.int64), (one & _U64((1 << low_bits) - 1)).astype(np.int64), back
 
 
 def _under(parts: dict[str, np.ndarray], name: str) -> dict[str, np.ndarray]:
@@ -240,10 +252,16 @@ class Children:
 
     def find(self, parents: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of pairs, parents sorted (-1: none): the child's node (-1: none) and its quantised share."""
-        node, alpha = np.full(len(parents), -1, np.int64), np.full(len(parents), NONE)
+        node, alpha = np.full(len(parents), -1, np.int32 if self.child.n < 1 << 31 else np.int64), np.full(len(parents), NONE)
+        for at in range(0, len(parents) if self.child.n else 0, _BLOCK):
+            own = slice(at, at + _BLOCK)
+            self._find(parents[own], words[own], node[own], alpha[own])
+        return node, alpha
+
+    def _find(self, parents: np.ndarray, words: np.ndarray, node: np.ndarray, alpha: np.ndarray) -> None:
         own = np.flatnonzero((parents >= 0) & (words >= 0))
-        if not len(own) or not self.child.n:
-            return node, alpha
+        if not len(own):
+            return
         new = np.concatenate([[True], parents[own][1:] != parents[own][:-1]])
         local, back = parents[own][new], np.cumsum(new) - 1
         begin, end = self.ptr.access(local).astype(np.int64), self.ptr.access(local + 1).astype(np.int64)
@@ -256,7 +274,6 @@ class Children:
         ok &= at < end[back]  # a value of the next context may be equal
         node[own[ok]] = at[ok]
         alpha[own[ok]] = self.alpha[at[ok]]
-        return node, alpha
 
     def mass(self, parents: np.ndarray) -> np.ndarray:
         """Quantised; NONE for no parent."""
@@ -269,18 +286,24 @@ class Children:
 def level(parent: np.ndarray, word: np.ndarray, counts: np.ndarray, totals: np.ndarray, discount: float, vocabulary: int) -> dict[str, np.ndarray]:
     """A level from its nodes in order (parents' places, word codes, counts) and the parents' counts."""
     n = np.bincount(parent, minlength=len(totals))
-    share = (counts - discount) / totals[parent]
     ptr = np.concatenate([[0], np.cumsum(n)])
-    last = np.where(n > 0, word[np.maximum(ptr[1:] - 1, 0)] + 1 if len(word) else 0, 0)  # a range's values end below its base plus this
+    last = np.where(n > 0, word[np.maximum(ptr[1:] - 1, 0)].astype(np.int64) + 1 if len(word) else 0, 0)  # a range's values end below its base plus this
     base = np.concatenate([[0], np.cumsum(last)])
-    mass = np.clip(1 - np.bincount(parent, share, len(totals)), 1e-12, 1)
-    return {"alpha": quantise(share), "gamma": quantise(mass)} | _named("ptr", encode(ptr, len(word) + 1)) | _named("child", encode(base[parent] + word, int(base[-1]) + vocabulary + 1))
+    alpha, taken = np.empty(len(word), np.uint16), np.zeros(len(totals))
+    for at in range(0, len(word), _BLOCK):
+        own = slice(at, at + _BLOCK)
+        share = (counts[own] - discount) / totals[parent[own]]
+        alpha[own] = quantise(share)
+        np.add.at(taken, parent[own], share)
+    children = base[parent]
+    children += word
+    return {"alpha": alpha, "gamma": quantise(np.clip(1 - taken, 1e-12, 1))} | _named("ptr", encode(ptr, len(word) + 1)) | _named("child", encode(children, int(base[-1]) + vocabulary + 1))
 
 
 def mapped(parts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The arrays laid out in a file without a name, which goes with its last map."""
     with tempfile.TemporaryFile() as f:
-        f.write(pack(parts))
+        f.writelines(_pieces(parts))
         f.flush()
         return unpack(np.memmap(f, np.uint8, "r"))
 
@@ -361,12 +384,14 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, li
     """Rows of a sorted partition, those of a key at a time."""
     now, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):  # one by one, so that a key's blobs can go when it is done with them
+            row = batch.slice(i, 1).to_pylist()[0]
             if row[key] != now and rows:
                 yield now, rows
                 rows = []
             now = row[key]
             rows.append(row)
+            del row
     if rows:
         yield now, rows
 
@@ -452,10 +477,10 @@ class Grams:
 
     def __init__(self, x: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, known: Known):
         """ids and counts: of the chunk's words by code (-1 and 0: unknown)."""
-        codes, size = x["codes"].astype(np.int64), x["size"].astype(np.int64)
-        within = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        codes, size = x["codes"].astype(np.int32), x["size"].astype(np.int64)
+        within = np.arange(len(codes), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         trains = np.repeat(x["train"], size).astype(bool)
-        word = np.where(ids[codes] >= 0, codes, -1)
+        word = np.where((ids >= 0)[codes], codes, np.int32(-1))
         # Roots: pairs of shard and first word; a word that is not spread has one, even if nothing known follows it.
         spread = known.spread(counts)
         home = (mix64(ids.astype(_U64)) >> _U64(32)) * _U64(known.shards) >> _U64(32)
@@ -466,12 +491,14 @@ class Grams:
         u, v, back = distinct(word[at - 1], word[at])
         shard = ((home[u] + mix64(ids[v].astype(_U64) + _U64(1)) % spread[u].astype(_U64)) % _U64(known.shards)).astype(np.int64)
         one = ahead[spread[ahead] == 1]
-        roots = np.unique(np.concatenate([shard << 32 | u, home[one].astype(np.int64) << 32 | one]))
+        first = shard << 32 | u
+        roots = np.unique(np.concatenate([first, home[one].astype(np.int64) << 32 | one]))
         self.root_shard, self.root = roots >> 32, roots & 0xFFFFFFFF
         self.root_of = np.full(len(ids), -1, np.int64)  # of words with one root
         single = spread[self.root] == 1
         self.root_of[self.root[single]] = np.flatnonzero(single)
-        parent = np.searchsorted(roots, shard << 32 | u)
+        parent = np.searchsorted(roots, first)
+        del shard, first, u
         self.parents, self.words, self.counts, self.gram = [], [], [], []
         last = word
         for n in range(2, known.order + 1):
@@ -481,13 +508,14 @@ class Grams:
                 parent, v, back = distinct(last[at - 1], word[at])
             else:
                 order = np.argsort(parent, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order), dtype=np.int32)
                 parent, v, back = parent[order], v[order], rank[back]
-            last = np.full(len(codes), -1, np.int64)  # the n-gram that ends at each token
+                del order, rank
+            last = np.full(len(codes), -1, np.int32)  # the n-gram that ends at each token
             last[at] = back
-            self.parents.append(parent)
-            self.words.append(v)
+            self.parents.append(parent.astype(np.int32))
+            self.words.append(v.astype(np.int32))
             self.counts.append(np.bincount(back[trains[at]], minlength=len(parent)))
             self.gram.append(last)
         self.word, self.within = word, within
@@ -540,29 +568,64 @@ class Asked:
     """The asks of a shard together: their distinct words, roots and n-grams, and where each ask's are among them."""
 
     def __init__(self, asks: list[dict[str, np.ndarray]], order: int):
-        self.words, place = np.unique(np.concatenate([np.cumsum(x["step"], dtype=np.int64) for x in asks]), return_inverse=True)
-        start = np.cumsum([0] + [len(x["step"]) for x in asks])
-        code = lambda name: np.concatenate([place[a + x[name].astype(np.int64)] for a, x in zip(start, asks, strict=False)])
-        self.root, first, up = np.unique(code("root"), return_index=True, return_inverse=True)  # as places among the words
-        self.total = np.concatenate([x["total"].astype(np.int64) for x in asks])[first]
-        self.back, self.parent, self.word, self.counts = [up], [], [], []
-        self.sizes = [np.array([len(x["root"]) for x in asks])]
+        """The asks are emptied. Roots, in order, are cut into slices of about _BLOCK n-grams, which are sorted one after the other."""
+        steps = np.concatenate([np.cumsum(x["step"], dtype=np.int64) for x in asks])
+        _, self.words, place = distinct(np.zeros(len(steps), np.uint8), steps)
+        start = np.cumsum([0] + [len(x.pop("step")) for x in asks])
+        del steps
+
+        def code(name: str) -> np.ndarray:
+            out, at = np.empty(sum(len(x[name]) for x in asks), np.int32), 0
+            for a, x in zip(start.tolist(), asks, strict=False):
+                own = x.pop(name)
+                out[at : at + len(own)] = place[a:][own]
+                at += len(own)
+            return out
+
+        self.sizes = [np.array([len(x["root"]) for x in asks]), *[np.array([len(x[f"w{k}"]) for x in asks]) for k in range(order - 1)]]
+        root = code("root")  # as places among the words
+        _, self.root, up = distinct(np.zeros(len(root), np.uint8), root)
+        self.total = np.zeros(len(self.root), np.int64)
+        self.total[up] = np.concatenate([x.pop("total") for x in asks])
+        under, at = np.zeros(len(self.root), np.int64), 0  # n-grams under each root
+        for x, n in zip(asks, self.sizes[0].tolist(), strict=True):
+            own = up[at : at + n]
+            at += n
+            for k in range(order - 1):
+                own = np.repeat(own, x[f"n{k}"])
+                np.add.at(under, own, 1)
+        slice_of = _small((np.cumsum(under) - under) // _BLOCK)
+        slices, many, words, counts = [slice_of[up]], [], [], []
         for k in range(order - 1):
-            parent, word, back = distinct(np.repeat(up, np.concatenate([x[f"n{k}"] for x in asks]).astype(np.int64)), code(f"w{k}"))
-            counts = np.bincount(back, np.concatenate([x[f"c{k}"] for x in asks]), len(parent)).astype(np.int64)
-            self.parent.append(parent)
-            self.word.append(word)
-            self.counts.append(counts)
-            self.back.append(back)
-            self.sizes.append(np.array([len(x[f"w{k}"]) for x in asks]))
-            up = back
+            many.append(np.concatenate([x.pop(f"n{k}") for x in asks]))
+            slices.append(np.repeat(slices[-1], many[-1]))
+            words.append(code(f"w{k}"))
+            counts.append(np.concatenate([x.pop(f"c{k}") for x in asks]))
+        self.back = [up, *[np.empty(len(w), up.dtype) for w in words]]
+        found: list[list] = [[] for _ in words]
+        done = [0] * len(words)
+        for turn in np.unique(slice_of).tolist():
+            at = np.flatnonzero(slices[0] == turn)
+            for k in range(order - 1):
+                above = np.repeat(self.back[k][at], many[k][at])
+                at = np.flatnonzero(slices[k + 1] == turn)
+                parent, word, back = distinct(above, words[k][at])
+                found[k].append((parent.astype(up.dtype), word.astype(np.int32), _small(np.bincount(back, counts[k][at], len(parent)).astype(np.int64))))
+                self.back[k + 1][at] = back + done[k]
+                done[k] += len(parent)
+        del slices, many, words, counts
+        self.parent, self.word, self.counts = [], [], []
+        for own in found:
+            for out, x in zip((self.parent, self.word, self.counts), zip(*own, strict=True), strict=True):
+                out.append(np.concatenate(x))
+            own.clear()
 
     def grow(self, least: int, discount: float) -> tuple[dict[str, np.ndarray], list[int], list[int], np.ndarray]:
         """The shard: its arrays, nodes and sums of counts by level, and the mass of each root's children."""
         roots = self.words[self.root]
         out = _named("roots", encode(roots, int(roots[-1]) + 1)) | _named("words", encode(self.words, int(self.words[-1]) + 1))
         nodes, sums, mass, totals = [], [], np.zeros(len(roots)), self.total
-        node = np.arange(len(roots))  # of the level before, kept ones numbered
+        node = np.arange(len(roots), dtype=self.back[0].dtype)  # of the level before, kept ones numbered
         for k, (parent, word, counts) in enumerate(zip(self.parent, self.word, self.counts, strict=True)):
             kept = (counts >= max(least, 1)) & (node[parent] >= 0)
             parent, word, c = node[parent[kept]], word[kept], counts[kept]
@@ -571,13 +634,13 @@ class Asked:
                 mass = np.bincount(parent, (c - discount) / totals[parent], len(roots))
             nodes.append(len(c))
             sums.append(int(c.sum()))
-            node, totals = np.where(kept, np.cumsum(kept) - 1, -1), c
+            node, totals = np.where(kept, np.cumsum(kept, dtype=node.dtype) - node.dtype.type(1), node.dtype.type(-1)), c
         return out, nodes, sums, mass
 
     def answers(self, parts: dict[str, np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
         """For each ask, in order, quantised: the mass for lower orders of each root and n-gram that has a next level, the share of each n-gram. All distinct ones are looked up in the shard's arrays at once."""
         at, ok = EliasFano(_under(parts, "words")).successor(self.words.astype(_U64))
-        code = np.where(ok, at, -1)
+        code = np.where(ok, at, -1).astype(np.int32)
         at, ok = EliasFano(_under(parts, "roots")).successor(self.words[self.root].astype(_U64))
         node = np.where(ok, at, -1)
         out = {}

@@ -1,6 +1,7 @@
 """Each corpus operator against a plain version, on awkward documents and on the smallest tables."""
 
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -87,6 +88,41 @@ def test_distinct_pairs(top):
     assert all((v == x[k]).all() and v.dtype == x[k].dtype for k, v in lm.expand(lm.squeeze(x)).items())
 
 
+def shard_of(sizes: list[int], block: int, monkeypatch) -> tuple:
+    """A shard that takes all n-grams of some chunks: its arrays, answers, n-grams asked for and the peak of memory."""
+    monkeypatch.setattr(lm, "_BLOCK", block)
+    r = np.random.default_rng(5)
+    chunks = [np.minimum(r.zipf(1.3, n), 5000).astype(np.int64) - 1 for n in sizes]
+    counts = sum(np.bincount(c, minlength=5000) for c in chunks)
+    known = lm.Known(1, np.zeros((64, 1), np.int64), 5000, int(counts.sum()), 1, 3)
+    asks = []
+    for codes in chunks:
+        x = {"codes": codes, "size": np.full(len(codes) // 100, 100), "train": np.ones(len(codes) // 100, np.uint8)}
+        ids = np.where(counts > 0, np.arange(5000), -1)
+        asks += [lm.expand(blob) for _, blob in lm.Grams(x, ids, counts, known).asks(ids, counts)]
+    n = sum(len(x["w0"]) + len(x["w1"]) for x in asks)
+    tracemalloc.start()
+    try:
+        asked = lm.Asked(asks, 3)
+        parts, nodes, sums, mass = asked.grow(1, lm.DISCOUNT)
+        answers = list(asked.answers(lm.mapped(parts)))
+        return parts, nodes, sums, mass, answers, n, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_slices_of_a_shard_change_nothing(monkeypatch):
+    whole, cut = (shard_of([3000, 100, 2000], block, monkeypatch) for block in (1 << 30, 97))
+    assert whole[1:3] == cut[1:3] and (whole[3] == cut[3]).all() and whole[0].keys() == cut[0].keys()
+    assert all((v == cut[0][k]).all() for k, v in whole[0].items())
+    assert all((v == y[k]).all() for x, y in zip(whole[4], cut[4], strict=True) for k, v in x.items())
+
+
+def test_memory_of_a_shard(monkeypatch):
+    *_, n, peak = shard_of([150_000] * 4, 1 << 14, monkeypatch)
+    assert n > 400_000 and peak < 60 * n
+
+
 def test_scores_equal_a_plain_model(spark):
     docs = [(r["doc_id"], r["text"]) for r in table(spark, "documents").collect()]
     got = {r["doc_id"]: r for r in queries.op2_lm_score(spark, SF).collect()}
