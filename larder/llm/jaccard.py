@@ -8,10 +8,10 @@ frequent tokens are indexed as pairs within bins. Whatever shares an index key i
 whole sets, first against one member of its group, then, for groups whose members are not yet in one
 component, against another; last, such groups are cut into units of bounded size, in which members of
 lighter components are compared with members of heavier ones by parity bitmaps, which can only rule
-pairs out: first each with the nearest one. What the bitmaps still allow is regrouped by pairs of
-components, so that a member comes once for each of them, and compared by finer bitmaps and last as whole
-sets. So groups of near copies cost a row a member and unit, pairs are never laid
-out as rows, and no link between different components is left unseen.
+pairs out: first each with the nearest one. Members to which the bitmaps still allow a partner are regrouped
+by the components that such pairs connect, a row a member however many its pairs, compared by finer
+bitmaps, regrouped alike, and last compared as whole sets where those bitmaps allow it. So groups of near copies
+cost a row a member and unit, pairs are never laid out as rows, and no link between different components is left unseen.
 """
 
 from __future__ import annotations
@@ -534,39 +534,49 @@ def _nearest(percent: int):
     return run
 
 
+def _clusters(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least of the numbers below ``n`` that each is connected to by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _plausible(percent: int):
-    """Members with a partner that the bitmaps allow, in a new group for the two components: whatever groups the pair was found in, a member comes once for each other component."""
+    """Members with a partner that the bitmaps allow, once each, in a new group for the components that such pairs connect, named by the heaviest.
+
+    What is made is no more than a row a member read, however many of its pairs are allowed, and groups
+    found in many units and tasks are mostly the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, start in _whole_units(batches):
-            label, n = batch.column("label").to_numpy(), batch.column("n").to_numpy()
-            raw = np.frombuffer(b"".join(batch.column("k").to_pylist()), ">u8").reshape(-1, 2)
-            _, same = np.unique(raw, axis=0, return_inverse=True)  # a member of several units is one
-            first = np.zeros(int(same.max()) + 1 if len(same) else 0, np.int64)
-            first[same[::-1]] = np.arange(len(same))[::-1]
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            label, weight, n = (batch.column(c).to_numpy() for c in ("label", "weight", "n"))
+            labels, first, code = np.unique(label, return_index=True, return_inverse=True)
+            order = np.lexsort((labels, -weight[first]))  # heavy ones first
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            code, root, some = rank[code], np.arange(len(order)), np.zeros(batch.num_rows, bool)
             for i, j, _ in _compared(batch, start, percent):
-                with np.errstate(over="ignore"):
-                    pair = mix64(label[i].view(np.uint64)) * np.uint64(3) + mix64(label[j].view(np.uint64))  # the lighter one first
-                gid = mix64(pair).view(np.int64)
-                found.append(distinct(np.concatenate([gid, gid]), np.concatenate([first[same[i]], first[same[j]]])))
-            if found:
-                gid, row = distinct(*[np.concatenate(x) for x in zip(*found, strict=True)])
-                own = n[row]
-                yield pa.RecordBatch.from_arrays([pa.array(gid), batch.column("k").take(pa.array(row)), pa.array(own), pa.array(np.full(len(row), _WHOLE))], ["gid", "k", "n", "m"])
-
-    def distinct(gid: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((row, gid))
-        gid, row = gid[order], row[order]
-        new = np.ones(len(gid), bool)
-        new[1:] = (gid[1:] != gid[:-1]) | (row[1:] != row[:-1])
-        return gid[new], row[new]
+                some[i] = some[j] = True
+                root = _clusters(np.concatenate([root, code[i]]), np.concatenate([np.arange(len(root)), code[j]]), len(root))
+            at = np.flatnonzero(some)
+            raw = np.frombuffer(b"".join(batch.column("k").take(pa.array(at)).to_pylist()), ">u8").reshape(-1, 2)
+            _, one = np.unique(raw, axis=0, return_index=True)  # a member of several units is one
+            at = at[one]
+            yield pa.RecordBatch.from_arrays([pa.array(labels[order][root[code[at]]]), batch.column("k").take(pa.array(at)), pa.array(n[at]), pa.array(np.full(len(at), _WHOLE))], ["gid", "k", "n", "m"])
 
     return run
 
 
 def _search(percent: int):
-    """Links between members of different components of a unit, but for those that earlier links of the task imply."""
+    """Links between members of different components of a unit that the bitmaps allow, but for those that earlier links of the task imply."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined: dict[int, int] = {}
@@ -580,7 +590,7 @@ def _search(percent: int):
         for batch, start in _whole_units(batches):
             left, right = [], []
             k, label, raw = (batch.column(c).to_pylist() for c in ("k", "label", "tokens"))
-            for a, b in _pairs_of(batch, start, percent):
+            for a, b, _ in _compared(batch, start, percent):
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     if root(label[i]) != root(label[j]) and _alike(np.frombuffer(raw[i], np.uint64), np.frombuffer(raw[j], np.uint64), percent):
                         joined[root(label[i])] = root(label[j])
@@ -675,7 +685,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     groups = paired(bits)
     fine = written(sets.join(groups.select("k").distinct(), "k", "left_semi").mapInArrow(_bitmaps(FINE), "k binary, bits binary"), "bitmaps")
     groups = paired(fine)
-    left = units(fine).drop("bits").join(sets, "k")
+    left = units(fine).join(sets, "k")
     labels = joined(written(_by_unit(left, buckets).mapInArrow(_search(percent), "a binary, b binary"), "links"))
 
     placed = members.join(labels, "k", "left").select("doc", "n", "k", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("label"))

@@ -460,6 +460,30 @@ def test_similar_sets_share_a_key(seed, n, changes, share):
         assert len(keys) and (180 * np.minimum(ra[i], rb[j]) >= 80 * (len(x) + len(y))).any()
 
 
+def unit_of(clusters: list[int], weight: int = 1) -> pa.RecordBatch:
+    """A unit, given twice as two groups, whose members are components of their own and alike within a cluster."""
+    n = sum(clusters)
+    which = np.repeat(np.arange(len(clusters)), clusters)
+    bits = [np.where(np.arange(64) == c, 255, 0).astype(np.uint8).tobytes() for c in which.tolist()]
+    keys = [int(x).to_bytes(16, "big") for x in range(n)]
+    one = {"qb": pa.array(np.zeros(2 * n, np.int32)), "tb": pa.array(np.zeros(2 * n, np.int32)), "k": pa.array(keys * 2, pa.binary()), "n": pa.array(np.full(2 * n, 20)), "m": pa.array(np.full(2 * n, 20))}
+    one |= {"label": pa.array(np.tile(np.arange(n) * 7 - 40, 2)), "weight": pa.array(np.full(2 * n, weight)), "query": pa.array([True] * 2 * n), "target": pa.array([True] * 2 * n), "bits": pa.array(bits * 2, pa.binary())}
+    return pa.RecordBatch.from_pydict({"gid": pa.array(np.repeat([1, 2], n))} | one)
+
+
+def test_members_with_allowed_partners_grow_with_members():
+    for clusters in ([40], [300], [5, 1, 9, 1, 200]):
+        batch = unit_of(clusters)
+        got = [r for b in jaccard._plausible(80)(iter([batch])) for r in b.to_pylist()]
+        which = np.repeat(np.arange(len(clusters)), clusters)
+        found = defaultdict(set)
+        for r in got:
+            found[r["gid"]].add(int.from_bytes(r["k"], "big"))
+        assert sorted(map(sorted, found.values())) == sorted(np.flatnonzero(which == c).tolist() for c, size in enumerate(clusters) if size > 1)
+        assert len(got) <= batch.num_rows  # not a row or two for each allowed pair
+    assert not [r for b in jaccard._plausible(80)(iter([unit_of([1, 1, 1])])) for r in b.to_pylist()]
+
+
 # --- chats ---
 
 
